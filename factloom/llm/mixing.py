@@ -28,7 +28,7 @@ from pyspark.sql.window import Window as W
 from factloom.llm.common import stored
 
 BLOCK, FAN, RESERVE, LAST = 8192, 2048, 256, 10
-SCHEMA = "key long, doc_id long, source string, size long, source_size long, target double, whole int, p double, blocks long, block long"
+SCHEMA = "key long, doc_id string, source string, size long, source_size long, target double, whole int, p double, blocks long, block long"
 
 
 def n_words(text: Column) -> Column:
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     key is xxhash64(doc_id, text).
     """
     text, doc_id = F.col(text), F.col(doc_id)
-    sized = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
+    sized = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.cast("string").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
     sized = stored(sized, "sizes")  # the texts are read once
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = stored(targets(sources, weights, cap), "targets").withColumnRenamed("source", "of")
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.round("p").cast("int")
-    return out.select("key", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.select("key", F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **names) -> DataFrame:
