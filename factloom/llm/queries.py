@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, exact_topk, license_scan, mixing, token_counts, toxicity, url_filters
+from factloom.llm import byte_bpe, exact_topk, fingerprints, license_scan, mixing, parity_join, token_counts, toxicity, url_filters
 from factloom.llm.common import table
 
 
@@ -44,6 +44,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, s=0.9)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.edited_and_next(docs, fingerprints.lexicon(docs))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,6 +65,8 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_license_scan": op5_license_scan,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_fingerprints": op9_fingerprints,
     "op10_url_filter": op10_url_filter,
 }
 
