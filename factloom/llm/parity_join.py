@@ -12,7 +12,7 @@ shingles' 64-bit hashes, which stands for the part's wide sketch.
 1. Each partition signs its distinct texts. Documents that share a signature are candidates; signatures that only one text has are dropped.
 2. In each bucket of equal signatures the text with the most shared signatures leads; all are compared with it (by their texts,
    exactly). A group of copies, however large, needs as many comparisons as it has texts, not pairs.
-3. In buckets that still hold unconnected texts, texts of different components are compared: their 2048-bit parity sketches first,
+3. In buckets that, besides their leader, still hold unconnected texts, texts of different components are compared: their 2048-bit parity sketches first,
    in square blocks of bounded size, and what passes by its texts. First each text's nearest only, then whatever is still unconnected.
 4. Components of the verified links are the classes.
 
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from math import ceil, floor, log, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -243,16 +242,13 @@ def _across(rows: DataFrame, s: float, nearest: bool) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     rows = rows.withColumn("one", F.least("cut", "other")).withColumn("two", F.greatest("cut", "other")).drop("cuts", "other")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), -1)
-        node, comp, n, cut = (pdf[c].to_numpy() for c in ("node", "component", "n", "cut"))
-        same = pdf["one"].iloc[0] == pdf["two"].iloc[0]
-        right = np.arange(len(pdf)) if same else np.flatnonzero(cut == pdf["two"].iloc[0])
-        left = right if same else np.flatnonzero(cut == pdf["one"].iloc[0])
-        out: list[tuple[int, int]] = []
-        for i in left:
-            to = right[comp[right] != comp[i]]
-            to = to[(np.minimum(n[to], n[i]) >= s * np.maximum(n[to], n[i]) - 1e-9)]
+    def compare(group: pa.Table) -> set[tuple[int, int]]:
+        node, comp, n, cut, one, two = (group.column(c).to_numpy() for c in ("node", "component", "n", "cut", "one", "two"))
+        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        right = np.flatnonzero(cut == two[0])
+        out: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(cut == one[0]):
+            to = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= s * np.maximum(n[right], n[i]) - 1e-9)]
             if not len(to):
                 continue
             far = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -260,10 +256,35 @@ def _across(rows: DataFrame, s: float, nearest: bool) -> DataFrame:
             if not fits.any():
                 continue
             to = to[[np.where(fits, far, BITS + 1).argmin()]] if nearest else to[fits]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in to]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+            out |= {(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in to}
+        return out
 
-    return rows.groupBy("signature", "one", "two").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go on in the next batch."""
+        rest: pa.Table | None = None
+        sent: set[tuple[int, int]] = set()
+
+        def out(groups: list[pa.Table]) -> pa.RecordBatch:
+            new = set().union(*map(compare, groups)) - sent
+            if len(sent) > 1_000_000:
+                sent.clear()
+            sent.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            key = [rows.column(c).to_numpy() for c in ("signature", "one", "two")]
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            groups = [rows.slice(x, y - x) for x, y in zip(np.append(0, ends[:-1]), ends, strict=True)] if len(ends) else []
+            rest = rows.slice(int(ends[-1]) if len(ends) else 0)
+            if groups:
+                yield out(groups)
+        if rest is not None:
+            yield out([rest])
+
+    group = ["signature", "one", "two"]
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,7 +298,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "
     texts = stored(_texts(docs, nodes), "texts")
     # step 2: everyone in a bucket against its leader
     lead = F.first("node").over(in_bucket.orderBy(F.col("degree").desc(), "node"))
-    pairs = shared.join(nodes, "node").select("signature", "node", lead.alias("a")).where("node <> a").select("a", F.col("node").alias("b"))
+    shared = stored(shared.join(nodes, "node").select("signature", "node", lead.alias("a")).where("node <> a"), "led")
+    pairs = shared.select("a", F.col("node").alias("b"))
     links = stored(_verified(pairs, texts, k, s), "links")
     # step 3: what is still apart
     sketches = stored(_sketched(texts, k), "sketches")
