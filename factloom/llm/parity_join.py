@@ -10,9 +10,9 @@ parts are filled, and a document for which this fails signs its empty parts too.
 shingles' 64-bit hashes, which stands for the part's wide sketch.
 
 1. Each partition signs its distinct texts. Documents that share a signature are candidates; signatures that only one text has are dropped.
-2. In each bucket of equal signatures the text with the most shared signatures leads; all are compared with it (by their texts,
-   exactly). A group of copies, however large, needs as many comparisons as it has texts, not pairs.
-3. In buckets that, besides their leader, still hold unconnected texts, texts of different components are compared: their 2048-bit parity sketches first,
+2. In each bucket of equal signatures the text with the most shared signatures leads; all are compared with it: by size and
+   2048-bit parity sketch, which rules out most chance meetings, then by their texts, exactly. A group of copies, however large, needs as many comparisons as it has texts, not pairs.
+3. In buckets that, besides their leader, still hold unconnected texts, texts of different components are compared: their sketches first,
    in square blocks of bounded size, and what passes by its texts. First each text's nearest only, then whatever is still unconnected.
 4. Components of the verified links are the classes.
 
@@ -230,6 +230,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, s: float) -> DataFrame
     return pairs.select("a", "b").distinct().join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, s: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity; sketches are moved in place of texts."""
+    scheme = Scheme(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(n), -1) for c in ("sketch_a", "sketch_b"))
+            far = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            good = (far <= np.floor(scheme.rate * (n + m) + 1e-9)) & (np.minimum(n, m) >= s * np.maximum(n, m) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
+
+    one = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    return pairs.select("a", "b").distinct().join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def _across(rows: DataFrame, s: float, nearest: bool) -> DataFrame:
     """Pairs of unlike components in a bucket whose sketches allow the similarity; nearest: only each text's closest in a block.
 
@@ -300,9 +317,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "
     lead = F.first("node").over(in_bucket.orderBy(F.col("degree").desc(), "node"))
     shared = stored(shared.join(nodes, "node").select("signature", "node", lead.alias("a")).where("node <> a"), "led")
     pairs = shared.select("a", F.col("node").alias("b"))
-    links = stored(_verified(pairs, texts, k, s), "links")
-    # step 3: what is still apart
     sketches = stored(_sketched(texts, k), "sketches")
+    links = stored(_verified(_possible(pairs, sketches, s), texts, k, s), "links")
+    # step 3: what is still apart
     for nearest in (True, False):
         parts = components(links)
         of = F.coalesce("component", "node")
