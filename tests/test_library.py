@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import textnorm as N
 from factloom.functions import values as V
-from factloom.operators import answers, extract, highlight, search
+from factloom.operators import answers, extract, highlight, locate, requests, results, search
 from factloom.plans import queries as plans
-from factloom.sources import corpus
+from factloom.sources import corpus, files
 
 D = "/root/testdata/sf0.001"
 
@@ -100,3 +100,45 @@ def test_intents(spark):
     q = spark.createDataFrame([(1, "číslo a účet"), (2, "nic")], "query_id int, query string")
     rows = search.intents(q).orderBy("query_id", "intent_ord").collect()
     assert [r.pattern for r in rows if r.query_id == 1] == ["birthNumber", "companyId", "contractNumber", "bankAccount"] and sum(r.query_id == 2 for r in rows) == 12
+
+
+def test_index_map_aligns_from_left_to_right(spark):
+    texts = ["**Tučná** [o](u)\n# Nadpis", "", None, "bez značek", "* a\n* b *c*", "x" * 700 + "**y**" + "z" * 700]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = rows.select("text", N.remove_markdown(F.col("text")).alias("clean"), N.normalized(F.col("text")).alias("normal"), locate.index_map(F.col("text")).alias("m")).collect()
+    for r in got:
+        want, at = [], 0
+        for i, c in enumerate(r.text or ""):
+            if at < len(r.clean) and r.clean[at] == c:
+                want.append(i)
+                at += 1
+        assert r.m == [want[i] if i < len(want) else i for i in range(len(r.normal or ""))]
+    back = locate.reverse_map(rows.select("doc_id", locate.index_map(F.col("text")).alias("index_map")))
+    assert back.select(F.sum(F.size("normalized"))).first()[0] == sum(len(r.normal or "") for r in got)
+
+
+def test_values_are_placed_with_overlaps_and_by_type(spark):
+    docs = spark.createDataFrame([(1, "aaa **Částka** 12,5 % a 12,5 Kč"), (2, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "aa", "text"), (1, "ČÁSTKA", "text"), (1, "12,5 %", "rpsn"), (1, "", "text"), (1, None, None), (2, "aa", "text")], "doc_id int, value string, type string")
+    got = {(r.value, r.start, r.end, r.text) for r in locate.value_places(asked, docs).collect()}
+    assert {("aa", 0, 2, "aa"), ("aa", 1, 3, "aa"), ("ČÁSTKA", 6, 12, "Částka")} <= got and all(v != "" for v, *_ in got)
+
+
+def test_individual_values(spark):
+    docs = spark.createDataFrame([(1, "Jan Novák, 940919/1022, cena 7 850 000 Kč a 5,9 %, účet 12345678/0800")], "doc_id int, text string")
+    said = spark.createDataFrame([(1, "JE TO Jan Novák a 940919/1022, 7 850 000 EUR, účet 12345678/0800; Petr Malý")], "doc_id int, answer string")
+    got = {(r.kind, r.text) for r in locate.individual_values(said, docs).collect()}
+    assert {("birthNumber", "940919/1022"), ("name", "Jan Novák"), ("amount", "7 850 000 Kč"), ("account", "12345678/0800")} <= got and ("name", "Petr Malý") not in got
+
+
+def test_files_selection_and_refusals(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("jeden\ndva", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("tři", encoding="utf-8")
+    assert sorted(r.text for r in files.contract_files(spark, str(tmp_path)).collect()) == ["jeden\ndva", "tři"]
+    rows = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "hist_id int, item_idx int")
+    assert results.only_selected(rows, rows.where("false"), ["hist_id", "item_idx"]).count() == 3
+    assert results.without_history(rows, rows.where("item_idx = 1")).collect() == [(2, 0)]
+    asked = spark.createDataFrame([("q", "d"), (" \n", "d"), ("q", None)], "q string, d string")
+    assert [r[0] for r in asked.select(requests.refusal(F.col("q"), F.col("d"))).collect()] == [None, "query", "document"]
+    words = spark.createDataFrame([("Žena",), ("zebra",), ("čas",), ("dum",)], "w string").withColumn("o", F.lit(0))
+    assert [r.w for r in results.sorted_by(words, "w", "o").collect()] == ["čas", "dum", "zebra", "Žena"]
