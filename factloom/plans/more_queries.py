@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import values as V
 from factloom.operators import answers, audit, extract, locate, report, requests, results
 from factloom.operators import patterns as P
-from factloom.plans.queries import _ANS, _BIRTH, _EXT, _FLAT, LOG_SQL, ROWS_SQL, VALUES_SQL, _asked, _log, _places, _rows, _sql, _table, _values, query
+from factloom.plans.queries import _ANS, _BIRTH, _EXT, _FLAT, _TABLE, LOG_SQL, ROWS_SQL, VALUES_SQL, _asked, _log, _places, _rows, _sql, _table, _values, query
 from factloom.sources import corpus, files
 from factloom.sources.corpus import with_contracts
 
@@ -239,3 +239,52 @@ _FOUND = " UNION ALL ".join(
 def ext_20(spark, d):
     found = locate.individual_values(corpus.answers(spark, d).select("doc_id", F.col("raw_text").alias("answer")), corpus.contracts(spark, d))
     return found.select("doc_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "kind", F.col("text").alias("found"))
+
+
+# -- parsing, completing and placing answers ---------------------------------------------------------------------------
+_SINGLE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'prostý text' WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('{"type":"single","value":"', CAST(o_custkey AS STRING), '"}') END AS raw_text FROM orders"""
+
+
+@query("JSON-01", f"SELECT id, 'single' AS type, CASE WHEN json_valid(raw_text) THEN json_extract_string(raw_text, '$.value') ELSE coalesce(nullif(raw_text, ''), 'Nenalezeno') END AS value FROM ({_SINGLE})")
+def json_01(spark, d):
+    return _sql(spark, d, _SINGLE, "orders").select("id", answers.single(F.col("raw_text")).alias("a")).select("id", "a.type", "a.value")
+
+
+@query("JSON-02", with_contracts(f"{_ANS} SELECT doc_id, q.query AS query, 'Nenalezeno' AS value FROM llm, (VALUES ('rodné číslo'), ('všechny identifikátory')) AS q(query) WHERE NOT json_valid(raw_text)"))
+def json_02(spark, d):
+    bad = corpus.answers(spark, d).where(F.try_parse_json("raw_text").isNull())
+    return answers.completed(answers.flatten(bad), _asked(bad)).select("doc_id", "query", "value")
+
+
+_POSITIONAL = f"pos AS ({corpus.positional_sql()})"
+
+
+@query("JSON-04", with_contracts(rf"{_POSITIONAL} SELECT doc_id, CAST(json_array_length(regexp_extract(raw_text, '\{{.*\}}'), '$.results') AS INTEGER) AS n FROM pos WHERE contains(raw_text, '{{')"))
+def json_04(spark, d):
+    rows = corpus.answers(spark, d, positional=True).select("doc_id", answers.placed(F.col("raw_text"))["results"].alias("r"))
+    return rows.where("r IS NOT NULL").select("doc_id", F.size("r").alias("n"))
+
+
+@query("JSON-09", f"""SELECT ord AS hist_id, coalesce(nullif(type, ''), 'Ostatní') AS category, 'Dotaz' AS query, 'Výsledek' AS label, coalesce(value, '') AS value, {_TABLE} AS type,
+    CASE WHEN {_TABLE} = 'number' THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE '' END AS absolute_value FROM ({ROWS_SQL})""")
+def json_09(spark, d):
+    none = F.lit(None).cast("string")
+    rows = _rows(spark, d).select(F.col("ord").alias("hist_id"), F.col("type").alias("category"), none.alias("query"), F.array(F.struct(none.alias("label"), "value")).alias("items"))
+    return answers.table_rows(rows).drop("item_idx")
+
+
+@query("JOI-02", with_contracts(f"{_ANS}, {_FLAT} SELECT doc_id, query, CASE WHEN query = 'rodné číslo' THEN 'Osoby' ELSE 'Ostatní' END AS category FROM flat"))
+def joi_02(spark, d):
+    mapping = spark.sql("SELECT * FROM VALUES ('rodné číslo', 0, 'Čísla'), ('rodné číslo', 1, 'Osoby') AS t(query, ord, category)")
+    return answers.with_category(answers.flatten(corpus.answers(spark, d)), mapping).select("doc_id", "query", "category")
+
+
+@query("JOI-05", with_contracts("v AS (SELECT doc_id, text, regexp_extract(text, '[0-9]{6}/[0-9]{4}') AS value FROM contracts WHERE doc_id % 9 <> 0) SELECT doc_id, value, CAST(instr(text, value) - 1 AS INTEGER) AS start_pos, CAST(instr(text, value) - 1 + length(value) AS INTEGER) AS end_pos FROM v WHERE value <> ''"))
+def joi_05(spark, d):
+    rows = corpus.answers(spark, d, positional=True).select("doc_id", F.posexplode(answers.placed(F.col("raw_text"))["results"]).alias("item", "r"))
+    return answers.verified(rows, corpus.contracts(spark, d)).select("doc_id", "value", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
+@query("JOI-10", with_contracts("p AS (SELECT doc_id, instr(text, 'kupní cena') AS a, instr(lower(text), 'kupní cena') AS b FROM contracts) SELECT doc_id, CAST(CASE WHEN a > 0 THEN a - 1 WHEN b > 0 THEN b - 1 END AS INTEGER) AS place FROM p"))
+def joi_10(spark, d):
+    return corpus.contracts(spark, d).select("doc_id", answers.right_place(F.col("text"), F.lit("kupní cena")).alias("place"))
