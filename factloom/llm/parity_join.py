@@ -14,7 +14,8 @@ shingles' 64-bit hashes, which stands for the part's wide sketch.
    2048-bit parity sketch, which rules out most chance meetings, then by their texts, exactly. A group of copies, however large, needs as many comparisons as it has texts, not pairs.
 3. In buckets that, besides their leader, still hold unconnected texts, texts of different components are compared: their sketches first,
    in square blocks of bounded size, and what passes by its texts. First each text's nearest only, then whatever is still unconnected.
-4. Components of the verified links are the classes.
+4. Components of the verified links are the classes. Rows are joined to them, and to their names, with the few most frequent keys
+   broadcast, so that no large class is dealt to one task.
 
 Texts, and equal texts as one, are known by a 64-bit hash. With N different texts it mistakes two for one with odds of about N^2 / 2^65.
 
@@ -329,14 +330,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "
         more = _verified(_across(apart, s, nearest), texts, k, s)
         links = stored(links.unionByName(more), "links")
     parts = components(links)
-    sized = stored(_sizes(docs, k), "sizes").join(parts, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
-    sized = sized.withColumn("class", component)
-    names = sized.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = sized.join(names, "class", "left")
+    classed = _spread(stored(_sizes(docs, k), "sizes"), parts, "node").withColumn("class", of).drop("component")
+    classed = stored(classed, "classed")
+    names = stored(classed.groupBy("class").agg(F.min("doc_id").alias("least")), "names")
+    out = _spread(classed, names, "class")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
 
 
+def _spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to table (one row for each key), where few keys may hold most of the rows.
+
+    Keys with more than a thousandth of the rows, so fewer than a thousand, are joined by broadcast; the rest by an ordinary join.
+    """
+    often = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows.count() / 1000).drop("_n")
+    often = stored(often.join(table, key, "left"), "often")
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table, key, "left")
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def _sketched(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(k)

@@ -121,6 +121,14 @@ def test_jaccard_join_of_nothing(spark):
     assert parity_join.near_duplicates(none).count() == 0 and parity_join.one_of_each(none).count() == 0
 
 
+def test_spread_join_with_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("node"), "id")
+    names = spark.createDataFrame([(7, "hot"), (4000, "one"), (9999, "none")], "node long, name string")
+    got = {r.id: r.name for r in parity_join._spread(rows, names, "node").collect()}
+    assert got == {i: "hot" if i < 3000 else "one" if i == 4000 else None for i in range(5000)}
+    assert parity_join._spread(rows.limit(0), names, "node").count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70)], "a long, b long")
     assert sorted(map(tuple, graph.components(edges).collect())) == [(i, 1) for i in range(2, 41)] + [(60, 50)]
