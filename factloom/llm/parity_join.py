@@ -11,7 +11,8 @@ shingles' 64-bit hashes, which stands for the part's wide sketch.
 
 1. Each partition signs its distinct texts. Documents that share a signature are candidates; signatures that only one text has are dropped.
 2. In each bucket of equal signatures the text with the most shared signatures leads; all are compared with it: by size and
-   2048-bit parity sketch, which rules out most chance meetings, then by their texts, exactly. A group of copies, however large, needs as many comparisons as it has texts, not pairs.
+   parity sketch, which rules out most chance meetings, then by their texts, exactly. Sketches have two bits or more for each shingle
+   (from 2048 bits up to 2^18), or they would say nothing of long texts; of two widths the larger is folded by XOR. A group of copies, however large, needs as many comparisons as it has texts, not pairs.
 3. In buckets that, besides their leader, still hold unconnected texts, texts of different components are compared: their sketches first,
    in square blocks of bounded size, and what passes by its texts. First each text's nearest only, then whatever is still unconnected.
 4. Components of the verified links are the classes. Rows are joined to them, and to their names, with the few most frequent keys
@@ -41,7 +42,7 @@ from factloom.llm.graph import components
 
 RATIO = 1.5  # of size bands
 SIDE = 1024  # of the square blocks
-BITS = 2048  # of the sketches in step 3
+BITS, WIDEST = 2048, 1 << 18  # bounds of the sketches' widths
 KEPT = 400_000
 
 
@@ -144,10 +145,29 @@ def sign(hashes: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarr
 
 
 def sketch(h: np.ndarray) -> bytes:
-    odd = np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Parities of the hashes in at least twice as many bits as there are hashes, within the bounds; a power of two."""
+    bits = int(min(WIDEST, max(BITS, 1 << (2 * len(h)).bit_length())))
+    odd = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def narrowed(sketches: list[bytes], n_bytes: int) -> np.ndarray:
+    """One row for each sketch, folded by XOR to a width that divides its own: the sketch that this width would have given."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, n_bytes // 8), axis=0) for x in sketches])
+
+
+def distances(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Hamming distances of pairs of sketches, at the smaller width of each pair."""
+    widths, out = np.array([min(len(x), len(y)) for x, y in zip(one, two, strict=True)], dtype=np.int64), np.zeros(len(one), dtype=np.int64)
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        for part in np.array_split(at, 1 + len(at) * int(w) // 8_000_000):
+            if len(part):
+                a, b = (narrowed([x[i] for i in part], int(w)) for x in (one, two))
+                out[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _signatures(docs: DataFrame, k: int, s: float) -> DataFrame:
     """(signature, node) of the distinct texts of each partition."""
 
@@ -238,8 +258,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, s: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(n), -1) for c in ("sketch_a", "sketch_b"))
-            far = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            far = distances(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())
             good = (far <= np.floor(scheme.rate * (n + m) + 1e-9)) & (np.minimum(n, m) >= s * np.maximum(n, m) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
@@ -262,7 +281,8 @@ def _across(rows: DataFrame, s: float, nearest: bool) -> DataFrame:
 
     def compare(group: pa.Table) -> set[tuple[int, int]]:
         node, comp, n, cut, one, two = (group.column(c).to_numpy() for c in ("node", "component", "n", "cut", "one", "two"))
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        sketches = group.column("sketch").to_pylist()
+        bits = narrowed(sketches, min(map(len, sketches)))  # a bucket holds sizes of neighbouring bands
         right = np.flatnonzero(cut == two[0])
         out: set[tuple[int, int]] = set()
         for i in np.flatnonzero(cut == one[0]):
@@ -273,7 +293,7 @@ def _across(rows: DataFrame, s: float, nearest: bool) -> DataFrame:
             fits = far <= np.floor(scheme.rate * (n[to] + n[i]) + 1e-9)
             if not fits.any():
                 continue
-            to = to[[np.where(fits, far, BITS + 1).argmin()]] if nearest else to[fits]
+            to = to[[np.where(fits, far, WIDEST + 1).argmin()]] if nearest else to[fits]
             out |= {(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in to}
         return out
 

@@ -121,6 +121,19 @@ def test_jaccard_join_of_nothing(spark):
     assert parity_join.near_duplicates(none).count() == 0 and parity_join.one_of_each(none).count() == 0
 
 
+def test_sketches_of_unlike_widths_bound_the_difference():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 1023, 1025, 5000, 200_000):
+        a = rnd.integers(0, 2**63, n).astype(np.uint64)
+        b = np.append(a[: n // 2], rnd.integers(0, 2**63, n + 40).astype(np.uint64))
+        one, two = parity_join.sketch(a), parity_join.sketch(b)
+        w = min(len(one), len(two))
+        far = parity_join.distances([one, one], [two, one])
+        assert far[1] == 0 and far[0] <= len(np.setxor1d(a, b)) and (far[0] > 0.3 * len(np.setxor1d(a, b)) or n == 200_000)
+        odd = [np.bincount((h % np.uint64(w * 8)).astype(np.int64), minlength=w * 8) & 1 for h in (a, b)]
+        assert far[0] == (odd[0] ^ odd[1]).sum()
+
+
 def test_spread_join_with_hot_keys(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("node"), "id")
     names = spark.createDataFrame([(7, "hot"), (4000, "one"), (9999, "none")], "node long, name string")
