@@ -46,6 +46,17 @@ def _by_pattern(name: Column, specs, value: Column, what: str) -> Column:
     return out
 
 
+def checked(docs: DataFrame, specs=P.PATTERNS) -> DataFrame:
+    """doc_id, pattern, start, end, value, valid: all matches of the patterns, with what their validators say."""
+
+    def tagged(s: P.PatternSpec) -> Column:
+        return F.transform(spans(F.col("text"), s.regex), lambda x: F.struct(F.lit(s.name).alias("pattern"), x.alias("x")))
+
+    found = [tagged(s) for s in specs]
+    rows = docs.select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.pattern", "m.x.start", "m.x.end", "m.x.value")
+    return rows.withColumn("valid", _by_pattern(F.col("pattern"), specs, F.col("value"), "valid"))
+
+
 def mentions(docs: DataFrame, names: list[str] | None = None, specs=P.PATTERNS, clauses=P.CLAUSES) -> DataFrame:
     """doc_id, pattern, type, label, value, original_value, start, end, confidence, context, clause_type, pattern_no, match_ord.
 

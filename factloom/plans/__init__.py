@@ -1,3 +1,3 @@
 """The registered queries: importing this package fills queries.QUERIES and queries.ORACLES."""
 
-from factloom.plans import more_queries, queries  # noqa: F401
+from factloom.plans import item_queries, more_queries, queries  # noqa: F401
