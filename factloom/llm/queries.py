@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, exact_topk, fingerprints, license_scan, mixing, parity_join, token_counts, toxicity, url_filters
+from factloom.llm import byte_bpe, chat_format, exact_topk, fingerprints, license_scan, mixing, parity_join, token_counts, toxicity, url_filters
 from factloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_source_mix": op4_source_mix,
     "op5_license_scan": op5_license_scan,
+    "op6_chat_format": op6_chat_format,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import byte_bpe, exact_topk, fingerprints, graph, license_scan, mixing, parity_join, queries, token_counts, toxicity, url_filters
+from factloom.llm import byte_bpe, chat_format, exact_topk, fingerprints, graph, license_scan, mixing, parity_join, queries, token_counts, toxicity, url_filters
 
 D = "/root/testdata/sf0.001"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -64,6 +64,39 @@ def test_byte_bpe(docs, odd):
     assert {bytes(r.decoded) for r in byte_bpe.decode(byte_bpe.encode(odd, RANKS, P.PATTERN, check=False), RANKS).collect()} == {(t or "").encode() for t in [*ODD, "no id"]}
 
 
+def brute_chats(rows):
+    """Each conversation's turns compared with the beginnings of all longer ones."""
+    chats = {}
+    for r in {tuple(r) for r in rows}:
+        chats.setdefault(r[0] if r[0] is not None else ("alone", *r), []).append((r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    chats = {k: [x[2:] for x in sorted(v)] for k, v in chats.items()}
+    out = []
+    for k, v in chats.items():
+        if not any(len(w) > len(v) and w[: len(v)] == v for w in chats.values()):
+            first = min((j for j, w in chats.items() if w == v and not isinstance(j, tuple)), default=-1)
+            out.append((-1 if isinstance(k, tuple) else k, len(v), first, "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in v)))
+    return sorted(out)
+
+
+def test_chat_format(spark):
+    schema, rnd, rows = "conv_id long, turn long, role string, text string", random.Random(11), []
+    turns = [("user", "a"), ("assistant", "b"), ("user", ""), (None, None), ("usera", ""), ("user", "a")]
+    for i in range(120):  # few different turns, so that many are snapshots or copies of others
+        for t in range(rnd.randrange(1, 6)):
+            rows.append((i, 3 * t, *turns[rnd.choice((0, 1, t % 6))]))
+    rows += [(500 + i, t, "user", f"turn {t}") for i in range(300) for t in range(8 if i == 7 else 1 + i % 2)]  # a hot first turn, hot snapshots
+    rows += [(900, 0, "user", "only here"), (901, 0, "user", "only here"), (901, 1, "user", "only here"), (902, 0, "user", "only here"), (902, 1, "user", "only here")]
+    rows += [(None, None, "user", "lost"), (None, 1, "user", "a"), (None, 1, "user", "lost 2"), (950, None, "user", "x"), (950, 0, "user", "y")]
+    rows += rows[:40]  # repeated rows
+    rnd.shuffle(rows)
+    given = spark.createDataFrame([(*r, "clash") for r in rows], schema + ", prefix string")
+    whole = spark.read.parquet(f"{D}/conversations.parquet")
+    for df, plain in ((given, rows), (whole, whole.select("conv_id", "turn", "role", "text").collect())):
+        got = sorted((-1 if r.conv_id is None else r.conv_id, r.n_turns, -1 if r.first_id is None else r.first_id, r.text) for r in chat_format.collapse(df).collect())
+        assert got == brute_chats(plain)
+    assert chat_format.collapse(given.limit(0)).count() == 0 and any(name.startswith("op6_") for name in queries.QUERIES)
+
+
 def test_byte_bpe_joins():
     e, coder, rnd = encoding(), byte_bpe.Coder(open(RANKS, "rb").read(), P.PATTERN), random.Random(5)
     for n in (30, 100, 1000, 9000):
