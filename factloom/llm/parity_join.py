@@ -15,7 +15,10 @@ shingles' 64-bit hashes, which stands for the part's wide sketch.
    (from 2048 bits up to 2^18), or they would say nothing of long texts; of two widths the larger is folded by XOR. A group of copies, however large, needs as many comparisons as it has texts, not pairs.
 3. In buckets that, besides their leader, still hold unconnected texts, texts of different components are compared: their sketches first,
    in square blocks of bounded size, and what passes by its texts. First each text's nearest only, then whatever is still unconnected.
-4. Components of the verified links are the classes. Rows are joined to them, and to their names, with the few most frequent keys
+4. If links are to be counted, all texts of a class are compared with each other, exactly, in square blocks of bounded size (every link lies
+   within a class). Only sums for each text leave a block, no pairs: a document's links are its equal copies and the documents
+   of all texts that are similar enough.
+5. Components of the verified links are the classes. Rows are joined to them, and to their names, with the few most frequent keys
    broadcast, so that no large class is dealt to one task.
 
 Texts, and equal texts as one, are known by a 64-bit hash. With N different texts it mistakes two for one with odds of about N^2 / 2^65.
@@ -42,6 +45,7 @@ from factloom.llm.graph import components
 
 RATIO = 1.5  # of size bands
 SIDE = 1024  # of the square blocks
+BLOCK = 4_000_000  # characters in a side of the blocks in which links are counted
 BITS, WIDEST = 2048, 1 << 18  # bounds of the sketches' widths
 KEPT = 400_000
 
@@ -325,8 +329,89 @@ def _across(rows: DataFrame, s: float, nearest: bool) -> DataFrame:
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links), node (hash of the text)."""
+def similar(one: list[np.ndarray], two: list[np.ndarray], s: float) -> np.ndarray:
+    """Whether each set of one and each of two are similar enough; sets are arrays of the numbers of their shingles."""
+    num, den = round(s * 1000), 1000
+    sizes = [np.array(list(map(len, x)), dtype=np.int64) for x in (one, two)]
+    column = [np.concatenate(x) if len(x) else np.zeros(0, dtype=np.int64) for x in (one, two)]
+    row = [np.repeat(np.arange(len(x)), n) for x, n in zip((one, two), sizes, strict=True)]
+    common = np.intersect1d(*column)  # the others are in no intersection
+    both = np.zeros((len(one), len(two)), dtype=np.int64)
+    at = [np.minimum(np.searchsorted(common, c), max(0, len(common) - 1)) for c in column]
+    hit = [common[a] == c if len(common) else np.zeros(len(c), dtype=bool) for a, c in zip(at, column, strict=True)]
+    row, at = [r[h] for r, h in zip(row, hit, strict=True)], [a[h] for a, h in zip(at, hit, strict=True)]
+    order = [np.argsort(a, kind="stable") for a in at]
+    row, at = [r[o] for r, o in zip(row, order, strict=True)], [a[o] for a, o in zip(at, order, strict=True)]
+    step = max(64, 2_000_000 // max(1, len(one), len(two)))
+    for low in range(0, len(common), step):
+        parts = []
+        for r, a, x in zip(row, at, (one, two), strict=True):
+            i, j = np.searchsorted(a, [low, low + step])
+            m = np.zeros((len(x), min(step, len(common) - low)), dtype=np.float32)
+            m[r[i:j], a[i:j] - low] = 1
+            parts.append(m)
+        both += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return (both > 0) & (den * both >= num * (sizes[0][:, None] + sizes[1][None, :] - both))
+
+
+def _links(parts: DataFrame, texts: DataFrame, copies: DataFrame, k: int, s: float) -> DataFrame:
+    """(node, linked): the number of documents whose texts are unlike but similar enough, for each text of a component."""
+    members = parts.select("node", "component").unionByName(parts.select(F.col("component").alias("node"), "component")).distinct()
+    members = stored(members.join(texts.select("node", F.length("text").alias("chars")), "node").join(copies, "node"), "members")
+    cuts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("chars") / BLOCK)).cast("int").alias("cuts"))
+    rows = _spread(members, stored(cuts, "cuts"), "component")
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    rows = rows.select("component", F.least("cut", "other").alias("one"), F.greatest("cut", "other").alias("two"), "cut", "node", "copies").join(texts, "node")
+    group = ["component", "one", "two"]
+
+    def counted(rows: pa.Table) -> tuple[list[int], list[int]]:
+        node, copies, cut = (rows.column(c).to_numpy() for c in ("node", "copies", "cut"))
+        numbers: dict[tuple[bytes, ...], int] = {}
+        sets = [np.array([numbers.setdefault(x, len(numbers)) for x in shingles(t.as_py(), k)], dtype=np.int64) for t in rows.column("text")]
+        one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+        left, right = np.flatnonzero(cut == one), np.flatnonzero(cut == two)
+        linked = similar([sets[i] for i in left], [sets[i] for i in right], s)
+        if one == two:
+            np.fill_diagonal(linked, False)
+            return node[left].tolist(), (linked @ copies[right]).tolist()
+        return node[left].tolist() + node[right].tolist(), (linked @ copies[right]).tolist() + (linked.T @ copies[left]).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go on in the next batch."""
+        rest: list[pa.Table] = []
+
+        def out(groups: list[pa.Table]) -> pa.RecordBatch:
+            found = [counted(g) for g in groups]
+            return pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[i]], type=pa.int64()) for i in (0, 1)], names=["node", "linked"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            key = [rows.column(c).to_numpy() for c in group]
+            ends = (np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1).tolist()
+            pieces = [rows.slice(x, y - x) for x, y in zip([0, *ends], [*ends, rows.num_rows], strict=True)]
+            done = []
+            if rest and any(rest[0].column(c)[0] != rows.column(c)[0] for c in group):
+                done, rest = [pa.concat_tables(rest)], []
+            rest.append(pieces[0])
+            for piece in pieces[1:]:
+                done, rest = [*done, pa.concat_tables(rest)], [piece]
+            if done:
+                yield out(done)
+        if rest:
+            yield out([pa.concat_tables(rest)])
+
+    sums = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "node long, linked long")
+    return sums.groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "doc_id", text: str = "text", links_too: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links), node (hash of the text); with links_too also n_links.
+
+    n_links: how many other documents are similar enough, copies of equal texts each counted.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("node", F.xxhash64("text"))
     in_bucket = W.partitionBy("signature")
@@ -350,11 +435,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "
         more = _verified(_across(apart, s, nearest), texts, k, s)
         links = stored(links.unionByName(more), "links")
     parts = components(links)
-    classed = _spread(stored(_sizes(docs, k), "sizes"), parts, "node").withColumn("class", of).drop("component")
+    sizes = stored(_sizes(docs, k), "sizes")
+    if links_too:
+        copies = sizes.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"))
+        copies = stored(copies, "copies")
+        linked = stored(_links(parts, texts, copies, k, s), "linked")
+        n_links = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+        parts = stored(copies.join(linked, "node", "left").join(parts, "node", "left").select("node", "component", n_links), "parts")
+    classed = _spread(sizes, parts, "node").withColumn("class", of).drop("component")
     classed = stored(classed, "classed")
     names = stored(classed.groupBy("class").agg(F.min("doc_id").alias("least")), "names")
     out = _spread(classed, names, "class")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links_too else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node", *more)
 
 
 def _spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

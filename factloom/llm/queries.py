@@ -49,8 +49,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parity_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, s=0.9)
-    return found.select("doc_id", "n_shingles", "component_id")
+    found = parity_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, s=0.9, links_too=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,26 @@ def test_jaccard_join(spark, docs, odd, k, s):
         assert got == brute_components(df.collect(), k, round(s * 100), 100)
 
 
+def brute_links(rows, k, num, den):
+    s = sets(rows, k)
+    out = [0] * len(rows)
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(s[i] & s[j])
+        if both and den * both >= num * len(s[i] | s[j]):
+            out[i], out[j] = out[i] + 1, out[j] + 1
+    return sorted((r.doc_id if r.doc_id is not None else -1, n) for r, n in zip(rows, out, strict=True))
+
+
+@pytest.mark.parametrize(("k", "s", "side"), [(3, 0.9, 1024), (5, 0.8, 5)])
+def test_jaccard_links(spark, docs, odd, monkeypatch, k, s, side):
+    monkeypatch.setattr(parity_join, "SIDE", side)
+    near = variants(spark).unionByName(variants(spark).where("doc_id % 5 = 0"))  # links within components, and copies
+    for df in (docs, odd, near):
+        rows = parity_join.near_duplicates(df, k, s, links_too=True).collect()
+        assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_links) for r in rows) == brute_links(df.collect(), k, round(s * 100), 100)
+    assert "n_links" in queries.op8_jaccard_join(spark, D).columns
+
+
 def test_jaccard_join_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert parity_join.near_duplicates(none).count() == 0 and parity_join.one_of_each(none).count() == 0
