@@ -271,6 +271,16 @@ def test_license_scan(spark, odd):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_license_spans_need_the_name(spark):
+    wrong = ["released under the terms of the gnu general public license", "released under the terms of the agreement", "licensed under the apache license version 1 1",
+             "This work is licensed under the GNU General Public License, version 2", "creative commons attribution 4 0 international license", "this source code form is subject to the terms of the agreement v 2 0"]
+    right = {p: a for a, p, _ in license_scan.MORE} | {"This work is licensed under the new GNU General Public License, version 3.": "gpl-3", "released under all the terms of the MIT License": "mit"}
+    df = spark.createDataFrame(list(enumerate([*wrong, *right])), "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert [(rows[i].labels, rows[i].score, rows[i].spans) for i in range(len(wrong))] == [("", 0.0, [])] * len(wrong)
+    assert [rows[len(wrong) + i].labels for i in range(len(right))] == list(right.values()) and all(rows[len(wrong) + i].score >= 0.6 for i in range(len(right)))
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://NET/", "https://a.example.net/en/1?x#y", "http://x.example.com/de/q", "http://x.example.com", "http://b.org/fr/", "http://b.org/frx", "http://a.net?u=http://b.org/fr/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
