@@ -24,7 +24,7 @@ shingles' 64-bit hashes, which stands for the part's wide sketch.
 Texts, and equal texts as one, are known by a 64-bit hash. With N different texts it mistakes two for one with odds of about N^2 / 2^65.
 
 Null texts and texts without words have an empty set and link with nothing. A text with fewer than k words has one shingle, all of it.
-Rows with null ids take part, but never give a class its name. Repeated rows are copies. An empty table gives an empty result. Only the named
+Rows with null ids take part, but never give a class its name (a class is known by the least hash of its texts). Repeated rows are copies. An empty table gives an empty result. Only the named
 columns are read.
 """
 
@@ -408,7 +408,7 @@ def _links(parts: DataFrame, texts: DataFrame, copies: DataFrame, k: int, s: flo
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "doc_id", text: str = "text", links_too: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links), node (hash of the text); with links_too also n_links.
+    """doc_id, n_shingles, component_id (the smallest id reachable by links), node (hash of the text), class; with links_too also n_links.
 
     n_links: how many other documents are similar enough, copies of equal texts each counted.
     """
@@ -447,7 +447,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "
     names = stored(classed.groupBy("class").agg(F.min("doc_id").alias("least")), "names")
     out = _spread(classed, names, "class")
     more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links_too else []
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node", *more)
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node", "class", *more)
 
 
 def _spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -472,7 +472,38 @@ def _sketched(texts: DataFrame, k: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class: the one whose id names it (of equal rows, one). Texts without words and rows without an id all stay."""
-    found = near_duplicates(docs, k, s, doc_id, text).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_other")).distinct()
-    kept = docs.join(found, F.col(doc_id) == F.col("_other"), "left_anti")
-    return kept
+    """docs with one row of each class: the least by id (nulls last), text's hash and hash of the other columns. Texts without words all stay."""
+    found = near_duplicates(docs, k, s, doc_id, text).where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    first = stored(found.groupBy("class").agg(F.min(order).alias("first")).select("first._id", "first._node"), "first")
+    columns = docs.columns
+    others = [F.col(c) for c in columns if c != text]
+    rows = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_node": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_row": F.xxhash64(F.to_json(F.struct(*others)))})
+    words = F.coalesce(F.col(text).rlike(r"\S"), F.lit(False))
+    key = ["_id", "_node", "_row"]
+    least = rows.where(words).select(*key).groupBy("_id", "_node").agg(F.min("_row").alias("_row"))
+    least = stored(least.join(_renamed(first), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_node") == F.col("_node2")), "left_semi"), "least")
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_node") == F.col("_node2")) & (F.col("_row") == F.col("_row2"))
+    kept = _once_in_partitions(rows.where(words), key).join(_renamed(least), same, "left_semi").dropDuplicates(key)
+    return kept.select(*columns).unionByName(rows.where(~words).select(*columns))
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}2") for c in rows.columns])
+
+
+def _once_in_partitions(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows without those whose key came before in the same partition, so that rows repeated very often are not dealt to one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            keep = []
+            for i, x in enumerate(zip(*[batch.column(c).to_pylist() for c in key], strict=True)):
+                if x not in seen:
+                    seen.add(x)
+                    keep.append(i)
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -174,6 +174,19 @@ def test_jaccard_join_of_nothing(spark):
     assert parity_join.near_duplicates(none).count() == 0 and parity_join.one_of_each(none).count() == 0
 
 
+def test_one_row_of_each_class(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, b, "x"), (5, a, "x"), (5, b, "x"), (7, c, "y"), (7, c, "y"), (7, c, "z"), (8, c + " end", "x"), (None, d, "x"), (None, d, "x"), (None, d + " end", "x"), (None, None, "x"), (9, " \n", "x"), (9, " \n", "x")]
+    rows += [(7, c, "y")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    out = parity_join.one_of_each(df)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and all(r in rows for r in got)
+    assert sorted((r[0], r[1][0]) for r in got if r[0] and r[1].strip()) == [(1, "b"), (5, "a"), (7, "c")]  # id 5 names the class of a; 1 that of b
+    assert sum((r[1] or "").startswith("d0") for r in got) == 1 and sum(not (r[1] or "").strip() for r in got) == 3 and len(got) == 7
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in parity_join.one_of_each(df.repartition(3)).collect())
+
+
 def test_sketches_of_unlike_widths_bound_the_difference():
     rnd = np.random.default_rng(4)
     for n in (0, 1, 1023, 1025, 5000, 200_000):
