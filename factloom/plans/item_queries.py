@@ -91,6 +91,13 @@ def win_02(spark, d):
     return _first_ones(spark, d).select("doc_id", "query_id", "pattern", F.col("start").alias("start_pos"), "value", F.round(relevance, 6).alias("relevance"))
 
 
+# -- whole forms of queries that look at a part ------------------------------------------------------------------------
+@query("JOI-01-rows", with_contracts(f"{_INTENT_SQL}, m AS ({_MENTIONS}) SELECT doc_id, query_id, intent_ord, pattern, value, start_pos, end_pos, pattern_no FROM m JOIN intents USING (pattern)"))
+def joi_01_rows(spark, d):
+    m = extract.mentions(corpus.contracts(spark, d)).join(search.intents(questions(spark)), "pattern")
+    return m.select("doc_id", "query_id", "intent_ord", "pattern", "value", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "pattern_no")
+
+
 # -- fuzzy words -------------------------------------------------------------------------------------------------------
 _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(query)), '[a-z0-9]+')) AS word FROM " + _Q
 _TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS token FROM contracts"

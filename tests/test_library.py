@@ -142,3 +142,10 @@ def test_files_selection_and_refusals(spark, tmp_path):
     assert [r[0] for r in asked.select(requests.refusal(F.col("q"), F.col("d"))).collect()] == [None, "query", "document"]
     words = spark.createDataFrame([("Žena",), ("zebra",), ("čas",), ("dum",)], "w string").withColumn("o", F.lit(0))
     assert [r.w for r in results.sorted_by(words, "w", "o").collect()] == ["čas", "dum", "zebra", "Žena"]
+
+
+def test_every_asked_pattern_meets_its_questions(spark):
+    rows = plans.QUERIES["JOI-01-rows"](spark, D)
+    asked = search.intents(plans.questions(spark))
+    found = {r[0] for r in extract.mentions(corpus.contracts(spark, D)).join(asked, "pattern", "left_semi").select("pattern").distinct().collect()}
+    assert {r[0] for r in rows.select("pattern").distinct().collect()} == found and {"fullName", "companyId", "purchasePrice"} <= found
