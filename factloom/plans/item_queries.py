@@ -98,6 +98,13 @@ def joi_01_rows(spark, d):
     return m.select("doc_id", "query_id", "intent_ord", "pattern", "value", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "pattern_no")
 
 
+@query("QRY-02-whole", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN text || ' (hledat také: {v})'" for k, v in P.WIDER.items()) + " ELSE text END AS widened FROM documents UNION ALL "
+    + with_contracts("w AS (SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN text || ' (hledat také: {v})'" for k, v in P.WIDER.items()) + " ELSE text END AS widened FROM contracts) SELECT * FROM w").join(("(", ")")))
+def qry_02_whole(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").unionByName(corpus.contracts(spark, d).select("doc_id", "text"))
+    return docs.select("doc_id", search.widened(F.col("text")).alias("widened"))
+
+
 # -- fuzzy words -------------------------------------------------------------------------------------------------------
 _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(query)), '[a-z0-9]+')) AS word FROM " + _Q
 _TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS token FROM contracts"

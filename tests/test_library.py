@@ -149,3 +149,9 @@ def test_every_asked_pattern_meets_its_questions(spark):
     asked = search.intents(plans.questions(spark))
     found = {r[0] for r in extract.mentions(corpus.contracts(spark, D)).join(asked, "pattern", "left_semi").select("pattern").distinct().collect()}
     assert {r[0] for r in rows.select("pattern").distinct().collect()} == found and {"fullName", "companyId", "purchasePrice"} <= found
+
+
+def test_late_keywords_widen_whole_texts(spark):
+    contract = corpus.contracts(spark, D).first()
+    got = plans.QUERIES["QRY-02-whole"](spark, D)
+    assert got.where(F.col("doc_id") == contract.doc_id).where(F.col("widened").startswith(contract.text) & F.col("widened").contains("(hledat také: ")).count() == 1
