@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import extract, fuzzy, search
+from factloom.operators import answers, extract, fuzzy, search
 from factloom.operators import patterns as P
 from factloom.plans.queries import _BIRTH, _CLAUSES, _EXT, _INTENT_SQL, _Q, ORACLES, _places, query, questions
 from factloom.sources import corpus
@@ -105,6 +105,19 @@ def qry_02_whole(spark, d):
     return docs.select("doc_id", search.widened(F.col("text")).alias("widened"))
 
 
+#: yes/no answers derived from the contracts: whole, without or with an empty field, no JSON, empty, not an object, null
+_RAW = """CASE WHEN doc_id % 7 = 0 THEN concat('{"answer":"Ano","fullContext":"', regexp_extract(text, '[0-9]{6}/[0-9]{4}', 0), '"}') WHEN doc_id % 7 = 1 THEN '{"answer":"Ne"}'
+    WHEN doc_id % 7 = 2 THEN '{"answer":"","fullContext":"x"}' WHEN doc_id % 7 = 3 THEN '{"answer":"Ano","fullContext":' WHEN doc_id % 7 = 4 THEN '' WHEN doc_id % 7 = 5 THEN '["Ano"]' END"""
+
+
+@query("JSON-03-whole", with_contracts(f"""r AS (SELECT doc_id, {_RAW} AS raw FROM contracts), p AS (SELECT *, CASE WHEN json_valid(raw) AND starts_with(raw, '{{') THEN raw END AS j FROM r),
+    g AS (SELECT *, json_extract_string(j, '$.answer') AS a, json_extract_string(j, '$.fullContext') AS c FROM p)
+    SELECT doc_id, CASE WHEN a <> '' AND c <> '' THEN a ELSE raw END AS answer, CASE WHEN a <> '' AND c <> '' THEN c END AS full_context FROM g"""))
+def json_03_whole(spark, d):
+    rows = corpus.contracts(spark, d).select("doc_id", answers.yes_no(F.expr(_RAW)).alias("got"))
+    return rows.select("doc_id", "got.answer", F.col("got.fullContext").alias("full_context"))
+
+
 # -- fuzzy words -------------------------------------------------------------------------------------------------------
 _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(query)), '[a-z0-9]+')) AS word FROM " + _Q
 _TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS token FROM contracts"

@@ -155,3 +155,10 @@ def test_late_keywords_widen_whole_texts(spark):
     contract = corpus.contracts(spark, D).first()
     got = plans.QUERIES["QRY-02-whole"](spark, D)
     assert got.where(F.col("doc_id") == contract.doc_id).where(F.col("widened").startswith(contract.text) & F.col("widened").contains("(hledat také: ")).count() == 1
+
+
+def test_yes_no_answers(spark):
+    raw = ['{"answer":"Ano","fullContext":"x"}', '{"answer":"Ne"}', "{bad", "", "plain"]
+    assert column(spark, lambda c: answers.yes_no(c)["answer"], raw) == ["Ano", *raw[1:]]
+    assert column(spark, lambda c: answers.yes_no(c)["fullContext"], raw) == ["x", None, None, None, None]
+    assert {r[0] for r in plans.QUERIES["JSON-03-whole"](spark, D).select(F.col("full_context").isNull()).distinct().collect()} == {True, False}
