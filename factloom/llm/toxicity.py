@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes a bounded sample of labelled rows (max_rows, by the order of a hash of the id), keeps as terms the words
-and word beginnings whose document frequencies differ most between the labels (max_terms), and holds a bounded bank of
+and word beginnings that are most over-represented among toxic labels (max_terms; signed z of least_z or more, none of the clean side), and holds a bounded bank of
 examples (max_examples). Word beginnings let an inflected form share a term with the forms seen. All three bounds are parameters; none depends on the table.
 
 Scoring runs over every whole text. The index holds each term's postings in blocks of examples with the block's largest
