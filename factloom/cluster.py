@@ -17,7 +17,7 @@ def send_package(spark: SparkSession) -> None:
     home = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(home.rglob("*.py")):
+        for f in sorted([*home.rglob("*.py"), *home.rglob("*.sql")]):
             z.write(f, f"factloom/{f.relative_to(home)}")
     context.addPyFile(str(archive))
     context._factloom_sent = True

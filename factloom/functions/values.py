@@ -78,8 +78,8 @@ def _number(c: Column, start: int, n: int) -> Column:
 
 
 def plausible_birth_number(c: Column) -> Column:
-    """Nine or ten digits with a month (less 50 for women) and a day; no checksum, no calendar."""
-    d = F.regexp_replace(c, rf"{SP}|/", "")
+    """Nine or ten digits, whatever lies between them, with a month (less 50 for women) and a day; no checksum, no calendar."""
+    d = F.regexp_replace(c, "[^0-9]", "")
     month = _number(d, 3, 2)
     month = F.when(month > 50, month - 50).otherwise(month)
     return F.coalesce(d.rlike("^[0-9]{9,10}$") & month.between(1, 12) & _number(d, 5, 2).between(1, 31), F.lit(False))

@@ -66,13 +66,16 @@ def completed_one_each(results: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def right_place(text: Column, value: Column) -> Column:
-    """0-based place of value in text, exactly or else ignoring case; null if absent."""
+    """0-based place of the trimmed value in text, exactly or else ignoring case; null if absent."""
+    value = js_trim(value)
     exact, loose = F.instr(text, value), F.instr(F.lower(text), F.lower(value))
     return F.when(exact > 0, exact - 1).when(loose > 0, loose - 1)
 
 
 def verified(results: DataFrame, documents: DataFrame) -> DataFrame:
-    """Positional results whose span holds the value, or that could be placed elsewhere with less confidence.
+    """Positional results whose span holds the value, or that could be placed elsewhere with less confidence and the text found there.
+
+    A result whose span is empty or not within the text is dropped.
 
     results(doc_id, r) are gathered for each document first, so that a text meets its results once.
     """
@@ -85,10 +88,11 @@ def verified(results: DataFrame, documents: DataFrame) -> DataFrame:
     same = F.coalesce(inside & (js_trim(F.substring(text, start + 1, end - start)) == js_trim(value)), F.lit(False))
     at = right_place(text, value)
     lower = F.greatest(F.lit(0.5), confidence(F.col("confidence"), 0.8) - 0.2)
-    out = rows.withColumn("same", same).withColumn("at", at).where((F.col("same") | F.col("at").isNotNull()) & (inside | F.col("at").isNotNull()))
-    keep = F.col("same")
+    out = rows.where(inside).withColumn("same", same).withColumn("at", at).where(F.col("same") | F.col("at").isNotNull())
+    keep, size = F.col("same"), F.length(js_trim(value))
     return out.select(
-        "doc_id", "item", "label", "value", F.when(keep, start).otherwise(F.col("at")).alias("start"), F.when(keep, end).otherwise(F.col("at") + F.length(value)).alias("end"),
+        "doc_id", "item", "label", F.when(keep, value).otherwise(F.substring(text, F.col("at") + 1, size)).alias("value"),
+        F.when(keep, start).otherwise(F.col("at")).alias("start"), F.when(keep, end).otherwise(F.col("at") + size).alias("end"),
         F.when(keep, F.col("confidence")).otherwise(lower).alias("confidence"), "type",
     )
 

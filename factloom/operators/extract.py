@@ -13,19 +13,24 @@ from factloom.operators import patterns as P
 SPAN = "array<struct<start:int,end:int,value:string,part:string>>"
 
 
-def spans(text: Column, regex: str, group: int = 0) -> Column:
-    """All matches: start, end (0-based, exclusive, code points), value and the group. Matches must not be empty.
+def found(text: Column, regex: str) -> Column:
+    """All matches of the pattern and the gaps around them. Matches must not be empty."""
+    return F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("values"), F.split(text, regex, -1).alias("gaps"))
 
-    Starts are running sums of the lengths of the gaps and the matches before.
+
+def spans(found: Column, regex: str, group: int = 0) -> Column:
+    """From found(): start, end (0-based, exclusive, code points), value and the group (which the match alone must tell).
+
+    Starts are running sums of the lengths of the gaps and the matches before. found must be a column of a projection below,
+    or its patterns run once for each mention of it here.
     """
-    values = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(regex), F.lit(group)) if group else values
-    both = F.arrays_zip(F.slice(F.split(text, regex, -1), 1, F.size(values)).alias("gap"), values.alias("value"), parts.alias("part"))
+    values = found["values"]
+    both = F.arrays_zip(F.slice(found["gaps"], 1, F.size(values)).alias("gap"), values.alias("value"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["part"].alias("part"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), (F.regexp_extract(x["value"], regex, group) if group else x["value"]).alias("part"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
@@ -50,10 +55,10 @@ def checked(docs: DataFrame, specs=P.PATTERNS) -> DataFrame:
     """doc_id, pattern, start, end, value, valid: all matches of the patterns, with what their validators say."""
 
     def tagged(s: P.PatternSpec) -> Column:
-        return F.transform(spans(F.col("text"), s.regex), lambda x: F.struct(F.lit(s.name).alias("pattern"), x.alias("x")))
+        return F.transform(spans(F.col(f"_{s.name}"), s.regex), lambda x: F.struct(F.lit(s.name).alias("pattern"), x.alias("x")))
 
-    found = [tagged(s) for s in specs]
-    rows = docs.select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.pattern", "m.x.start", "m.x.end", "m.x.value")
+    rows = docs.select("doc_id", *[found(F.col("text"), s.regex).alias(f"_{s.name}") for s in specs])
+    rows = rows.select("doc_id", F.explode(F.concat(*map(tagged, specs))).alias("m")).select("doc_id", "m.pattern", "m.x.start", "m.x.end", "m.x.value")
     return rows.withColumn("valid", _by_pattern(F.col("pattern"), specs, F.col("value"), "valid"))
 
 
@@ -63,16 +68,16 @@ def mentions(docs: DataFrame, names: list[str] | None = None, specs=P.PATTERNS,
     names: the patterns and clauses that some query needs (all if None); others are not run.
     """
     used = [s for s in specs if names is None or s.name in names]
-    text, found = F.col("text"), []
+    text = F.col("text")
+    sought = [(s.name, 0, s.regex, 0) for s in used] + [(c, no, f"(?iu){r}", 1) for c, _, rs in clauses if names is None or c in names for no, r in enumerate(rs)]
+    if not sought:
+        raise ValueError("no such pattern")
 
     def tagged(name: str, no: int, regex: str, group: int) -> Column:
-        return F.transform(spans(text, regex, group), lambda x, i: F.struct(F.lit(name).alias("pattern"), F.lit(no).alias("pattern_no"), i.alias("match_ord"), x.alias("x")))
+        return F.transform(spans(F.col(f"_{name}{no}"), regex, group), lambda x, i: F.struct(F.lit(name).alias("pattern"), F.lit(no).alias("pattern_no"), i.alias("match_ord"), x.alias("x")))
 
-    found += [tagged(s.name, 0, s.regex, 0) for s in used]
-    found += [tagged(c, no, f"(?iu){r}", 1) for c, _, rs in clauses if names is None or c in names for no, r in enumerate(rs)]
-    if not found:
-        raise ValueError("no such pattern")
-    rows = docs.select("doc_id", "text", F.explode(F.concat(*found)).alias("m")).select("doc_id", "text", "m.pattern", "m.pattern_no", "m.match_ord", "m.x.*")
+    rows = docs.select("doc_id", "text", *[found(text, regex).alias(f"_{name}{no}") for name, no, regex, _ in sought])
+    rows = rows.select("doc_id", "text", F.explode(F.concat(*[tagged(*s) for s in sought])).alias("m")).select("doc_id", "text", "m.pattern", "m.pattern_no", "m.match_ord", "m.x.*")
     name, value = F.col("pattern"), F.col("value")
     clause = name.isin([c for c, _, _ in clauses])
     rows = rows.withColumn("original_value", value).withColumn("clause_type", clause)

@@ -61,10 +61,21 @@ def index_map(text: Column) -> Column:
     return F.when(text == clean, same).otherwise(_index_map(F.when(text != clean, text), clean, size))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("original", T.IntegerType()), T.StructField("normalized", T.ArrayType(T.IntegerType()))])))
+def _reversed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for maps in batches:
+        out = []
+        for places in maps:
+            back: dict[int, list[int]] = {}
+            for place, original in enumerate(places if places is not None else []):
+                back.setdefault(int(original), []).append(place)
+            out.append([{"original": o, "normalized": n} for o, n in back.items()])
+        yield pd.Series(out)
+
+
 def reverse_map(places: DataFrame) -> DataFrame:
-    """doc_id, original, normalized: for each original place its normalised ones, ascending; from rows with an index_map."""
-    rows = places.select("doc_id", F.posexplode("index_map").alias("place", "original"))
-    return rows.groupBy("doc_id", "original").agg(F.sort_array(F.collect_list("place")).alias("normalized"))
+    """doc_id, original, normalized: for each original place its normalised ones, ascending; from rows with an index_map. No shuffle: places belong to one document."""
+    return places.select("doc_id", F.explode(_reversed("index_map")).alias("p")).select("doc_id", "p.*")
 
 
 def original_place(place: Column, mapped: Column) -> Column:
@@ -97,7 +108,7 @@ def value_places(values: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 _CURRENCY = V.CURRENCY
-_AMOUNT = rf"(?i){MONEY}{_CURRENCY}?"
+_AMOUNT = rf"(?iu){MONEY}{_CURRENCY}?"
 #: kinds of values in an answer, in order of preference
 KINDS = [
     ("birthNumber", r"[0-9]{6}/[0-9]{3,4}"),
@@ -123,9 +134,9 @@ def individual_values(answers: DataFrame, documents: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text", "low", F.posexplode(F.concat(*found)).alias("ord", "x")).select("doc_id", "text", "low", "ord", "x.*")
     amount = F.col("kind") == "amount"
     v = F.when(amount, N.js_trim(F.regexp_replace("v", f"{N.SP}+", " "))).otherwise(F.col("v"))
-    bare = F.when(amount, N.js_trim(F.regexp_replace("v", rf"(?i){N.SP}*{_CURRENCY}{N.SP}*$", "")))
+    bare = F.when(amount, N.js_trim(F.regexp_replace("v", rf"(?iu){N.SP}*{_CURRENCY}{N.SP}*$", "")))
     rows = rows.withColumn("v", v).withColumn("at", F.instr("low", F.lower("v"))).withColumn("bare_at", F.coalesce(F.instr("low", F.lower(bare)), F.lit(0)))
-    there = F.regexp_extract(F.substring("text", F.col("bare_at"), F.length("text")), rf"(?i)^{MONEY}{_CURRENCY}?", 0)
+    there = F.regexp_extract(F.substring("text", F.col("bare_at"), F.length("text")), rf"(?iu)^{MONEY}{_CURRENCY}?", 0)
     size = F.when(F.col("at") > 0, F.length("v")).when(F.col("bare_at") > 0, F.length(there))
     start = F.when(F.col("at") > 0, F.col("at")).otherwise(F.col("bare_at")) - 1
     rows = rows.select("doc_id", "text", "ord", "kind", start.alias("start"), size.alias("size")).where("start >= 0 and size > 0")

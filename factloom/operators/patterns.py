@@ -73,7 +73,7 @@ def _account_ok(c: Column) -> Column:
 PATTERNS = [
     PatternSpec("birthNumber", "birthNumber", rf"{WB}[0-9]{{6}}{SP}*/{SP}*[0-9]{{3,4}}{WB}", lambda c: V.is_birth_number(c) & V.plausible_birth_number(c), V.no_spaces, ("rodné číslo", "rc", "narozen", "identifikace"), "Rodné číslo"),
     PatternSpec("fullName", "fullName", rf"{WB}{UP}{LOW}+{SP}+{UP}{LOW}+(?:{SP}+{UP}{LOW}+)?{WB}", _name_ok, keywords=("jméno", "příjmení", "osoba", "pan", "paní"), label="Jméno a příjmení"),
-    PatternSpec("address", "address", rf"{WB}{UP}{UPPER_RUN}{SP}+[0-9]+(?:/[0-9]+)?[a-zA-Z]?,{SP}*[0-9]{{3}}{SP}*[0-9]{{2}}{SP}+{UP}{UPPER_RUN}", lambda c: c.rlike(rf"[0-9]{{3}}{SP}*[0-9]{{2}}") & c.rlike(UP), keywords=("adresa", "bydliště", "sídlo", "ulice"), label="Adresa"),
+    PatternSpec("address", "address", rf"{WB}{UP}{UPPER_RUN}{SP}+[0-9]+(?:/[0-9]+)?[a-zA-Z]?,{SP}*[0-9]{{3}}{SP}*[0-9]{{2}}{SP}+{UP}{UPPER_RUN}", lambda c: c.rlike(rf"[0-9]{{3}}{SP}*[0-9]{{2}}") & c.rlike(UP + LOW), keywords=("adresa", "bydliště", "sídlo", "ulice"), label="Adresa"),
     PatternSpec("phoneNumber", "phoneNumber", rf"(?:\+420{SP}?)?(?:[0-9]{{3}}{SP}?[0-9]{{3}}{SP}?[0-9]{{3}}|[0-9]{{9}}){WB}", _phone_ok, _phone, ("telefon", "mobil", "kontakt"), "Telefonní číslo"),
     PatternSpec("amount", "amount", rf"(?iu){WB}{MONEY}(?:Kč|CZK|korun|EUR|€){WB}", lambda c: c.rlike("[0-9]") & c.rlike("(?iu)Kč|CZK|korun|EUR|€"), _amount, ("cena", "částka", "korun", "platba", "hodnota"), "Finanční částka"),
     PatternSpec("bankAccount", "bankAccount", rf"{WB}(?:CZ[0-9]{{2}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}|[0-9]{{1,10}}[-/][0-9]{{4}}){WB}", _account_ok, V.no_spaces, label="Bankovní účet"),

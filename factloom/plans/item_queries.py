@@ -37,6 +37,7 @@ _MENTIONS = " UNION ALL ".join(
 )
 
 
+@query("VAL-14", with_contracts(f"m AS ({_CHECKED}) SELECT * FROM m"))
 def val_14(spark, d):
     return extract.checked(corpus.contracts(spark, d)).select("doc_id", "pattern", F.col("start").alias("start_pos"), F.col("value").alias("original_value"), "valid")
 
@@ -87,8 +88,7 @@ def win_01(spark, d):
 
 @query("WIN-02", with_contracts(f"{_ONCE} SELECT doc_id, query_id, pattern, start_pos, value, round(relevance, 6) AS relevance FROM scored"))
 def win_02(spark, d):
-    relevance = search.relevance(F.col("value"), F.col("type"), F.col("context"), F.col("query"))
-    return _first_ones(spark, d).select("doc_id", "query_id", "pattern", F.col("start").alias("start_pos"), "value", F.round(relevance, 6).alias("relevance"))
+    return _first_ones(spark, d).select("doc_id", "query_id", "pattern", F.col("start").alias("start_pos"), "value", F.round("relevance", 6).alias("relevance"))
 
 
 # -- whole forms of queries that look at a part ------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import values as V
 from factloom.operators import answers, audit, extract, locate, report, requests, results
 from factloom.operators import patterns as P
-from factloom.plans.queries import _ANS, _BIRTH, _EXT, _FLAT, _TABLE, LOG_SQL, ROWS_SQL, VALUES_SQL, _asked, _log, _places, _rows, _sql, _table, _values, query
+from factloom.plans.queries import _ANS, _BIRTH, _EXT, _FLAT, _POSITIONAL, _TABLE, _VERIFIED, LOG_SQL, ROWS_SQL, VALUES_SQL, _asked, _log, _places, _rows, _sql, _table, _values, query
 from factloom.sources import corpus, files
 from factloom.sources.corpus import with_contracts
 
@@ -16,6 +16,16 @@ _EDGE = "' ' || chr(9) || chr(10) || chr(13)"
 # -- files: written to the shared folder and read again ----------------------------------------------------------------
 
 
+@query("SRC-01", with_contracts("c AS (SELECT doc_id % 64 AS file, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM contracts GROUP BY 1) SELECT * FROM c"))
+def src_01(spark, d):
+    path = files.new_path(spark, "contracts")
+    texts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    rows = corpus.contracts(spark, d).groupBy((F.col("doc_id") % 64).alias("file")).agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n\n").alias("text"))
+    rows.write.partitionBy("file").text(path)
+    back = files.contract_files(spark, f"{path}/*/*.txt")  # the writer ends each text with a line feed
+    return back.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
 @query("SRC-04", with_contracts(f"{_ANS} SELECT doc_id, chunk_id, coalesce(nullif(raw_text, ''), 'Nenalezeno') AS answer FROM llm"))
 def src_04(spark, d):
     path = files.new_path(spark, "answers")
@@ -201,12 +211,17 @@ def _mapped(spark, d):
     return corpus.contracts(spark, d).select("doc_id", "text", locate.index_map(F.col("text")).alias("index_map"))
 
 
-@query("NRM-04")
+#: the only marks in contracts are those of one bold phrase: places after its first and second mark are two and four further on
+_MAP = """p AS (SELECT doc_id, text, instr(text, '**Kupní cena**') - 1 AS b, length(text) - CASE WHEN contains(text, '**Kupní cena**') THEN 4 ELSE 0 END AS n FROM contracts),
+    map AS (SELECT doc_id, list_transform(range(n), lambda i: CAST(CASE WHEN b < 0 OR i < b THEN i WHEN i < b + 10 THEN i + 2 ELSE i + 4 END AS INTEGER)) AS index_map FROM p)"""
+
+
+@query("NRM-04", with_contracts(f"{_MAP} SELECT doc_id, index_map FROM map"))
 def nrm_04(spark, d):
     return _mapped(spark, d).select("doc_id", "index_map")
 
 
-@query("NRM-05")
+@query("NRM-05", with_contracts(f"{_MAP}, u AS (SELECT doc_id, unnest(range(len(index_map))) AS i, index_map FROM map) SELECT doc_id, index_map[i + 1] AS original, list(CAST(i AS INTEGER) ORDER BY i) AS normalized FROM u GROUP BY 1, 2"))
 def nrm_05(spark, d):
     return locate.reverse_map(_mapped(spark, d))
 
@@ -256,9 +271,6 @@ def json_02(spark, d):
     return answers.completed(answers.flatten(bad), _asked(bad)).select("doc_id", "query", "value")
 
 
-_POSITIONAL = f"pos AS ({corpus.positional_sql()})"
-
-
 @query("JSON-04", with_contracts(rf"{_POSITIONAL} SELECT doc_id, CAST(json_array_length(regexp_extract(raw_text, '\{{.*\}}'), '$.results') AS INTEGER) AS n FROM pos WHERE contains(raw_text, '{{')"))
 def json_04(spark, d):
     rows = corpus.answers(spark, d, positional=True).select("doc_id", answers.placed(F.col("raw_text"))["results"].alias("r"))
@@ -279,7 +291,7 @@ def joi_02(spark, d):
     return answers.with_category(answers.flatten(corpus.answers(spark, d)), mapping).select("doc_id", "query", "category")
 
 
-@query("JOI-05", with_contracts("v AS (SELECT doc_id, text, regexp_extract(text, '[0-9]{6}/[0-9]{4}') AS value FROM contracts WHERE doc_id % 9 <> 0) SELECT doc_id, value, CAST(instr(text, value) - 1 AS INTEGER) AS start_pos, CAST(instr(text, value) - 1 + length(value) AS INTEGER) AS end_pos FROM v WHERE value <> ''"))
+@query("JOI-05", with_contracts(f"{_POSITIONAL}, {_VERIFIED} SELECT doc_id, value, start_pos, end_pos FROM verified"))
 def joi_05(spark, d):
     rows = corpus.answers(spark, d, positional=True).select("doc_id", F.posexplode(answers.placed(F.col("raw_text"))["results"]).alias("item", "r"))
     return answers.verified(rows, corpus.contracts(spark, d)).select("doc_id", "value", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
@@ -287,4 +299,4 @@ def joi_05(spark, d):
 
 @query("JOI-10", with_contracts("p AS (SELECT doc_id, instr(text, 'kupní cena') AS a, instr(lower(text), 'kupní cena') AS b FROM contracts) SELECT doc_id, CAST(CASE WHEN a > 0 THEN a - 1 WHEN b > 0 THEN b - 1 END AS INTEGER) AS place FROM p"))
 def joi_10(spark, d):
-    return corpus.contracts(spark, d).select("doc_id", answers.right_place(F.col("text"), F.lit("kupní cena")).alias("place"))
+    return corpus.contracts(spark, d).select("doc_id", answers.right_place(F.col("text"), F.lit(" kupní cena ")).alias("place"))

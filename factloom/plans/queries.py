@@ -13,6 +13,7 @@ from factloom.operators import answers, audit, extract, highlight, report, searc
 from factloom.operators import patterns as P
 from factloom.sources import corpus
 from factloom.sources.corpus import with_contracts
+from factloom.sources.files import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +30,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return dealt(df) if name == "documents" else df
 
 
 def _sql(spark: SparkSession, d: str, sql: str, table: str) -> DataFrame:
@@ -82,7 +84,7 @@ VALUES_SQL = """SELECT o_orderkey AS id, CASE CAST(o_orderkey % 14 AS INTEGER)
     WHEN 4 THEN concat(CAST(1 + o_custkey % 31 AS STRING), '.', CAST(1 + o_orderkey % 12 AS STRING), '.2024')
     WHEN 5 THEN concat(CAST(1 + o_custkey % 999 AS STRING), ' ', CAST(100 + o_orderkey % 900 AS STRING), '  Kč')
     WHEN 6 THEN CAST(10000000 + o_orderkey AS STRING)
-    WHEN 7 THEN ' Jan Novak ' WHEN 8 THEN '' WHEN 9 THEN concat('+420 777 ', CAST(100 + o_orderkey % 900 AS STRING), ' 456')
+    WHEN 7 THEN CASE WHEN o_custkey % 2 = 0 THEN ' Jan Novak ' ELSE concat('940919-', CAST(1000 + o_orderkey % 9000 AS STRING)) END WHEN 8 THEN '' WHEN 9 THEN concat('+420 777 ', CAST(100 + o_orderkey % 900 AS STRING), ' 456')
     WHEN 10 THEN '2024-01-31' WHEN 11 THEN concat(CAST(o_custkey AS STRING), '/', CAST(o_orderkey % 90 AS STRING))
     WHEN 12 THEN concat('7.850.', CAST(100 + o_orderkey % 900 AS STRING), ',- Kč') ELSE concat(CAST(o_custkey AS STRING), ',50 EUR') END AS value FROM orders"""
 _NS, _ONE = r"regexp_replace(value, '\s+', '', 'g')", r"trim(regexp_replace(value, '\s+', ' ', 'g'))"
@@ -94,8 +96,8 @@ _CHECKS = {
     "VAL-05": (V.is_rpsn, rf"regexp_matches(regexp_replace({_NS}, ',', '.'), '^[0-9]{{1,3}}(\.[0-9]{{1,2}})?%?$')"),
     "VAL-06": (V.is_date, r"(regexp_matches(trim(value), '^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}$') OR regexp_matches(trim(value), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'))"),
 }
-_BIRTH = r"""(regexp_matches(regexp_replace(value, '[\s/]', '', 'g'), '^[0-9]{9,10}$') AND coalesce((CASE WHEN TRY_CAST(substr(regexp_replace(value, '[\s/]', '', 'g'), 3, 2) AS INT) > 50 THEN TRY_CAST(substr(regexp_replace(value, '[\s/]', '', 'g'), 3, 2) AS INT) - 50
-    ELSE TRY_CAST(substr(regexp_replace(value, '[\s/]', '', 'g'), 3, 2) AS INT) END) BETWEEN 1 AND 12 AND TRY_CAST(substr(regexp_replace(value, '[\s/]', '', 'g'), 5, 2) AS INT) BETWEEN 1 AND 31, false))"""
+_BIRTH = r"""(regexp_matches(regexp_replace(value, '[^0-9]', '', 'g'), '^[0-9]{9,10}$') AND coalesce((CASE WHEN TRY_CAST(substr(regexp_replace(value, '[^0-9]', '', 'g'), 3, 2) AS INT) > 50 THEN TRY_CAST(substr(regexp_replace(value, '[^0-9]', '', 'g'), 3, 2) AS INT) - 50
+    ELSE TRY_CAST(substr(regexp_replace(value, '[^0-9]', '', 'g'), 3, 2) AS INT) END) BETWEEN 1 AND 12 AND TRY_CAST(substr(regexp_replace(value, '[^0-9]', '', 'g'), 5, 2) AS INT) BETWEEN 1 AND 31, false))"""
 _SUM = " + ".join(f"TRY_CAST(substr(value, {i + 1}, 1) AS INT) * {8 - i}" for i in range(7))
 _CHECKS |= {
     "VAL-09": (V.plausible_birth_number, _BIRTH),
@@ -141,7 +143,7 @@ _D = lambda i: rf"regexp_extract(value, '(\d{{1,2}})\.\s*(\d{{1,2}})\.\s*(\d{{4}
 _EXT = [
     ("birthNumber", r"\b\d{6}\s*/\s*\d{3,4}\b", _BIRTH, _NSV),
     ("fullName", rf"\b{_U}{_L}+\s+{_U}{_L}+(?:\s+{_U}{_L}+)?\b", rf"regexp_matches(value, '^{_U}{_L}+(\s+{_U}{_L}+){{1,3}}$')", _V),
-    ("address", rf"\b{_U}{_LS}+\s+\d+(?:/\d+)?[a-zA-Z]?,\s*\d{{3}}\s*\d{{2}}\s+{_U}{_LS}+", "true", _V),
+    ("address", rf"\b{_U}{_LS}+\s+\d+(?:/\d+)?[a-zA-Z]?,\s*\d{{3}}\s*\d{{2}}\s+{_U}{_LS}+", rf"regexp_matches(value, '\d{{3}}\s*\d{{2}}') AND regexp_matches(value, '{_U}{_L}')", _V),
     ("phoneNumber", r"(?:\+420\s?)?(?:\d{3}\s?\d{3}\s?\d{3}|\d{9})\b", f"(length({_DIG}) = 9 OR length({_DIG}) = 12 AND starts_with({_DIG}, '420'))", f"CASE WHEN starts_with({_DIG}, '420') THEN '+420 ' || substr({_DIG}, 4) ELSE {_DIG} END"),
     ("amount", rf"(?i)\b{_M}(?:Kč|CZK|korun|EUR|€)\b", "true", "regexp_replace(regexp_replace(value, '[^0-9,.]', '', 'g'), ',', '.') || ' ' || regexp_extract(value, '(?i)(Kč|CZK|korun|EUR|€)', 1)"),
     ("bankAccount", r"\b(?:CZ\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}|\d{1,10}[-/]\d{4})\b", "true", _NSV),
@@ -217,14 +219,23 @@ def questions(spark: SparkSession) -> DataFrame:
 _RULES = " ".join(f"WHEN rule = {i} THEN regexp_matches(folded, '{r}')" for i, (r, _) in enumerate(P.INTENTS))
 _NAMES = "(VALUES " + ", ".join(f"({i}, {j}, '{n}')" for i, (_, ns) in enumerate(P.INTENTS) for j, n in enumerate(ns)) + ") AS n(rule, j, pattern)"
 _ALL = "(VALUES " + ", ".join(f"({i}, '{s.name}')" for i, s in enumerate(P.PATTERNS)) + ") AS a(j, pattern)"
-_INTENT_SQL = f"""q AS (SELECT query_id, query, lower(strip_accents(query)) AS folded FROM {_Q}), hit AS (SELECT query_id, pattern, rule, j FROM q, {_NAMES} WHERE CASE {_RULES} END),
+
+
+def _intent_sql(source: str) -> str:
+    return f"""q AS (SELECT query_id, query, lower(strip_accents(query)) AS folded FROM {source}), hit AS (SELECT query_id, pattern, rule, j FROM q, {_NAMES} WHERE CASE {_RULES} END),
     intents AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rule, j) - 1 AS INTEGER) AS intent_ord, pattern FROM hit
     UNION ALL SELECT query_id, CAST(j AS INTEGER), a.pattern FROM q, {_ALL} WHERE query_id NOT IN (SELECT query_id FROM hit))"""
 
 
-@query("QRY-01", f"WITH {_INTENT_SQL} SELECT * FROM intents")
+_INTENT_SQL = _intent_sql(_Q)
+#: the lines of all conversations and contracts as queries, each known by its text
+_ASKED_LINES = f"""(SELECT query AS query_id, query FROM ({_LINES}) UNION SELECT text, text FROM contracts) AS t"""
+
+
+@query("QRY-01", with_contracts(f"{_intent_sql(_ASKED_LINES)} SELECT query_id AS query, intent_ord, pattern FROM intents"))
 def qry_01(spark, d):
-    return search.intents(questions(spark)).select("query_id", "intent_ord", "pattern")
+    lines = search.query_list(_table(spark, d, "conversations"), "conv_id", "text").select("query").unionByName(corpus.contracts(spark, d).select(F.col("text").alias("query")))
+    return search.intents(lines.distinct().withColumn("query_id", F.col("query"))).select("query", "intent_ord", "pattern")
 
 
 @query("SRC-02", r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) > 0) AS q FROM conversations)
@@ -284,11 +295,20 @@ def joi_03(spark, d):
     return answers.completed(answers.flatten(llm), _asked(llm))
 
 
-@query("JSON-06")
+_POSITIONAL = f"pos AS ({corpus.positional_sql()})"
+#: results within the text; those whose span holds another text are sought elsewhere
+_VERIFIED = r"""i AS (SELECT doc_id, unnest(range(1, len(r) + 1)) AS i, r FROM (SELECT doc_id, from_json(regexp_extract(raw_text, '\{.*\}'), '{"results":[{"label":"VARCHAR","value":"VARCHAR","start":"INTEGER","end":"INTEGER","confidence":"DOUBLE","type":"VARCHAR"}]}').results AS r FROM pos WHERE contains(raw_text, '{'))),
+    v AS (SELECT doc_id, text, CAST(i - 1 AS INTEGER) AS item, r[i].label AS label, r[i].value AS value, r[i].start AS s, r[i]."end" AS e, r[i].confidence AS c, r[i].type AS type FROM i JOIN contracts USING (doc_id)),
+    w AS (SELECT *, trim(substr(text, s + 1, e - s)) = trim(value) AS same, coalesce(nullif(instr(text, trim(value)), 0), nullif(instr(lower(text), lower(trim(value))), 0)) - 1 AS place FROM v WHERE value <> '' AND s >= 0 AND s < e AND e <= length(text)),
+    verified AS (SELECT doc_id, item, label, CASE WHEN same THEN value ELSE substr(text, place + 1, length(trim(value))) END AS value, CAST(CASE WHEN same THEN s ELSE place END AS INTEGER) AS start_pos,
+    CAST(CASE WHEN same THEN e ELSE place + length(trim(value)) END AS INTEGER) AS end_pos, round(CASE WHEN same THEN c ELSE greatest(0.5, coalesce(nullif(c, 0), 0.8) - 0.2) END, 9) AS confidence, type FROM w WHERE same OR place IS NOT NULL)"""
+
+
+@query("JSON-06", with_contracts(f"{_POSITIONAL}, {_VERIFIED} SELECT * FROM verified"))
 def json_06(spark, d):
     placed = answers.placed(F.col("raw_text"))["results"]
     rows = corpus.answers(spark, d, positional=True).select("doc_id", F.posexplode(placed).alias("item", "r"))
-    return answers.verified(rows, corpus.contracts(spark, d)).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+    return answers.verified(rows, corpus.contracts(spark, d)).withColumnsRenamed({"start": "start_pos", "end": "end_pos"}).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("JSON-03", "SELECT doc_id, text AS answer FROM documents")

@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: small files are one partition each, too few for work that is dear for each row.
+
+    Tables of as many partitions or more, as all large ones are, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def contract_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text: each file as one row."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -20,9 +29,20 @@ def model_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """A new path in the folder named by spark.checkpoint.dir."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors see.
+
+    A local session that names none, as in tests, gets a new temporary folder; on a cluster that would lie on each machine's own disk.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="spark-factloom-")
+        spark.sparkContext.setCheckpointDir(there)
         spark.conf.set("spark.checkpoint.dir", there)
-    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return there

@@ -162,3 +162,30 @@ def test_yes_no_answers(spark):
     assert column(spark, lambda c: answers.yes_no(c)["answer"], raw) == ["Ano", *raw[1:]]
     assert column(spark, lambda c: answers.yes_no(c)["fullContext"], raw) == ["x", None, None, None, None]
     assert {r[0] for r in plans.QUERIES["JSON-03-whole"](spark, D).select(F.col("full_context").isNull()).distinct().collect()} == {True, False}
+
+
+def test_rules_that_the_contracts_do_not_tell_apart(spark):
+    assert column(spark, V.plausible_birth_number, ["940919-1022", "94.09.19 1022", "940919", "94091910222"]) == [True, True, False, False]
+    docs = spark.createDataFrame([(1, "A  5, 110 00 B , Dlouhá 5, 110 00 Praha."), (2, "cena 7 850 000 KČ")], "doc_id int, text string")
+    found = {(r.value.strip(), r.valid) for r in extract.checked(docs).where("pattern = 'address'").collect()}
+    assert found == {("A  5, 110 00 B", False), ("Dlouhá 5, 110 00 Praha", True)}
+    said = spark.createDataFrame([(2, "celkem 7 850 000 KČ"), (2, "7 850 000 EUR")], "doc_id int, answer string")
+    assert {(r.start, r.end, r.text) for r in locate.individual_values(said, docs).collect()} == {(5, 17, "7 850 000 KČ")}
+    assert column(spark, lambda c: answers.right_place(F.lit("Ulice Praha"), c), [" praha ", "Praha", "Brno"]) == [6, 6, None]
+
+
+def test_results_outside_the_text_are_dropped(spark):
+    text = "x" * 24 + "Praha"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [(24, 999, "Praha"), (9, 3, "Praha"), (-1, 4, "Praha"), (24, 29, " Praha "), (3, 8, " praha"), (3, 8, "Brno"), (3, None, "Praha")]
+    rows = [(1, i, ("l", v, a, b, 0.9 if i % 2 else 0.0, "t", "")) for i, (a, b, v) in enumerate(spans)]
+    given = spark.createDataFrame(rows, "doc_id long, item int, r struct<label:string,value:string,start:int,end:int,confidence:double,type:string,context:string>")
+    got = sorted((r.item, r.value, r.start, r.end, round(r.confidence, 6)) for r in answers.verified(given, docs).collect())
+    assert got == [(3, " Praha ", 24, 29, 0.9), (4, "Praha", 24, 29, 0.6)]
+
+
+def test_small_tables_are_dealt_to_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert files.dealt(spark.range(9).coalesce(1)).rdd.getNumPartitions() == cores
+    many = spark.range(9).repartition(cores + 3)
+    assert files.dealt(many) is many
