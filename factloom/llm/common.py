@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors see.
-
-    Where the session names none (a single machine, as in tests) a new temporary folder is set.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = tempfile.mkdtemp(prefix="spark-factloom-")
-        spark.sparkContext.setCheckpointDir(there)
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
+from factloom.sources.files import new_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,12 +3,13 @@
 Rows are dealt by hash into shards of bounded size; each shard becomes a ball tree, packed into one row. Queries are
 packed into blocks of bounded size. Each (query block, shard) pair is one unit of work. Nodes are taken best first by their upper
 bound q.c + |q| r, and a search ends when the best bound left is below the query's current k-th score. That score is
-shared: a first pass over one pilot shard gives every query a k-th score, with which the searches of the other shards begin.
+shared: a first pass over one pilot shard gives every query a k-th score, with which the searches of the other shards begin, and
+each tree that a task searches raises it for the task's next ones.
 Bounds carry a slack for rounding and equal scores are never cut, so the result is exact.
 
 Components become floor(scale * x), x taken as double. Vectors that are null or hold null, NaN or infinite components take
 no part. Vectors of unlike length are compared on the components they share. Rows with the query's own id
-are not its candidates. Ties go to the smaller id. Fewer candidates than k give fewer rows; an empty table gives none. Only
+are not its candidates. A repeated row is one query, but each of its copies is a candidate of others. Ties go to the smaller id. Fewer candidates than k give fewer rows; an empty table gives none. Only
 the named columns are read.
 """
 
@@ -142,7 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     dealt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
     trees = stored(rows.withColumn("shard", dealt).groupBy("shard").applyInPandas(plant, "shard int, tree binary"), "trees")
     dealt = F.pmod(F.xxhash64("v", "vec_id"), F.lit(blocks)).cast("int")
-    queries = stored(rows.where(is_query).withColumn("block", dealt).groupBy("block").applyInPandas(pack, "block int, asked binary"), "queries")
+    queries = stored(rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("block", dealt).groupBy("block").applyInPandas(pack, "block int, asked binary"), "queries")
     found = "block int, query_id long, vec_id long, score long"
 
     def pilot(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,12 +154,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                 yield pd.DataFrame([(block, *h) for h in hits], columns=["block", "query_id", "vec_id", "score"])
 
     def rest(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[int]] = {}  # the best scores that this task's trees have given each query so far
         for pdf in pairs:
             for block, tree, asked, known in zip(pdf["block"], pdf["tree"], pdf["asked"], pdf["known"], strict=True):
                 q = _unpack(asked)
                 kth = {r["query_id"]: r["kth"] for r in (known if known is not None else [])}
-                least = np.array([kth.get(int(i), -np.inf) for i in q["ids"]], dtype=float)
+                now = [held.get(int(i), []) for i in q["ids"]]
+                least = np.array([max(kth.get(int(i), -np.inf), h[-1] if len(h) == k else -np.inf) for i, h in zip(q["ids"], now, strict=True)], dtype=float)
                 hits = list(search(_unpack(tree), q["ids"], q["vectors"], least, k))
+                for query_id, _, score in hits:
+                    held[query_id] = sorted([*held.get(query_id, []), score], reverse=True)[:k]
                 yield pd.DataFrame([(block, *h) for h in hits], columns=["block", "query_id", "vec_id", "score"])
 
     def paired(trees: DataFrame, queries: DataFrame, first: int) -> DataFrame:

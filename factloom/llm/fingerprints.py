@@ -29,6 +29,7 @@ WORD = re.compile(r"\w+")
 #: Shares of the lexicon that the subsets keep: all of it once, then tiers of falling rates.
 RATES = [1.0, *(r for i in range(3, 10) for r in [2.0**-i] * 7)]
 KEPT = 400_000
+PART = 64_000_000  # characters
 
 
 def _hash(word: str) -> int:
@@ -109,12 +110,14 @@ def edited_and_next(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id",
     """Each document's fingerprint beside that of its edited text and of the next document by id.
 
     The edited text's last floor(n / 2) code points are replaced by as many (or all) first ones of the next document. After the
-    last comes the first; null ids come last. Documents are dealt by ranges of ids into as many parts as the session shuffles into; a
+    last comes the first; null ids come last. Documents are dealt by ranges of ids into as many parts as the session shuffles into, and
+    more where these would hold above PART characters; each part has a task of its own; a
     part is streamed in order, and the first document of each part is sent to the part before it as well, so texts move once.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART))
     rows = rows.withColumn("o", F.coalesce("doc_id", F.lit(2**63 - 1)))
     bounds = sorted(set(rows.approxQuantile("o", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []))
     part = sum([(F.col("o") > int(b)).cast("int") for b in bounds], F.lit(0)) if len(bounds) <= 32 else F.size(F.filter(F.lit([int(b) for b in bounds]), lambda b: b < F.col("o")))
@@ -124,7 +127,10 @@ def edited_and_next(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id",
     before = F.broadcast(spark.createDataFrame(before, "o long, before int"))
     both = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("after")), F.struct(F.col("before").alias("part"), F.lit(1).alias("after")))
     rows = rows.join(before, "o", "left").withColumn("to", F.explode(F.when(F.col("before").isNull(), F.slice(both, 1, 1)).otherwise(both)))
-    rows = rows.select("to.part", "to.after", "o", "doc_id", "text").repartition(parts, "part").sortWithinPartitions("part", "after", "o", F.xxhash64("text"))
+    # hash partitioning of small numbers gives some tasks several parts: each part takes a number that is dealt to a task of its own
+    own = {r["task"]: r["id"] for r in spark.range(40 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("task")).agg(F.min("id").alias("id")).collect()}
+    dealt = F.get(F.lit([own.get(i, i) for i in range(parts)]).cast("array<long>"), F.col("part"))
+    rows = rows.select("to.part", "to.after", "o", "doc_id", "text").withColumn("dealt", dealt).repartition(parts, "dealt").drop("dealt").sortWithinPartitions("part", "after", "o", F.xxhash64("text"))
     sent = spark.sparkContext.broadcast(terms)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

@@ -40,26 +40,29 @@ MORE = [
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "attribution sharealike 4 0"),
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced", "all rights reserved no part of this publication"),
 ]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words. lower() also folds letters beyond A-Z; that moves no word boundary and touches no template."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+    """Words with A-Z lower-cased."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), "")
 
 
 def _templates(spark, base, more) -> DataFrame:
-    """template, label, is_base, grams, tpos, naming (how many k-grams the name has, if this is one of them, else 0) and the k words of each k-gram.
+    """template, label, is_base, grams, tpos, bit (of tpos), naming (how many k-grams the name has, if this is one of them, else 0) and the k words of each k-gram.
 
     Template -1 is the marker.
     """
-    rows = [(-1, "", False, 1, -1, 0, "", "", "")]
+    rows = [(-1, "", False, 1, -1, 1, 0, "", "", "")]
     for i, (label, phrase, name) in enumerate([*((label, phrase, phrase) for label, phrase in base), *more]):
         words, named = phrase.split(" "), name.split(" ")
         n, m = len(words) - K + 1, len(named) - K + 1
+        if n > 62:
+            raise ValueError("a template has at most 64 words: its k-grams are the bits of a long")
         at = next(p for p in range(n) if m > 0 and words[p : p + len(named)] == named)
-        rows += [(i, label, i < len(base), n, p, m if at <= p < at + m else 0, *words[p : p + K]) for p in range(n)]
-    return spark.createDataFrame(rows, "template int, label string, is_base boolean, grams int, tpos int, naming int, t0 string, t1 string, t2 string").withColumn(
+        rows += [(i, label, i < len(base), n, p, 1 << p, m if at <= p < at + m else 0, *words[p : p + K]) for p in range(n)]
+    return spark.createDataFrame(rows, "template int, label string, is_base boolean, grams int, tpos int, bit long, naming int, t0 string, t1 string, t2 string").withColumn(
         "gram", F.when(F.col("template") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("t0", "t1", "t2"))
     )
 
@@ -82,10 +85,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE,
     grams = grams.withColumn("gram", F.when(at < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("w0", "w1", "w2")))
     same = ((at < 0) & (F.col("template") < 0)) | ((at >= 0) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")))
     hits = grams.join(F.broadcast(_templates(spark, base, more)), "gram").where(same)  # the templates are a fixed list
-    hits = hits.select("row", "doc_id", "size", "template", "label", "is_base", "grams", "naming", "at", (at - F.col("tpos")).alias("diagonal")).repartition("row")
+    hits = hits.select("row", "doc_id", "size", "template", "label", "is_base", "grams", "naming", "bit", "at", (at - F.col("tpos")).alias("diagonal")).repartition("row")
     diagonals = hits.groupBy("row", "template", "diagonal").agg(
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("label").alias("label"), F.first("is_base").alias("is_base"),
-        F.first("grams").alias("grams"), F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"),
+        F.first("grams").alias("grams"), F.bit_or("bit").alias("held"), F.min("at").alias("low"), F.max("at").alias("high"),
         (F.count(F.when(F.col("naming") > 0, 1)) == F.max("naming")).alias("named"), (F.max("naming") > 0).alias("names"),
     )
     order = W.partitionBy("row", "template").orderBy("diagonal")
@@ -94,7 +97,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE,
     found = merged.groupBy("row", "template", "run").agg(
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("label").alias("label"), F.first("is_base").alias("is_base"),
         F.min("diagonal").alias("start"), F.min("low").alias("low"), (F.max("high") + K - 1).alias("high"),
-        F.least(F.lit(1.0), F.sum("votes") / F.first("grams")).alias("share"),
+        (F.bit_count(F.bit_or("held")) / F.first("grams")).alias("share"),  # different k-grams of the template, however often they come
         F.bool_or(F.col("named") & F.col("names")).alias("named"),
     )
     whole = F.col("is_base") & (F.col("share") == 1)

@@ -7,12 +7,13 @@ extra turn is chosen by the cube method: the vector of inclusion probabilities m
 constraints, the source's expected words and documents, until every entry but a few is 0 or 1. That is done in blocks of
 bounded size in parallel; what each block leaves undecided (at most two documents or so) meets in blocks of the next level,
 until one block for each source is left. There the last few documents are rounded, and a
-reserve of small documents, left out of the flight until then, takes the turns that make up the difference (the landing).
+reserve of small documents, left out of the flight until then, takes the turns that make up the difference (the landing). Where that
+is too little, as in a source of few documents and a very long one, one or two turns at a time are changed.
 
 Random numbers come from hashes of the documents, and blocks from the same hash, so reruns agree whatever the partitions.
 Null texts have size 0; documents of size 0 take no words. A null source is a source like any other and comes last. Identical
 rows may be taken different numbers of times. With no words at all every target is 0. An empty table gives an empty
-result. Clashing column names do not matter: only the named columns are read.
+result. Other columns only tell rows apart, so that clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql.window import Window as W
 from factloom.llm.common import stored
 
 BLOCK, FAN, RESERVE, LAST = 8192, 2048, 256, 10
+NEAR = 0.001  # share of its target by which a source may miss it before turns are changed
 SCHEMA = "key long, doc_id string, source string, size long, source_size long, target double, whole int, p double, blocks long, block long"
 
 
@@ -109,6 +111,28 @@ def landing(size: np.ndarray, p: np.ndarray, chance: np.ndarray, words: float) -
     return z
 
 
+def settled(size: np.ndarray, z: np.ndarray, short: float) -> np.ndarray:
+    """Turns (0 or 1) of which one or two at a time are changed while that brings their words nearer; short: the words they lack."""
+    z, own = z.copy(), np.arange(len(z))
+    for _ in range(8):
+        adds = np.where(z > 0.5, -size, size)
+        order = np.argsort(adds, kind="stable")
+        adds = adds[order]
+        ways = [(np.abs(short - adds), own)]  # a single change is a pair with itself
+        near = np.searchsorted(adds, short - adds)
+        for step in (-1, 0, 1):
+            other = np.clip(near + step, 0, len(z) - 1)
+            ways.append((np.where(other == own, np.inf, np.abs(short - adds - adds[other])), other))
+        error, other = min(ways, key=lambda w: w[0].min())
+        i = int(error.argmin())
+        if not error[i] < abs(short):
+            break
+        change = sorted({i, int(other[i])})
+        short -= float(adds[change].sum())
+        z[order[change]] = 1 - z[order[change]]
+    return z
+
+
 def _level(docs: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -124,18 +148,26 @@ def _level(docs: DataFrame) -> DataFrame:
             hand = fly[(p[fly] > 0) & (p[fly] < 1)]
             p[hand] = landing(size[hand], p[hand], chance[hand], float((size[hand] * p[hand]).sum()))
             p[kept] = landing(size[kept], p[kept], chance[kept], total - float((size[fly] * p[fly]).sum()))
+            short = total - float((size * p).sum())
+            if len(open_) and abs(short) > NEAR * pdf["target"].iloc[0]:
+                p[open_] = settled(size[open_], p[open_], short)
         return pdf.assign(p=p)
 
     return docs.groupBy("source", "block").applyInPandas(run, SCHEMA)
 
 
+def row_key(docs: DataFrame, text: str) -> Column:
+    """A hash of the whole row, so that rows that differ in any column are different ones."""
+    return F.xxhash64(text, F.to_json(F.struct(*[c for c in docs.columns if c != text])))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
     """key, doc_id, source, size, source_size, target, copies (how often the mix takes the document) and taken (words).
 
-    key is xxhash64(doc_id, text).
+    key is row_key(docs). Ids that are no numbers become null.
     """
-    text, doc_id = F.col(text), F.col(doc_id)
-    sized = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.cast("string").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
+    key, text, doc_id = row_key(docs, text), F.col(text), F.col(doc_id)
+    sized = docs.select(key.alias("key"), doc_id.cast("string").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
     sized = stored(sized, "sizes")  # the texts are read once
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = stored(targets(sources, weights, cap), "targets").withColumnRenamed("source", "of")
@@ -159,14 +191,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.round("p").cast("int")
-    return out.select("key", F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.select("key", F.col("doc_id").try_cast("long").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **names) -> DataFrame:
-    """The rows of docs as the mix takes them: some never, some repeatedly."""
+    """The rows of docs as the mix takes them: some never, some repeatedly. Only rows that are equal in all columns stand for each other."""
     turns = mix(docs, **names).groupBy("key").agg(F.sum("copies").alias("turns")).where("turns > 0")
-    doc_id, text = names.get("doc_id", "doc_id"), names.get("text", "text")
     key, taken = "_mix_key", "_mix_turns"
     turns = turns.select(F.col("key").alias(key), F.col("turns").alias(taken))
-    rows = docs.withColumn(key, F.xxhash64(doc_id, text)).dropDuplicates([key]).join(turns, key)  # equal rows stand for each other
+    rows = docs.withColumn(key, row_key(docs, names.get("text", "text"))).dropDuplicates([key]).join(turns, key)
     return rows.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(taken).cast("int")))).select(*docs.columns)

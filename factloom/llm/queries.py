@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, chat_format, exact_topk, fingerprints, license_scan, mixing, parity_join, token_counts, toxicity, url_filters
 from factloom.llm.common import table
+from factloom.sources.files import dealt
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     learn = table(spark, sf_dir, "labels").where(toxicity.fold(F.col("doc_id")) != 0)
     scored = toxicity.score(docs, toxicity.fit(docs, learn))
     held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
@@ -23,7 +24,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
@@ -41,7 +42,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(
         "doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -49,12 +50,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parity_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, s=0.9, links_too=True)
+    found = parity_join.near_duplicates(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), k=3, s=0.9, links_too=True)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return fingerprints.edited_and_next(docs, fingerprints.lexicon(docs))
 
 
@@ -75,6 +76,17 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
+def _level(name: str, rows: str, parent: str, key: str) -> str:
+    """rate and strength of the groups of a level, shrunk towards their parents."""
+    return f"""{name}_m AS (SELECT sum(k) / sum(n) AS m, sum(k * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS v FROM {rows} WHERE n > 0),
+        {name}_s AS (SELECT CASE WHEN v > 1e-9 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 200.0) ELSE 200.0 END AS strength FROM {name}_m),
+        {name}_r AS (SELECT c.*, {name}_s.strength, (c.k + {name}_s.strength * p.rate) / (c.n + {name}_s.strength) AS rate FROM {rows} c JOIN {parent} p USING ({key}), {name}_s)"""
+
+
+_RULES = sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))
+_FITS = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in _RULES]
+_SUFFIXES = ", ".join(f"'{s}'" for s in url_filters.SUFFIXES)
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """
@@ -84,4 +96,17 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",
+    "op10_url_filter": rf"""
+        WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        r AS (SELECT *, CASE {" ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(_FITS, _RULES, strict=True))} END AS rule,
+              CASE {" ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(_FITS, _RULES, strict=True))} END AS told FROM u),
+        h AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, count(told)::DOUBLE AS n, count(CASE WHEN told = 'block' THEN 1 END)::DOUBLE AS k FROM r GROUP BY host),
+        l AS (SELECT *, string_split(bare, '.') AS labels, regexp_matches(bare, '^[0-9]+(\.[0-9]+){{3}}$') AS address FROM h),
+        t AS (SELECT *, array_to_string(labels[-2:], '.') IN ({_SUFFIXES}) AS listed FROM l),
+        hosts AS (SELECT host, n, k, CASE WHEN address THEN bare WHEN listed THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain,
+                  CASE WHEN address THEN '' WHEN listed THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix FROM t),
+        domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, 1 AS one FROM domains GROUP BY 1),
+        whole AS (SELECT 1 AS one, (sum(k) + 1) / (sum(n) + 2) AS rate FROM suffixes), {_level("s", "suffixes", "whole", "one")}, {_level("d", "domains", "s_r", "suffix")}, {_level("e", "hosts", "d_r", "domain")}
+        SELECT page_id, host, path, rule, coalesce(told, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN e_r USING (host)""",
 }

@@ -4,7 +4,7 @@ Fitting takes a bounded sample of labelled rows (max_rows, by the order of a has
 and word beginnings that are most over-represented among toxic labels (max_terms; signed z of least_z or more, none of the clean side), and holds a bounded bank of
 examples (max_examples). Word beginnings let an inflected form share a term with the forms seen. All three bounds are parameters; none depends on the table.
 
-Scoring runs over every whole text. The index holds each term's postings in blocks of examples with the block's largest
+Scoring runs over every whole text. Words are whole, however long. The index holds each term's postings in blocks of examples with the block's largest
 weight. A text's upper bound for a block is the sum of its weights times these; blocks are scored exactly in falling
 order of bound until the bound is below the current k-th cosine, so the k nearest are exact (equal cosines: the earlier
 example). Votes weigh by 1 / (distance + 0.05) and by how many labelled rows an example stands for. Votes are mapped to
@@ -39,7 +39,6 @@ BLOCK, KEPT, CHARS = 64, 300_000, 4_000_000
 
 
 def terms_of(word: str) -> list[str]:
-    word = word[:40]
     return [word, *(word[:n] + "*" for n in STARTS if len(word) > n)]
 
 
@@ -194,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", lab
             found = [sorted(model.found(t).items()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("tune"), pa.array([[t for t, _ in f] for f in found], type=pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], type=pa.list_(pa.int32()))], names=["id", "y", "tune", "at", "n"])
 
-    # at most max_rows short rows
+    # at most max_rows short rows; their votes and the index are made on the driver
     vectors_of = rows.select(F.col("id").cast("long").alias("id"), "y", "tune", "text").mapInArrow(vectors, "id long, y int, tune boolean, at array<int>, n array<int>")
     got = sorted((r["id"], r["y"], tuple(zip(r["at"], r["n"], strict=True)), r["tune"]) for r in vectors_of.collect())
     bare = [y for _, y, f, tune in got if tune and not f]

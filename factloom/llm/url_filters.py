@@ -3,7 +3,7 @@
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's path; the longest rule
 wins. Pages that a rule decides are the labelled outcomes (blocked or allowed). A page without a rule is judged by its
 host: the host's share of blocked outcomes is shrunk towards that of its registered domain, which is shrunk towards its
-suffix, which is shrunk towards all pages. Each level's prior is a beta distribution whose mean is the parent's
+suffix (the last label, or one of the listed suffixes of several labels; a port does not count, an IPv4 address is a domain of its own without a suffix), which is shrunk towards all pages. Each level's prior is a beta distribution whose mean is the parent's
 posterior mean and whose strength is fitted to the level's own groups by moments. The page is blocked when the lower
 bound of the host's posterior block rate is above a threshold.
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: public suffixes of two labels, a parameter
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -75,9 +77,18 @@ def _shrunk(child: DataFrame, parent: DataFrame, key: str, low: float, high: flo
     return out.withColumn("rate", (F.col("k") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength")))
 
 
-def reputation(hosts: DataFrame, low: float = 2.0, high: float = 200.0, z: float = 1.645) -> DataFrame:
+def with_domain(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """hosts with domain (the registered one) and suffix."""
+    bare = F.regexp_replace("host", ":[0-9]*$", "")
+    last, two, three = (F.substring_index(bare, ".", -i) for i in (1, 2, 3))
+    address, listed = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$"), two.isin(*suffixes)
+    domain = F.when(address, bare).when(listed, three).otherwise(two)
+    return hosts.withColumns({"domain": domain, "suffix": F.when(address, "").when(listed, two).otherwise(last)})
+
+
+def reputation(hosts: DataFrame, low: float = 2.0, high: float = 200.0, z: float = 1.645, suffixes=SUFFIXES) -> DataFrame:
     """hosts(host, n outcomes, k of them blocked) with the posterior rate and its lower bound."""
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    hosts = with_domain(hosts, suffixes)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
     whole = suffixes.groupBy("all").agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("rate"))

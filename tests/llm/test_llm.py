@@ -232,6 +232,31 @@ def test_topk(spark):
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_topk_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), *[(i, [float(i), 0.0]) for i in range(1, 14)]]
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got)] == [(i + 1, 13 - i) for i in range(10)]
+
+
+def test_url_filter_oracle(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{D}/pages.parquet'")
+    plain = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert plain(queries.op10_url_filter(spark, D).collect()) == plain(con.execute(queries.ORACLES["op10_url_filter"]).fetchall())
+    # a corpus in which the method itself blocks: rules decide some pages of a host, reputation the others
+    urls = [f"http://h{i % 7}.net:{i % 3}80/{i}" for i in range(60)] + [f"http://x{i % 2}.example.com/{'de' if i % 3 else 'en'}/{i}" for i in range(60)]
+    urls += [f"http://b.co.uk/fr/{i}" for i in range(9)] + ["http://a.b.co.uk:80/", "http://10.0.0.1:8080/x", "http://10.0.0.1/y", None, "x", "http://net/"] * 2
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con.execute("CREATE OR REPLACE TABLE given (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?, ?)", list(enumerate(urls)))
+    want = con.execute(queries.ORACLES["op10_url_filter"].replace("FROM pages", "FROM given")).fetchall()
+    got = url_filters.judge(df).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert plain(got) == plain(want) and any(r.rule is None and r.verdict == "block" for r in got)
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.co.uk:80", "10.0.0.1:8080", "x.example.com", "net", "", "co.uk")], "host string")
+    told = {r.host: (r.domain, r.suffix) for r in url_filters.with_domain(hosts).collect()}
+    assert told == {"a.b.co.uk:80": ("b.co.uk", "co.uk"), "10.0.0.1:8080": ("10.0.0.1", ""), "x.example.com": ("example.com", "com"), "net": ("net", "net"), "": ("", ""), "co.uk": ("co.uk", "co.uk")}
+
+
 def test_topk_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{D}/embeddings.parquet'")
@@ -248,6 +273,29 @@ def test_mixing(docs, odd):
     assert mixing.mix(odd).count() == odd.count() and mixing.mixed(odd).columns == odd.columns and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_comes_near_its_targets(spark):
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, plain = mixing.mix(docs).collect(), {r.doc_id: r for r in docs.select("doc_id", "text", "source").collect()}
+    sizes, taken = {}, {}
+    for r in plain.values():
+        sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
+    for r in rows:
+        source = plain[r.doc_id].source
+        assert r.size == words(plain[r.doc_id].text) and r.source_size == sizes[source] and r.taken <= 3 * r.size
+        taken[source] = taken.get(source, 0) + r.taken
+    off = {plain[r.doc_id].source: (taken[plain[r.doc_id].source], r.target) for r in rows}
+    assert all(abs(got - target) <= max(50, 0.01 * target) for got, target in off.values()), off
+
+
+def test_mixing_of_rows_that_differ_in_one_column(spark):
+    rows = [(1, "same text here", "en", "a"), (1, "same text here", "en", "b"), (1, "same text here", "de", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(map(tuple, mixing.mixed(df, weights=(1, 2)).collect())) == sorted(rows)
+    odd = spark.createDataFrame([("x7", "one two", "a"), ("8", "three", "a")], "doc_id string, text string, source string")
+    assert sorted((r.doc_id is None, r.size) for r in mixing.mix(odd).collect()) == [(False, 1), (True, 2)]
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), (None, 1000), ("c", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -287,6 +335,7 @@ def test_license_scan(spark, odd):
 def test_license_spans_need_the_name(spark):
     wrong = ["released under the terms of the gnu general public license", "released under the terms of the agreement", "licensed under the apache license version 1 1",
              "This work is licensed under the GNU General Public License, version 2", "creative commons attribution 4 0 international license", "this source code form is subject to the terms of the agreement v 2 0"]
+    wrong += ["all rights reserved " * 8, "licensed under the apache license version 3 of the"]
     right = {p: a for a, p, _ in license_scan.MORE} | {"This work is licensed under the new GNU General Public License, version 3.": "gpl-3", "released under all the terms of the MIT License": "mit"}
     df = spark.createDataFrame(list(enumerate([*wrong, *right])), "doc_id long, text string")
     rows = {r.doc_id: r for r in license_scan.scan(df).collect()}
