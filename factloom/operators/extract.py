@@ -11,30 +11,36 @@ from factloom.functions.textnorm import js_trim
 from factloom.operators import patterns as P
 
 SPAN = "array<struct<start:int,end:int,value:string,part:string>>"
+MARK = "\x01"
 
 
 def found(text: Column, regex: str) -> Column:
-    """All matches of the pattern and the gaps around them. Matches must not be empty."""
-    return F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("values"), F.split(text, regex, -1).alias("gaps"))
+    """The text cut before and after each match of the pattern: gap, match, gap, and so on to a last gap. Matches must not be empty.
+
+    Matches are put between marks and the text is cut at these, so the pattern runs once; a text that holds the mark itself is
+    searched for the matches and for the gaps.
+    """
+    cut = F.split(F.regexp_replace(text, regex, f"{MARK}$0{MARK}"), MARK, -1)
+    gaps, matches = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    pairs = F.flatten(F.zip_with(gaps, matches, lambda gap, match: F.array(gap, match)))  # the last gap has no match beside it
+    return F.when(text.contains(MARK), F.filter(pairs, lambda x: x.isNotNull())).otherwise(cut)
 
 
 def spans(found: Column, regex: str, group: int = 0) -> Column:
     """From found(): start, end (0-based, exclusive, code points), value and the group (which the match alone must tell).
 
     Starts are running sums of the lengths of the gaps and the matches before. found must be a column of a projection below,
-    or its patterns run once for each mention of it here.
+    or its pattern runs once for each mention of it here.
     """
-    values = found["values"]
-    both = F.arrays_zip(F.slice(found["gaps"], 1, F.size(values)).alias("gap"), values.alias("value"))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), (F.regexp_extract(x["value"], regex, group) if group else x["value"]).alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        end = acc["at"] + F.length(x)
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), x.alias("value"), (F.regexp_extract(x, regex, group) if group else x).alias("part"))
+        out = F.when(acc["match"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), out.alias("out"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.coalesce(F.aggregate(both, none, add, lambda acc: acc["out"]), F.array().cast(SPAN))
+    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(SPAN).alias("out"))
+    return F.coalesce(F.aggregate(found, none, add, lambda acc: acc["out"]), F.array().cast(SPAN))
 
 
 def context(text: Column, start: Column, end: Column, radius: Column | int) -> Column:

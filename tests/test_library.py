@@ -1,5 +1,7 @@
 """Oracle runs of all registered queries, and properties and hand-made cases of the operators."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +191,10 @@ def test_small_tables_are_dealt_to_all_cores(spark):
     assert files.dealt(spark.range(9).coalesce(1)).rdd.getNumPartitions() == cores
     many = spark.range(9).repartition(cores + 3)
     assert files.dealt(many) is many
+
+
+def test_spans_of_texts_that_hold_the_mark_or_nothing(spark):
+    texts = ["a 12 b 3", "", None, f"x{extract.MARK} 7 {extract.MARK} 88", "12", "none", extract.MARK, "\U0001f600 5 é 6$1"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("found", extract.found(F.col("text"), "[0-9]+"))
+    got = {r.i: [(x.start, x.end, x.value) for x in r.s] for r in rows.select("i", extract.spans(F.col("found"), "[0-9]+").alias("s")).collect()}
+    assert got == {i: [(*m.span(), m.group()) for m in re.finditer("[0-9]+", t or "")] for i, t in enumerate(texts)}
