@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.textnorm import js_trim
 from factloom.operators import patterns as P
 
-SPAN = "array<struct<start:int,end:int,value:string,part:string>>"
 MARK = "\x01"
 
 
@@ -26,21 +23,24 @@ def found(text: Column, regex: str) -> Column:
     return F.when(text.contains(MARK), F.filter(pairs, lambda x: x.isNotNull())).otherwise(cut)
 
 
-def spans(found: Column, regex: str, group: int = 0) -> Column:
-    """From found(): start, end (0-based, exclusive, code points), value and the group (which the match alone must tell).
+def placed(docs: DataFrame, sought: list[tuple[str, int, str]], *keep: str) -> DataFrame:
+    """The kept columns, pattern, pattern_no, match_ord, start, end (0-based, exclusive, code points), value: all matches of (pattern, pattern_no, regex).
 
-    Starts are running sums of the lengths of the gaps and the matches before. found must be a column of a projection below,
-    or its pattern runs once for each mention of it here.
+    A row for each pattern that occurs in a text, then one for each match; starts are running sums of the lengths of the gaps and
+    the matches before.
     """
 
     def add(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), x.alias("value"), (F.regexp_extract(x, regex, group) if group else x).alias("part"))
-        out = F.when(acc["match"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), out.alias("out"))
+        return F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
-    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(SPAN).alias("out"))
-    return F.coalesce(F.aggregate(found, none, add, lambda acc: acc["out"]), F.array().cast(SPAN))
+    rows = docs.select(*keep, *[found(F.col("text"), regex).alias(f"_{name}{no}") for name, no, regex in sought])
+    cuts = F.array(*[F.struct(F.lit(name).alias("pattern"), F.lit(no).alias("pattern_no"), F.col(f"_{name}{no}").alias("cut")) for name, no, _ in sought])
+    rows = rows.select(*keep, F.explode(F.filter(cuts, lambda x: F.size(x["cut"]) > 1)).alias("m")).select(*keep, "m.*")
+    starts = F.aggregate("cut", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+    pieces = F.arrays_zip(starts.alias("start"), F.col("cut").alias("value"))
+    rows = rows.select(*keep, "pattern", "pattern_no", F.posexplode(F.filter(pieces, lambda x, i: i % 2 == 1)).alias("match_ord", "x"))
+    start, value = F.col("x.start"), F.col("x.value")
+    return rows.select(*keep, "pattern", "pattern_no", "match_ord", start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
 
 def context(text: Column, start: Column, end: Column, radius: Column | int) -> Column:
@@ -59,12 +59,7 @@ def _by_pattern(name: Column, specs, value: Column, what: str) -> Column:
 
 def checked(docs: DataFrame, specs=P.PATTERNS) -> DataFrame:
     """doc_id, pattern, start, end, value, valid: all matches of the patterns, with what their validators say."""
-
-    def tagged(s: P.PatternSpec) -> Column:
-        return F.transform(spans(F.col(f"_{s.name}"), s.regex), lambda x: F.struct(F.lit(s.name).alias("pattern"), x.alias("x")))
-
-    rows = docs.select("doc_id", *[found(F.col("text"), s.regex).alias(f"_{s.name}") for s in specs])
-    rows = rows.select("doc_id", F.explode(F.concat(*map(tagged, specs))).alias("m")).select("doc_id", "m.pattern", "m.x.start", "m.x.end", "m.x.value")
+    rows = placed(docs, [(s.name, 0, s.regex) for s in specs], "doc_id").select("doc_id", "pattern", "start", "end", "value")
     return rows.withColumn("valid", _by_pattern(F.col("pattern"), specs, F.col("value"), "valid"))
 
 
@@ -74,29 +69,25 @@ def mentions(docs: DataFrame, names: list[str] | None = None, specs=P.PATTERNS,
     names: the patterns and clauses that some query needs (all if None); others are not run.
     """
     used = [s for s in specs if names is None or s.name in names]
-    text = F.col("text")
-    sought = [(s.name, 0, s.regex, 0) for s in used] + [(c, no, f"(?iu){r}", 1) for c, _, rs in clauses if names is None or c in names for no, r in enumerate(rs)]
-    if not sought:
+    told = [(c, no, f"(?iu){r}") for c, _, rs in clauses if names is None or c in names for no, r in enumerate(rs)]
+    if not used and not told:
         raise ValueError("no such pattern")
-
-    def tagged(name: str, no: int, regex: str, group: int) -> Column:
-        return F.transform(spans(F.col(f"_{name}{no}"), regex, group), lambda x, i: F.struct(F.lit(name).alias("pattern"), F.lit(no).alias("pattern_no"), i.alias("match_ord"), x.alias("x")))
-
-    rows = docs.select("doc_id", "text", *[found(text, regex).alias(f"_{name}{no}") for name, no, regex, _ in sought])
-    rows = rows.select("doc_id", "text", F.explode(F.concat(*[tagged(*s) for s in sought])).alias("m")).select("doc_id", "text", "m.pattern", "m.pattern_no", "m.match_ord", "m.x.*")
+    rows = placed(docs, [(s.name, 0, s.regex) for s in used] + told, "doc_id", "text")
     name, value = F.col("pattern"), F.col("value")
     clause = name.isin([c for c, _, _ in clauses])
     rows = rows.withColumn("original_value", value).withColumn("clause_type", clause)
     rows = rows.where(_by_pattern(name, used, value, "valid"))
-    rows = rows.withColumn("context", context(text, F.col("start"), F.col("end"), F.when(clause, 200).otherwise(100))).drop("text")
+    rows = rows.withColumn("context", context(F.col("text"), F.col("start"), F.col("end"), F.when(clause, 200).otherwise(100))).drop("text")
     labels = {s.type: s.label for s in specs if s.label} | {c: label for c, label, _ in clauses}
     kinds = {s.name: s.type for s in specs}
     kind = F.coalesce(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[name], name)
-    keyed = [name.isin(s.name) & reduce(lambda a, b: a | b, [F.lower("context").contains(k) for k in s.keywords]) for s in used if s.keywords]
-    near = reduce(lambda a, b: a | b, keyed, F.lit(False))
+    keywords = [x for s in used if s.keywords for x in (F.lit(s.name), F.array(*map(F.lit, s.keywords)))]
+    near = F.coalesce(F.exists(F.create_map(*keywords)[name], lambda k: F.col("_around").contains(k)), F.lit(False)) if keywords else F.lit(False)
     sure = F.when(clause, F.lit(0.9)).otherwise(F.least(F.lit(1.0), F.lit(0.8) + F.lit(0.15) + F.when(near, 0.05).otherwise(0.0)))
-    rows = rows.withColumn("type", kind).withColumn("confidence", sure)
-    label = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.col("type")]
-    rows = rows.withColumn("label", F.coalesce(label, F.when(clause, P.DEFAULT_CLAUSE).otherwise(P.DEFAULT_LABEL)))
-    normal = F.when(clause, js_trim(F.col("part"))).otherwise(_by_pattern(name, used, value, "normal"))
-    return rows.withColumn("value", normal).select("doc_id", "pattern", "type", "label", "value", "original_value", "start", "end", "confidence", "context", "clause_type", "pattern_no", "match_ord")
+    label = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[kind]
+    label = F.coalesce(label, F.when(clause, P.DEFAULT_CLAUSE).otherwise(P.DEFAULT_LABEL))
+    part = F.coalesce(F.lit(None).cast("string"), *[F.when((name == c) & (F.col("pattern_no") == no), F.regexp_extract(value, regex, 1)) for c, no, regex in told])
+    normal = F.when(clause, js_trim(part)).otherwise(_by_pattern(name, used, value, "normal"))
+    # one projection: the lambda in it keeps these long expressions out of a generated method that is too large to be compiled
+    rows = rows.withColumn("_around", F.lower("context")).withColumns({"type": kind, "confidence": sure, "label": label, "value": normal})
+    return rows.select("doc_id", "pattern", "type", "label", "value", "original_value", "start", "end", "confidence", "context", "clause_type", "pattern_no", "match_ord")

@@ -195,6 +195,9 @@ def test_small_tables_are_dealt_to_all_cores(spark):
 
 def test_spans_of_texts_that_hold_the_mark_or_nothing(spark):
     texts = ["a 12 b 3", "", None, f"x{extract.MARK} 7 {extract.MARK} 88", "12", "none", extract.MARK, "\U0001f600 5 é 6$1"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("found", extract.found(F.col("text"), "[0-9]+"))
-    got = {r.i: [(x.start, x.end, x.value) for x in r.s] for r in rows.select("i", extract.spans(F.col("found"), "[0-9]+").alias("s")).collect()}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in extract.placed(rows, [("digits", 0, "[0-9]+"), ("none", 3, "y{7}")], "i").orderBy("i", "match_ord").collect():
+        assert (r.pattern, r.pattern_no, r.match_ord) == ("digits", 0, len(got[r.i]))
+        got[r.i].append((r.start, r.end, r.value))
     assert got == {i: [(*m.span(), m.group()) for m in re.finditer("[0-9]+", t or "")] for i, t in enumerate(texts)}
