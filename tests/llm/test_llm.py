@@ -405,3 +405,10 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in unlike.collect()) == sorted({c for _, _, c in brute_components(rows, 5, 80, 100)})
     out = corpus_pipeline.run(spark, D).collect()
     assert out and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_jaccard_oracle(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    got = queries.op8_jaccard_join(spark, D).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["op8_jaccard_join"]).fetchall())
