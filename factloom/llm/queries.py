@@ -96,6 +96,14 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",
+    # turns that share a place and a role are ordered by text here, by hash there
+    "op6_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS x FROM conversations),
+        c AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, list(x ORDER BY turn NULLS FIRST, x.role, x.text) AS said FROM t WHERE conv_id IS NOT NULL GROUP BY 1
+              UNION ALL SELECT conv_id, 1, [x] FROM t WHERE conv_id IS NULL),
+        p AS (SELECT DISTINCT said[1:i] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS i FROM c)), f AS (SELECT said, min(conv_id) AS first_id FROM c GROUP BY 1)
+        SELECT conv_id, n_turns, first_id, array_to_string(list_transform(said, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS text
+        FROM c JOIN f USING (said) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.said = c.said)""",
     "op8_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

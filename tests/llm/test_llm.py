@@ -407,6 +407,21 @@ def test_pipeline(spark):
     assert out and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
 
 
+def test_chat_oracle(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{D}/conversations.parquet'")
+    got = queries.op6_chat_format(spark, D).select("conv_id", "n_turns", "first_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["op6_chat_format"]).fetchall())
+    # snapshots, copies, repeated rows and nulls
+    rows = [(i, t, "user", f"turn {t}" if t or i % 5 else None) for i in range(20) for t in range(1 + i % 4)] + [(None, 0, None, "alone"), (3, 0, "user", "turn 0")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con.execute("CREATE TABLE given (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(queries.ORACLES["op6_chat_format"].replace("FROM conversations", "FROM given")).fetchall()
+    got = chat_format.collapse(given).select("conv_id", "n_turns", "first_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) < 20
+
+
 def test_jaccard_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
