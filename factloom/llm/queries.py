@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, chat_format, exact_topk, fingerprints, license_scan, mixing, parity_join, token_counts, toxicity, url_filters
+from factloom.llm import byte_bpe, chat_format, exact_topk, fill_middle, fingerprints, license_scan, line_dedup, mixing, parity_join, token_counts, toxicity, url_filters, whitening
 from factloom.llm.common import table
 from factloom.sources.files import dealt
 
@@ -63,6 +63,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=1, least_docs=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=4, scale=256)
+    rows = whitening.whiten(vectors, model).select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("i", "whitened"))
+    explained = F.array(*[F.lit(x) for x in model.explained]).cast("array<double>")
+    error = F.lit(model.identity_error).cast("double")
+    return rows.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("i")).alias("explained"), error.alias("identity_error"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = fill_middle.fill_in_middle(docs, unit="line", seed=7, rate=100, spm=50)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_topk": op2_exact_topk,
@@ -74,8 +95,12 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_filter": op10_url_filter,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_fill_middle": op13_fill_middle,
 }
 
+
 def _level(name: str, rows: str, parent: str, key: str) -> str:
     """rate and strength of the groups of a level, shrunk towards their parents."""
     return f"""{name}_m AS (SELECT sum(k) / sum(n) AS m, sum(k * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS v FROM {rows} WHERE n > 0),
@@ -127,4 +152,19 @@ ORACLES: dict[str, str] = {
         domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, 1 AS one FROM domains GROUP BY 1),
         whole AS (SELECT 1 AS one, (sum(k) + 1) / (sum(n) + 2) AS rate FROM suffixes), {_level("s", "suffixes", "whole", "one")}, {_level("d", "domains", "s_r", "suffix")}, {_level("e", "hosts", "d_r", "domain")}
         SELECT page_id, host, path, rule, coalesce(told, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN e_r USING (host)""",
+    "op11_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        k AS (SELECT doc_id, l, list_transform(l, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_dedup.UPPER}', '{line_dedup.LOWER}')) AS k FROM l),
+        f AS (SELECT k FROM (SELECT doc_id, unnest(k) AS k FROM k) WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+        e AS (SELECT doc_id, i, l[i] AS line, k[i] AS k FROM (SELECT doc_id, l, k, unnest(range(1, len(l) + 1)) AS i FROM k)),
+        m AS (SELECT e.*, f.k IS NOT NULL AS gone FROM e LEFT JOIN f USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op13_fill_middle": r"""
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        d AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
