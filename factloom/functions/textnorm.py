@@ -8,9 +8,11 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed: the Unicode spaces that \s and trim stand for, and an ASCII word border, in Java's dialect.
-SP = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: Fixed: the Unicode spaces that \s and trim stand for (for use in a class), one of them, and an ASCII word border, in Java's dialect.
+SPACES = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SP = f"[{SPACES}]"
 WB = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+TRIMMED = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 @lru_cache(maxsize=1)
@@ -27,7 +29,7 @@ def _unaccented() -> tuple[str, str]:
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SP}+|{SP}+$", "")
+    return F.btrim(c, F.lit(TRIMMED))
 
 
 def or_default(c: Column, default) -> Column:
@@ -41,6 +43,11 @@ def remove_diacritics(c: Column) -> Column:
 
 
 def remove_markdown(c: Column) -> Column:
+    """Markdown off, in ten ordered rewrites, each in time proportional to the text.
+
+    The line rules may eat blank lines before an item, and a link may reach far. Where such a rule fails, every later start in the same stretch
+    fails as well, so the stretch is matched by a further alternative and put back as it is.
+    """
     for pattern, to in (
         (r"\*\*([^*]+)\*\*", "$1"),  # bold
         (r"\*([^*]+)\*", "$1"),  # italic
@@ -49,9 +56,9 @@ def remove_markdown(c: Column) -> Column:
         (r"~~([^~]+)~~", "$1"),  # struck out
         (r"`([^`]+)`", "$1"),  # code
         (rf"(?m)^#{{1,6}}{SP}+", ""),  # headers
-        (rf"(?m)^{SP}*[-*+]{SP}+", ""),  # lists
-        (rf"(?m)^{SP}*[0-9]+\.{SP}+", ""),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),  # links
+        (rf"(?m)^{SP}*+[-*+]{SP}+|(^{SP}++)", "$1"),  # lists
+        (rf"(?m)^{SP}*+[0-9]++\.{SP}+|(^{SP}++)", "$1"),
+        (r"\[([^\]]+)\]\([^)]+\)|(\[[^\]]*+(?:\z|\](?!\()|\]\([^)]*+\z))", "$1$2"),  # links
     ):
         c = F.regexp_replace(c, pattern, to)
     return c

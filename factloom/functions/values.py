@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.textnorm import SP, js_trim
+from factloom.functions.textnorm import SP, SPACES, js_trim
 
 CURRENCY = r"(?:Kč|CZK|EUR|€|USD|\$)"
 
@@ -94,7 +94,7 @@ def valid_company_id(c: Column, official: bool = False) -> Column:
 
 
 def table_type(c: Column) -> Column:
-    number = js_trim(c).rlike(rf"^(?:{SP}|[0-9.,+\-/])+{SP}*[A-Za-zčČ]*\.?-?$")
+    number = js_trim(c).rlike(rf"^[{SPACES}0-9.,+\-/]++[A-Za-zčČ]*\.?-?$")
     return F.when((F.coalesce(c, F.lit("")) != "") & number, "number").otherwise("text")
 
 

@@ -90,4 +90,5 @@ def mentions(docs: DataFrame, names: list[str] | None = None, specs=P.PATTERNS,
     normal = F.when(clause, js_trim(part)).otherwise(_by_pattern(name, used, value, "normal"))
     # one projection: the lambda in it keeps these long expressions out of a generated method that is too large to be compiled
     rows = rows.withColumn("_around", F.lower("context")).withColumns({"type": kind, "confidence": sure, "label": label, "value": normal})
+    rows = rows.where(~F.col("clause_type") | (F.col("value") != ""))  # gaps that were passed over
     return rows.select("doc_id", "pattern", "type", "label", "value", "original_value", "start", "end", "confidence", "context", "clause_type", "pattern_no", "match_ord")

@@ -9,13 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import values as V
-from factloom.functions.textnorm import SP, WB
+from factloom.functions.textnorm import SP, SPACES, WB
 
-# Letters, patterns, keywords and labels.
+# Letters, patterns, keywords and labels. Runs are single classes, which Java matches in a loop, not by recursion; where a
+# run cannot be given back with success it is possessive (++), so that texts of any length take time in proportion.
 UP, LOW = "[A-ZÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ]", "[a-záčďéěíňóřšťúůýž]"
-UPPER_RUN = f"(?:{LOW}|{SP})+"
-MONEY = rf"[0-9]{{1,3}}(?:(?:{SP}|[.,])[0-9]{{3}})*(?:[,.][0-9]{{1,2}})?{SP}*"
-GAP = f"(?:{SP}|[A-Za-z0-9_])*?"
+LOWER_RUN = f"[a-záčďéěíňóřšťúůýž{SPACES}]"
+#: a word border before an ASCII word character, after one, before another letter, and before a capital letter
+BEFORE, AFTER, WITHIN = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])", "(?<=[A-Za-z0-9_])"
+CAPITAL = "(?:(?<![A-Za-z0-9_])[A-Z]|(?<=[A-Za-z0-9_])[ÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ])"
+MONEY = rf"[0-9]{{1,3}}(?:[{SPACES}.,][0-9]{{3}})*(?:[,.][0-9]{{1,2}})?{SP}*"
+#: no start at three digits that an amount begun at the group of digits before would take in anyway
+NOT_WITHIN = rf"(?!(?<={BEFORE}[0-9]{{1,3}}[{SPACES}.,])[0-9]{{3}}(?![0-9]))"
+GAP = f"[A-Za-z0-9_{SPACES}]*?"
+#: a long gap without what is sought: later starts in it would fail too, so it is passed over whole
+LONG = f"[A-Za-z0-9_{SPACES}]{{1000,}}+"
 
 
 @dataclass(frozen=True)
@@ -71,27 +79,29 @@ def _account_ok(c: Column) -> Column:
 
 
 PATTERNS = [
-    PatternSpec("birthNumber", "birthNumber", rf"{WB}[0-9]{{6}}{SP}*/{SP}*[0-9]{{3,4}}{WB}", lambda c: V.is_birth_number(c) & V.plausible_birth_number(c), V.no_spaces, ("rodné číslo", "rc", "narozen", "identifikace"), "Rodné číslo"),
-    PatternSpec("fullName", "fullName", rf"{WB}{UP}{LOW}+{SP}+{UP}{LOW}+(?:{SP}+{UP}{LOW}+)?{WB}", _name_ok, keywords=("jméno", "příjmení", "osoba", "pan", "paní"), label="Jméno a příjmení"),
-    PatternSpec("address", "address", rf"{WB}{UP}{UPPER_RUN}{SP}+[0-9]+(?:/[0-9]+)?[a-zA-Z]?,{SP}*[0-9]{{3}}{SP}*[0-9]{{2}}{SP}+{UP}{UPPER_RUN}", lambda c: c.rlike(rf"[0-9]{{3}}{SP}*[0-9]{{2}}") & c.rlike(UP + LOW), keywords=("adresa", "bydliště", "sídlo", "ulice"), label="Adresa"),
-    PatternSpec("phoneNumber", "phoneNumber", rf"(?:\+420{SP}?)?(?:[0-9]{{3}}{SP}?[0-9]{{3}}{SP}?[0-9]{{3}}|[0-9]{{9}}){WB}", _phone_ok, _phone, ("telefon", "mobil", "kontakt"), "Telefonní číslo"),
-    PatternSpec("amount", "amount", rf"(?iu){WB}{MONEY}(?:Kč|CZK|korun|EUR|€){WB}", lambda c: c.rlike("[0-9]") & c.rlike("(?iu)Kč|CZK|korun|EUR|€"), _amount, ("cena", "částka", "korun", "platba", "hodnota"), "Finanční částka"),
-    PatternSpec("bankAccount", "bankAccount", rf"{WB}(?:CZ[0-9]{{2}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}|[0-9]{{1,10}}[-/][0-9]{{4}}){WB}", _account_ok, V.no_spaces, label="Bankovní účet"),
-    PatternSpec("parcelNumber", "parcelNumber", rf"{WB}[0-9]+/[0-9]+{WB}(?!{SP}*[0-9]{{3}})", lambda c: c.rlike("^[0-9]+/[0-9]+$") & ~V.plausible_birth_number(c), keywords=("parcela", "pozemek", "číslo parcely"), label="Parcelní číslo"),
-    PatternSpec("buildingNumber", "buildingNumber", rf"(?iu){WB}č\.p\.{SP}*[0-9]+(?:/[0-9]+)?|{WB}číslo{SP}*popisné{SP}*[0-9]+(?:/[0-9]+)?", lambda c: c.rlike("[0-9]"), lambda c: F.regexp_extract(c, "[0-9]+(?:/[0-9]+)?", 0), label="Číslo popisné"),
-    PatternSpec("czechDate", "date", rf"{WB}[0-9]{{1,2}}\.{SP}*[0-9]{{1,2}}\.{SP}*[0-9]{{4}}{WB}", _date_ok, _date),
-    PatternSpec("contractNumber", "contractNumber", rf"(?iu){WB}(?:smlouva|kontrakt){SP}*(?:č\.|číslo){SP}*[A-Za-z0-9_/-]+|{WB}spis\.?{SP}*zn\.?{SP}*[A-Za-z0-9_/-]+", lambda c: c.rlike("[A-Za-z0-9_/-]"), lambda c: F.regexp_extract(c, "[A-Za-z0-9_/-]+$", 0), label="Číslo smlouvy"),
-    PatternSpec("companyId", "companyId", rf"(?iu){WB}IČO?{SP}*:?{SP}*[0-9]{{8}}{WB}|{WB}identifikační{SP}*číslo{SP}*:?{SP}*[0-9]{{8}}{WB}", lambda c: V.valid_company_id(F.regexp_extract(c, "[0-9]{8}", 0)), lambda c: F.regexp_extract(c, "[0-9]{8}", 0), label="IČO"),
-    PatternSpec("vatNumber", "vatNumber", rf"(?iu){WB}DIČ{SP}*:?{SP}*CZ[0-9]{{8,10}}{WB}", lambda c: c.rlike("CZ[0-9]{8,10}"), lambda c: F.regexp_extract(c, "CZ[0-9]{8,10}", 0), label="DIČ"),
+    PatternSpec("birthNumber", "birthNumber", rf"{BEFORE}[0-9]{{6}}{SP}*+/{SP}*+[0-9]{{3,4}}{AFTER}", lambda c: V.is_birth_number(c) & V.plausible_birth_number(c), V.no_spaces, ("rodné číslo", "rc", "narozen", "identifikace"), "Rodné číslo"),
+    PatternSpec("fullName", "fullName", rf"{CAPITAL}{LOW}+{SP}+{UP}{LOW}+(?:{SP}+{UP}{LOW}+)?{WB}", _name_ok, keywords=("jméno", "příjmení", "osoba", "pan", "paní"), label="Jméno a příjmení"),
+    PatternSpec("address", "address", rf"{CAPITAL}{LOWER_RUN}{{2,}}+(?<={SP})[0-9]++(?:/[0-9]+)?[a-zA-Z]?,{SP}*+[0-9]{{3}}{SP}*+[0-9]{{2}}{SP}+{UP}{LOWER_RUN}+", lambda c: c.rlike(rf"[0-9]{{3}}{SP}*[0-9]{{2}}") & c.rlike(UP + LOW), keywords=("adresa", "bydliště", "sídlo", "ulice"), label="Adresa"),
+    PatternSpec("phoneNumber", "phoneNumber", rf"(?:\+420{SP}?)?(?:[0-9]{{3}}{SP}?[0-9]{{3}}{SP}?[0-9]{{3}}|[0-9]{{9}}){AFTER}", _phone_ok, _phone, ("telefon", "mobil", "kontakt"), "Telefonní číslo"),
+    PatternSpec("amount", "amount", rf"(?iu){BEFORE}{NOT_WITHIN}{MONEY}(?:Kč|CZK|korun|EUR|€){WB}", lambda c: c.rlike("[0-9]") & c.rlike("(?iu)Kč|CZK|korun|EUR|€"), _amount, ("cena", "částka", "korun", "platba", "hodnota"), "Finanční částka"),
+    PatternSpec("bankAccount", "bankAccount", rf"{BEFORE}(?:CZ[0-9]{{2}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}{SP}?[0-9]{{4}}|[0-9]{{1,10}}[-/][0-9]{{4}}){AFTER}", _account_ok, V.no_spaces, label="Bankovní účet"),
+    PatternSpec("parcelNumber", "parcelNumber", rf"{BEFORE}[0-9]++/[0-9]++{AFTER}(?!{SP}*+[0-9]{{3}})", lambda c: c.rlike("^[0-9]+/[0-9]+$") & ~V.plausible_birth_number(c), keywords=("parcela", "pozemek", "číslo parcely"), label="Parcelní číslo"),
+    PatternSpec("buildingNumber", "buildingNumber", rf"(?iu){WITHIN}(?:č\.p\.{SP}*+[0-9]+(?:/[0-9]+)?|číslo{SP}*+popisné{SP}*+[0-9]+(?:/[0-9]+)?)", lambda c: c.rlike("[0-9]"), lambda c: F.regexp_extract(c, "[0-9]+(?:/[0-9]+)?", 0), label="Číslo popisné"),
+    PatternSpec("czechDate", "date", rf"{BEFORE}[0-9]{{1,2}}\.{SP}*+[0-9]{{1,2}}\.{SP}*+[0-9]{{4}}{AFTER}", _date_ok, _date),
+    PatternSpec("contractNumber", "contractNumber", rf"(?iu){BEFORE}(?:(?:smlouva|kontrakt){SP}*+(?:č\.|číslo)|spis\.?{SP}*+zn\.?){SP}*+[A-Za-z0-9_/-]+", lambda c: c.rlike("[A-Za-z0-9_/-]"), lambda c: F.regexp_extract(c, "[A-Za-z0-9_/-]+$", 0), label="Číslo smlouvy"),
+    PatternSpec("companyId", "companyId", rf"(?iu){BEFORE}(?:IČO?|identifikační{SP}*+číslo){SP}*+(?::{SP}*+)?[0-9]{{8}}{AFTER}", lambda c: V.valid_company_id(F.regexp_extract(c, "[0-9]{8}", 0)), lambda c: F.regexp_extract(c, "[0-9]{8}", 0), label="IČO"),
+    PatternSpec("vatNumber", "vatNumber", rf"(?iu){BEFORE}DIČ{SP}*+(?::{SP}*+)?CZ[0-9]{{8,10}}{AFTER}", lambda c: c.rlike("CZ[0-9]{8,10}"), lambda c: F.regexp_extract(c, "CZ[0-9]{8,10}", 0), label="DIČ"),
 ]
-_PRICE, _DAY = rf"({MONEY}(?:Kč|CZK|korun))", rf"([0-9]{{1,2}}(?:{SP}|\.)[0-9]{{1,2}}(?:{SP}|\.)[0-9]{{4}})"
-_PARTY = rf"({UP}{UPPER_RUN})"
-#: (clause, label, regexes with one group)
+#: where an amount may begin in a gap: not at one or two digits that follow a digit, nor at a group that an earlier start takes in
+_START = rf"(?:(?<![0-9])|(?=[0-9]{{3}}(?![0-9])))(?!(?<=[0-9][{SPACES}.,])[0-9]{{3}}(?![0-9]))"
+_PRICE, _DAY = rf"{_START}({MONEY}(?:Kč|CZK|korun))", rf"([0-9]{{1,2}}[{SPACES}.][0-9]{{1,2}}[{SPACES}.][0-9]{{4}})"
+_PARTY = rf"({UP}{LOWER_RUN}+)"
+#: (clause, label, regexes with one group); matches without the group are passed over
 CLAUSES = [
-    ("purchasePrice", "Kupní cena", [rf"kupní{SP}+cena{GAP}činí{GAP}{_PRICE}", rf"za{SP}+cenu{GAP}{_PRICE}", rf"celková{SP}+cena{GAP}{_PRICE}"]),
-    ("paymentTerms", "Podmínky platby", [rf"splatnost{GAP}{_DAY}", rf"do{GAP}([0-9]+){SP}*(?:dnů|dní)", rf"nejpozději{GAP}{_DAY}"]),
-    ("propertyDescription", "Popis nemovitosti", [rf"parcela{SP}+č\.{SP}*([0-9]+/[0-9]+)", rf"pozemek{SP}+parcelní{SP}+číslo{SP}*([0-9]+/[0-9]+)", rf"stavba{SP}+na{SP}+parcele{SP}*([0-9]+/[0-9]+)"]),
-    ("contractingParties", "Smluvní strana", [rf"prodávající:{SP}*{_PARTY}", rf"kupující:{SP}*{_PARTY}", rf"nájemce:{SP}*{_PARTY}"]),
+    ("purchasePrice", "Kupní cena", [rf"kupní{SP}++cena{GAP}činí{GAP}{_PRICE}", rf"za{SP}++cenu(?:{GAP}{_PRICE}|{LONG})", rf"celková{SP}++cena{GAP}{_PRICE}"]),
+    ("paymentTerms", "Podmínky platby", [rf"splatnost(?:{GAP}{_DAY}|{LONG})", rf"do(?:{GAP}(?<![0-9])([0-9]++){SP}*+(?:dnů|dní)|{LONG})", rf"nejpozději{GAP}{_DAY}"]),
+    ("propertyDescription", "Popis nemovitosti", [rf"parcela{SP}++č\.{SP}*+([0-9]+/[0-9]+)", rf"pozemek{SP}++parcelní{SP}++číslo{SP}*+([0-9]+/[0-9]+)", rf"stavba{SP}++na{SP}++parcele{SP}*+([0-9]+/[0-9]+)"]),
+    ("contractingParties", "Smluvní strana", [rf"prodávající:{SP}*+{_PARTY}", rf"kupující:{SP}*+{_PARTY}", rf"nájemce:{SP}*+{_PARTY}"]),
 ]
 DEFAULT_LABEL, DEFAULT_CLAUSE = "Nalezený údaj", "Smluvní ustanovení"
 #: (regex on the folded query, patterns), in order
