@@ -22,8 +22,8 @@ def _json(raw: Column) -> Column:
 
 
 def single(raw: Column) -> Column:
-    """A single search's answer; text that is no JSON becomes its value."""
-    value = or_default(raw, MISSING)
+    """A single search's answer; text that is no JSON becomes its value. The reply is trimmed first, a blank one is Nenalezeno."""
+    value = or_default(js_trim(raw), MISSING)
     plain = F.struct(F.lit("single").alias("type"), value.alias("value"), F.lit(None).cast("string").alias("label"), F.lit(None).cast(f"array<{ITEM}>").alias("results"))
     return F.when(_json(value) & value.startswith("{"), F.from_json(value, SINGLE)).otherwise(plain)
 
@@ -104,10 +104,24 @@ def with_category(rows: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.join(one, "query", "left").withColumn("category", F.coalesce("_c", F.lit("Ostatní"))).drop("_c")
 
 
+ANSWER = f"struct<type:string,value:string,label:string,results:array<{ITEM}>>"
+
+
 def table_rows(history: DataFrame) -> DataFrame:
-    """history(hist_id, category, query, items array<struct<label,value>>) as result rows; no items give one row with defaults."""
-    items = F.when(F.size(F.coalesce("items", F.array())) > 0, F.col("items")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value"))))
+    """Result rows of history(hist_id, category, query, answer, value, content, label); answer is of type ANSWER, the rest are strings.
+
+    A single answer gives one row, one of several results a row for each, an answer of another type or without results none. History items
+    without an answer give one row of their own value, or else content, and label. Categories stay as they are, empty ones too.
+    """
+    one = lambda label, value: F.array(F.struct(label.alias("label"), value.alias("value")))
+    kind, none = F.col("answer.type"), F.array().cast(f"array<{ITEM}>")
+    own = F.when(F.col("value").isNotNull(), F.col("value")).otherwise(or_default(F.col("content"), ""))
+    items = F.when(F.col("answer").isNull(), one(F.col("label"), own)).when(kind == "single", one(F.col("answer.label"), F.col("answer.value")))
+    items = F.coalesce(items.when(kind == "multiple", F.col("answer.results")).otherwise(none), none)
     rows = history.select("hist_id", "category", "query", F.posexplode(items).alias("item_idx", "v"))
     value = or_default(F.col("v.value"), "")
-    kind = V.table_type(value)
-    return rows.select("hist_id", "item_idx", or_default(F.col("category"), "Ostatní").alias("category"), or_default(F.col("query"), "Dotaz").alias("query"), or_default(F.col("v.label"), "Výsledek").alias("label"), value.alias("value"), kind.alias("type"), V.absolute_value(value, kind).alias("absolute_value"))
+    type_ = V.table_type(value)
+    return rows.select(
+        "hist_id", "item_idx", or_default(F.col("category"), "").alias("category"), or_default(F.col("query"), "Dotaz").alias("query"),
+        or_default(F.col("v.label"), "Výsledek").alias("label"), value.alias("value"), type_.alias("type"), V.absolute_value(value, type_).alias("absolute_value"),
+    )

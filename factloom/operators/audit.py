@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 DEBUG, INFO, WARN, ERROR = range(4)
 
@@ -30,9 +31,18 @@ def validations(rows: DataFrame, valid: str) -> DataFrame:
     return rows.withColumn("level", F.when(F.col(valid), DEBUG).otherwise(WARN))
 
 
-def searches(answers: DataFrame) -> DataFrame:
-    per_value = answers.groupBy("doc_id", "query_id", "label", "value").agg(F.count("*").alias("n"))
-    return per_value.groupBy("doc_id", "query_id").agg(F.sum("n").alias("results"), F.count("*").alias("values"))
+def searches(answers: DataFrame, places: DataFrame, shown: int = 1000) -> DataFrame:
+    """doc_id, query_id, result_count and results, an array of (label, value, match_count), for each search: what it gave and in how many places.
+
+    answers: doc_id, query_id, item (order), label, value; places: doc_id, value, start. A value without a place has match_count 0. The array
+    holds the first `shown` results of a search, by item; result_count counts all. Places are counted before they meet the answers.
+    """
+    counts = places.groupBy("doc_id", "value").agg(F.count("*").alias("match_count"))
+    rows = answers.join(counts, ["doc_id", "value"], "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
+    nth = F.row_number().over(W.partitionBy("doc_id", "query_id").orderBy("item", "label", "value"))
+    some = F.when(F.col("_n") <= shown, F.struct("_n", F.struct("label", "value", "match_count").alias("r")))
+    out = rows.withColumn("_n", nth).groupBy("doc_id", "query_id").agg(F.count("*").alias("result_count"), F.array_sort(F.collect_list(some)).alias("results"))
+    return out.withColumn("results", F.transform("results", lambda x: x["r"]))
 
 
 def write_json(log: DataFrame, path: str) -> None:

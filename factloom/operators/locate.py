@@ -1,104 +1,134 @@
-"""Places: between a normalised text and its original, and of values in documents."""
+"""Places: between a normalised text and its original, and of values in documents. Built-in functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.functions import textnorm as N
 from factloom.functions import values as V
 from factloom.operators.patterns import LOW, MONEY, UP
 
+#: pieces in which a text is compared with its normalised form: stretches without marks, of bounded length, and single marks
+PIECE = r"[^*_~`#\[\]()\n]{1,256}|(?s)."
+_RUNS = "array<struct<normal:int,original:int>>"
+
+
+def _taken(state: Column, piece: Column, and_within: bool) -> Column:
+    """The state after a piece of the original: if the normalised text goes on with it, all of it is taken, else its characters one by one."""
+    size = F.length(piece)
+    same = F.array_join(F.slice(state["chars"], state["normal"] + 1, size), "") == piece
+    begins = F.array(F.struct(state["normal"].alias("normal"), state["original"].alias("original"))).cast(_RUNS)
+    whole = F.struct(
+        (state["normal"] + F.when(same, size).otherwise(0)).alias("normal"), (state["original"] + size).alias("original"), same.alias("within"),
+        F.when(same & ~state["within"], F.concat(state["runs"], begins)).otherwise(state["runs"]).alias("runs"), state["chars"].alias("chars"),
+    )
+    if not and_within:
+        return whole
+    return F.when(same | (size == 1), whole).otherwise(F.aggregate(F.split(piece, ""), state, lambda acc, c: _taken(acc, c, False)))
+
+
+def offset_map(text: Column) -> Column:
+    """How places of the normalised text lie in text: struct of runs, size and until.
 
-def _aligned(text: str, clean: str, block: int = 256) -> list[int]:
-    """For each character of clean its place in text, from left to right; equal stretches are taken a block at a time."""
-    out: list[int] = []
-    at = 0
-    while len(out) < len(clean):
-        n = min(block, len(clean) - len(out))
-        if text[at : at + n] != clean[len(out) : len(out) + n]:
-            at, n = text.find(clean[len(out)], at), 1
-            if at < 0:
-                break
-        out.extend(range(at, at + n))
-        at += n
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _index_map(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, cleans, sizes in batches:
-        maps = []
-        for text, clean, size in zip(texts, cleans, sizes, strict=True):
-            found = _aligned(text, clean)[:size] if text else []
-            maps.append(found + list(range(len(found), size)) if text else [])
-        yield pd.Series(maps)
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _overlapping(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, values in batches:
-        out = []
-        for text, value in zip(texts, values, strict=True):
-            found, at = [], text.find(value) if text and value else -1
-            while at >= 0:
-                found.append(at)
-                at = text.find(value, at + 1)
-            out.append(found)
-        yield pd.Series(out)
-
-
-def index_map(text: Column) -> Column:
-    """For each place of the normalised text its place in text; what can't be aligned maps to itself, null text to no places."""
+    runs(normal, original) tell where stretches of the normalised text begin that lie unbroken in text, found from left to right; the first `until` places
+    lie in them, later ones, up to size (the length of the normalised text), are the same in both. Null text has no places.
+    """
     text = F.coalesce(text, F.lit(""))
     clean = N.remove_markdown(text)
-    size = F.length(F.lower(N.remove_diacritics(clean)))
-    same = F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.when(text == clean, same).otherwise(_index_map(F.when(text != clean, text), clean, size))
+    size, n = F.length(F.lower(N.remove_diacritics(clean))), F.length(clean)
+    # the characters of the normalised text are part of the state, so that they are cut once
+    state = F.struct(F.lit(0).alias("normal"), F.lit(0).alias("original"), F.lit(False).alias("within"), F.array().cast(_RUNS).alias("runs"), F.split(clean, "").alias("chars"))
+    aligned = F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), state, lambda acc, piece: _taken(acc, piece, True), lambda acc: acc["runs"])
+    unbroken = F.array(F.struct(F.lit(0).alias("normal"), F.lit(0).alias("original"))).cast(_RUNS)
+    runs = F.when(n == 0, F.array().cast(_RUNS)).when(text == clean, unbroken).otherwise(aligned)
+    return F.struct(runs.alias("runs"), size.alias("size"), F.least(size, n).alias("until"))
+
 
+def _counted(n: Column) -> Column:
+    """0, 1, and so on: n numbers."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("original", T.IntegerType()), T.StructField("normalized", T.ArrayType(T.IntegerType()))])))
-def _reversed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for maps in batches:
-        out = []
-        for places in maps:
-            back: dict[int, list[int]] = {}
-            for place, original in enumerate(places if places is not None else []):
-                back.setdefault(int(original), []).append(place)
-            out.append([{"original": o, "normalized": n} for o, n in back.items()])
-        yield pd.Series(out)
 
+def index_map(mapped: Column) -> Column:
+    """An offset_map() with one number for each place of the normalised text, for those who need it so."""
+    runs, until = mapped["runs"], mapped["until"]
+    ends = F.concat(F.slice(F.transform(runs, lambda r: r["normal"]), 2, F.size(runs)), F.array(until))
+    places = F.flatten(F.zip_with(runs, ends, lambda r, end: F.transform(_counted(F.least(end, until) - r["normal"]), lambda i: r["original"] + i)))
+    return F.concat(places, F.transform(_counted(mapped["size"] - until), lambda i: until + i))
 
-def reverse_map(places: DataFrame) -> DataFrame:
-    """doc_id, original, normalized: for each original place its normalised ones, ascending; from rows with an index_map. No shuffle: places belong to one document."""
-    return places.select("doc_id", F.explode(_reversed("index_map")).alias("p")).select("doc_id", "p.*")
+
+def reverse_map(maps: DataFrame) -> DataFrame:
+    """doc_id, original, normalized: for each original place its normalised ones, ascending; maps(doc_id, offset_map). No shuffle: places belong to one document."""
+    rows = maps.select("doc_id", F.col("offset_map.until").alias("until"), F.col("offset_map.size").alias("size"), index_map(F.col("offset_map")).alias("places"))
+    rows = rows.withColumn("aligned", F.slice("places", F.lit(1), F.col("until")))
+    late = lambda o: (o >= F.col("until")) & (o < F.col("size"))  # noqa: E731  # places that are also their own
+    pair = lambda o, normal: F.struct(o.alias("original"), normal.alias("normalized"))
+    found = F.transform("aligned", lambda o, i: pair(o, F.when(late(o), F.array(i, o)).otherwise(F.array(i))))
+    rest = F.filter(F.transform(_counted(F.col("size") - F.col("until")), lambda i: F.col("until") + i), lambda o: ~F.array_contains("aligned", o))
+    return rows.select("doc_id", F.explode(F.concat(found, F.transform(rest, lambda o: pair(o, F.array(o))))).alias("p")).select("doc_id", "p.*")
 
 
 def original_place(place: Column, mapped: Column) -> Column:
-    return F.coalesce(F.when(place >= 0, F.get(mapped, place)), place)
+    """A place of the normalised text in the original: bisection on the runs of its offset_map(); places outside stay as they are."""
+    runs = mapped["runs"]
+    state = F.struct(F.lit(0).alias("low"), F.size(runs).alias("high"), runs.alias("runs"), place.alias("place"))  # the run sought is at low or above, below high
+
+    def halved(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        above = F.coalesce(F.get(acc["runs"], middle)["normal"] <= acc["place"], F.lit(False))
+        go = acc["high"] - acc["low"] > 1
+        return F.struct(F.when(go & above, middle).otherwise(acc["low"]).alias("low"), F.when(go & ~above, middle).otherwise(acc["high"]).alias("high"), acc["runs"].alias("runs"), acc["place"].alias("place"))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(runs))))
+    run = F.aggregate(steps, state, halved, lambda acc: F.get(acc["runs"], acc["low"]))
+    return F.when((place >= 0) & (place < mapped["until"]), run["original"] + place - run["normal"]).otherwise(place)
 
 
 def original_range(start: Column, end: Column, mapped: Column) -> Column:
     return F.struct(original_place(start, mapped).alias("start"), (original_place(end - 1, mapped) + 1).alias("end"))
 
 
+def quoted(value: Column) -> Column:
+    """value as an expression that matches it alone."""
+    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def starts_of(text: Column, values: Column) -> Column:
+    """The places of text where any of the values (an array, none empty) begins, overlapping ones too: one pass over the text, whatever their number.
+
+    The text is cut before each such place; the cut at its very beginning, which split leaves out, is seen to.
+    """
+    any_of = F.array_join(F.transform(values, quoted), "|")
+    cut = F.split(text, F.concat(F.lit("(?="), any_of, F.lit(")")), -1)
+    first = F.when(F.exists(values, lambda v: text.startswith(v)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    state = F.struct(F.lit(0).alias("at"), first.alias("out"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        at = acc["at"] + F.length(piece)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0))), state, add, lambda acc: acc["out"]))
+
+
 def value_places(values: DataFrame, documents: DataFrame) -> DataFrame:
     """All places, overlapping ones too, of each value(doc_id, value, type) in its document, if the original text there fits the type.
 
     Returns doc_id, value, type, start, end, text, normalized_start, normalized_end. A document's distinct values are gathered
-    first, so that its text is normalised once. Empty values have no places.
+    first, so that its text is normalised once and searched once for all of them. Empty values have no places.
     """
-    wanted = values.where(F.coalesce("value", F.lit("")) != "").groupBy("doc_id").agg(F.collect_set(F.struct("value", "type")).alias("wanted"))
-    docs = documents.join(wanted, "doc_id").select("doc_id", "text", "wanted", N.normalized(F.col("text")).alias("normal"), index_map(F.col("text")).alias("index_map"))
-    rows = docs.select("*", F.explode("wanted").alias("w")).drop("wanted")
-    needle = F.lower(N.remove_diacritics(V.normalize_value(F.col("w.value"), F.col("w.type"))))
-    rows = rows.withColumn("needle", needle).withColumn("at", F.explode(_overlapping("normal", "needle")))
-    end = F.col("at") + F.length("needle")
-    rows = rows.withColumn("place", original_range(F.col("at"), end, F.col("index_map")))
+    needle = F.lower(N.remove_diacritics(V.normalize_value(F.col("value"), F.col("type"))))
+    wanted = values.where(F.coalesce("value", F.lit("")) != "").select("doc_id", F.struct("value", "type", needle.alias("needle")).alias("w")).where(F.col("w.needle") != "")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_set("w").alias("wanted"))
+    docs = documents.join(wanted, "doc_id").select("doc_id", "text", "wanted", N.normalized(F.col("text")).alias("normal"), F.array_distinct(F.transform("wanted", lambda w: w["needle"])).alias("needles"))
+    # a place, the stretch of the normalised text that begins there, as long as the longest value
+    longest = F.array_max(F.transform("needles", F.length))
+    docs = docs.withColumn("at", starts_of(F.col("normal"), F.col("needles"))).where(F.size("at") > 0).withColumn("longest", longest)
+    docs = docs.select("doc_id", "text", "wanted", "at", F.transform("at", lambda p: F.substring(F.col("normal"), p + 1, F.col("longest"))).alias("there"), offset_map(F.col("text")).alias("offset_map"))
+    hits = F.zip_with("at", "there", lambda p, t: F.transform(F.filter("wanted", lambda w: t.startswith(w["needle"])), lambda w: F.struct(p.alias("at"), w.alias("w"))))
+    rows = docs.select("doc_id", "text", "offset_map", F.explode(F.flatten(hits)).alias("h")).select("doc_id", "text", "offset_map", "h.at", "h.w")
+    end = F.col("at") + F.length("w.needle")
+    rows = rows.withColumn("place", original_range(F.col("at"), end, F.col("offset_map")))
     found = F.substring("text", F.col("place.start") + 1, F.col("place.end") - F.col("place.start"))
     fits = F.lit(True)
     for kind, rule in V.DETECTORS:

@@ -41,12 +41,14 @@ def types_with_samples(rows: DataFrame, order: list, samples: int = 5, shown: in
 
 
 def statistics(rows: DataFrame) -> DataFrame:
+    """Without confidences their mean and deviation are 0, without match counts their sum is; means of nothing and least and greatest ones are null."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.agg(
         F.count_distinct(F.nullif("value", F.lit(""))).alias("distinct_values"),
         (F.count_distinct("type") + F.coalesce(F.max(F.col("type").isNull().cast("int")), F.lit(0))).alias("distinct_types"),
-        F.avg("confidence").alias("mean_confidence"), F.stddev_pop("confidence").alias("sd_confidence"),
+        zero(F.avg("confidence")).alias("mean_confidence"), zero(F.stddev_pop("confidence")).alias("sd_confidence"),
         F.min("start_position").alias("min_start"), F.max("start_position").alias("max_start"), F.avg("start_position").alias("mean_start"),
-        F.sum("match_count").alias("matches"), F.avg("match_count").alias("mean_matches"), F.max("match_count").alias("max_matches"),
+        F.coalesce(F.sum("match_count"), F.lit(0)).alias("matches"), F.avg("match_count").alias("mean_matches"), F.max("match_count").alias("max_matches"),
     )
 
 

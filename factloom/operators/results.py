@@ -17,9 +17,9 @@ def categories(assignments: DataFrame, asked: DataFrame) -> DataFrame:
     ok = F.col("raw_text").isNotNull() & F.try_parse_json("raw_text").isNotNull() & F.startswith("raw_text", F.lit("["))
     good = assignments.where(ok).select("query_set", F.posexplode(F.from_json("raw_text", CATEGORIES)).alias("i", "c"))
     good = good.select("query_set", "i", "c.category", F.posexplode("c.items").alias("j", "query"))
-    good = good.select("query_set", (F.col("i") * 1_000_000 + F.col("j")).alias("ord"), "query", "category")
+    good = good.select("query_set", (F.col("i").cast("long") * 1_000_000 + F.col("j")).alias("ord"), "query", "category")
     bad = assignments.where(~F.coalesce(ok, F.lit(False))).select("query_set").join(asked, "query_set")
-    return good.unionByName(bad.select("query_set", F.col("ord").cast("int").alias("ord"), "query", F.lit(OTHER).alias("category")))
+    return good.unionByName(bad.select("query_set", F.col("ord").cast("long").alias("ord"), "query", F.lit(OTHER).alias("category")))
 
 
 def history(rows: DataFrame, mapping: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -73,9 +73,21 @@ def quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     return n.select("*", of("hits", "found").alias("precision"), of("hits", "wanted").alias("recall"), f1.alias("f1"))
 
 
-def with_confidence(rows: DataFrame) -> DataFrame:
-    """A single search's missing or zero confidence is 0.9."""
-    return rows.withColumn("confidence", A.confidence(F.col("confidence"), 0.9))
+#: Fixed: confidences of answers by where they come from.
+FROM_API, MISSING_ONE, FROM_BATCH, FAILED_BATCH = 0.95, 0.9, 0.95, 0.0
+
+
+def with_confidence(rows: DataFrame, origin: str | None = None, failed: str | None = None) -> DataFrame:
+    """rows with confidence: 0.95 for answers of the search service and of a batch, 0 for a failed batch, else the row's own, or 0.9 where that is missing or zero.
+
+    origin: the column that says where a row comes from: `api`, `batch`, or neither; failed: the column that marks a batch that failed.
+    """
+    out = A.confidence(F.col("confidence"), MISSING_ONE)
+    if origin:
+        lost = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
+        batch = F.when(lost, FAILED_BATCH).otherwise(FROM_BATCH)
+        out = F.when(F.col(origin) == "api", FROM_API).when(F.col(origin) == "batch", batch).otherwise(out)
+    return rows.withColumn("confidence", out)
 
 
 def answer_text(raw: Column) -> Column:

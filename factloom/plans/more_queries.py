@@ -132,9 +132,12 @@ def joi_04(spark, d):
     return answers.completed_one_each(answers.flatten(llm).withColumnRenamed("item", "pos"), _asked(llm))
 
 
-@query("JSON-07", f"SELECT ord, coalesce(nullif(confidence, 0), 0.9) AS confidence FROM ({ROWS_SQL})")
+_ORIGINS = f"SELECT *, CASE WHEN ord % 4 = 0 THEN 'api' WHEN ord % 4 = 1 THEN 'batch' WHEN ord % 4 = 2 THEN 'local' END AS origin, ord % 8 = 1 AS failed FROM ({ROWS_SQL})"
+
+
+@query("JSON-07", f"SELECT ord, CASE WHEN origin = 'api' THEN 0.95 WHEN origin = 'batch' AND failed THEN 0 WHEN origin = 'batch' THEN 0.95 ELSE coalesce(nullif(confidence, 0), 0.9) END::DOUBLE AS confidence FROM ({_ORIGINS})")
 def json_07(spark, d):
-    return results.with_confidence(_rows(spark, d)).select("ord", "confidence")
+    return results.with_confidence(_sql(spark, d, _ORIGINS, "events"), "origin", "failed").select("ord", "confidence")
 
 
 @query("JSON-08", with_contracts(f"{_ANS}, {_FLAT} SELECT doc_id, query, nullif(label, '') AS label, value, CASE WHEN query = 'rodné číslo' THEN 'Osoby' ELSE 'Ostatní' END AS category, 0.95::DOUBLE AS confidence FROM flat"))
@@ -191,11 +194,6 @@ def log_03(spark, d):
     return audit.mismatches(_values(spark, d).withColumn("found", F.trim("value")), "value", "found")
 
 
-@query("LOG-05", with_contracts(f"{_ANS}, {_FLAT} SELECT doc_id, query AS query_id, count(*) AS results, count(DISTINCT (label, value)) AS values FROM flat GROUP BY 1, 2"))
-def log_05(spark, d):
-    return audit.searches(answers.flatten(corpus.answers(spark, d)).withColumnRenamed("query", "query_id"))
-
-
 @query("DOC-03", with_contracts(f"""{_ANS}, {_FLAT}, f AS (SELECT DISTINCT doc_id, value FROM flat WHERE query = 'rodné číslo'), t AS (SELECT DISTINCT doc_id, value FROM ({_places(_EXT[0][1], 0, 0)}) WHERE {_BIRTH}),
     n AS (SELECT (SELECT count(*) FROM f JOIN t USING (doc_id, value)) AS hits, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM t) AS wanted)
     SELECT *, round(hits / found, 9) AS precision, round(hits / wanted, 9) AS recall, round(2 * hits / (found + wanted), 9) AS f1 FROM n"""))
@@ -208,7 +206,7 @@ def doc_03(spark, d):
 
 # -- places ------------------------------------------------------------------------------------------------------------
 def _mapped(spark, d):
-    return corpus.contracts(spark, d).select("doc_id", "text", locate.index_map(F.col("text")).alias("index_map"))
+    return corpus.contracts(spark, d).select("doc_id", "text", locate.offset_map(F.col("text")).alias("offset_map"))
 
 
 #: the only marks in contracts are those of one bold phrase: places after its first and second mark are two and four further on
@@ -218,7 +216,7 @@ _MAP = """p AS (SELECT doc_id, text, instr(text, '**Kupní cena**') - 1 AS b, le
 
 @query("NRM-04", with_contracts(f"{_MAP} SELECT doc_id, index_map FROM map"))
 def nrm_04(spark, d):
-    return _mapped(spark, d).select("doc_id", "index_map")
+    return _mapped(spark, d).select("doc_id", locate.index_map(F.col("offset_map")).alias("index_map"))
 
 
 @query("NRM-05", with_contracts(f"{_MAP}, u AS (SELECT doc_id, unnest(range(len(index_map))) AS i, index_map FROM map) SELECT doc_id, index_map[i + 1] AS original, list(CAST(i AS INTEGER) ORDER BY i) AS normalized FROM u GROUP BY 1, 2"))
@@ -226,11 +224,49 @@ def nrm_05(spark, d):
     return locate.reverse_map(_mapped(spark, d))
 
 
-@query("NRM-06", with_contracts("SELECT doc_id, CAST(instr(text, 'CZK') - 1 AS INTEGER) AS start_pos, CAST(instr(text, 'CZK') + 2 AS INTEGER) AS end_pos FROM contracts WHERE contains(text, 'CZK')"))
+@query("NRM-04-runs", with_contracts("p AS (SELECT doc_id, instr(text, '**Kupní cena**') - 1 AS b FROM contracts) SELECT doc_id, r AS normal, r + k AS original FROM (SELECT doc_id, unnest(CASE WHEN b < 0 THEN [0] ELSE [0, b, b + 10] END)::INTEGER AS r, unnest(CASE WHEN b < 0 THEN [0] ELSE [0, 2, 4] END)::INTEGER AS k FROM p)"))
+def nrm_04_runs(spark, d):
+    return _mapped(spark, d).select("doc_id", F.explode("offset_map.runs").alias("r")).select("doc_id", "r.normal", "r.original")
+
+
+#: every number of the normalised text, mapped back
+_NUMBERS = rf"""{_MAP}, n AS (SELECT doc_id, b, index_map, lower(strip_accents(replace(text, '**', ''))) AS text FROM p JOIN map USING (doc_id)),
+    g AS (SELECT doc_id, b, v[i] AS value, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0) AS s FROM (SELECT doc_id, b, v, g, unnest(range(1, len(v) + 1)) AS i
+    FROM (SELECT doc_id, b, regexp_extract_all(text, '[0-9]+') AS v, string_split_regex(text, '[0-9]+') AS g FROM n))),
+    e AS (SELECT doc_id, value, b, s, s + length(value) - 1 AS last FROM g)
+    SELECT doc_id, value, CAST(s + CASE WHEN b < 0 OR s < b THEN 0 WHEN s < b + 10 THEN 2 ELSE 4 END AS INTEGER) AS start_pos, CAST(last + 1 + CASE WHEN b < 0 OR last < b THEN 0 WHEN last < b + 10 THEN 2 ELSE 4 END AS INTEGER) AS end_pos FROM e"""
+
+
+@query("NRM-06", with_contracts(_NUMBERS))
 def nrm_06(spark, d):
-    rows = _mapped(spark, d).where(F.contains("text", F.lit("CZK")))
-    at = F.instr(F.lower(locate.N.remove_diacritics(locate.N.remove_markdown(F.col("text")))), F.lit("czk")) - 1
-    return rows.select("doc_id", locate.original_range(at, at + 3, F.col("index_map")).alias("p")).select("doc_id", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos"))
+    normal = _mapped(spark, d).select("doc_id", "offset_map", locate.N.normalized(F.col("text")).alias("text"))
+    rows = extract.placed(normal, [("number", 0, "[0-9]+")], "doc_id", "offset_map")
+    place = locate.original_range(F.col("start"), F.col("end"), F.col("offset_map"))
+    return rows.select("doc_id", "value", place.alias("p")).select("doc_id", "value", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos"))
+
+
+#: all values of the answers, of any type, in the normalised text
+_SOUGHT = rf"""{_ANS}, {_FLAT}, {_MAP}, t AS (SELECT doc_id, b, lower(strip_accents(replace(text, '**', ''))) AS normal FROM p), v AS (SELECT DISTINCT doc_id, value FROM flat WHERE value <> ''),
+    o AS (SELECT doc_id, value, b, normal, lower(trim(strip_accents(value))) AS needle FROM v JOIN t USING (doc_id)),
+    s AS (SELECT doc_id, value, b, needle, unnest(list_filter(range(length(normal)), lambda i: substr(normal, i + 1, length(needle)) = needle)) AS s FROM o WHERE contains(normal, needle)),
+    e AS (SELECT *, s + length(needle) - 1 AS last FROM s), m AS (SELECT doc_id, value, CAST(s + CASE WHEN b < 0 OR s < b THEN 0 WHEN s < b + 10 THEN 2 ELSE 4 END AS INTEGER) AS start_pos,
+    CAST(last + 1 + CASE WHEN b < 0 OR last < b THEN 0 WHEN last < b + 10 THEN 2 ELSE 4 END AS INTEGER) AS end_pos FROM e)"""
+
+
+@query("JOI-09-all", with_contracts(f"{_SOUGHT} SELECT * FROM m"))
+def joi_09_all(spark, d):
+    rows = answers.flatten(corpus.answers(spark, d)).select("doc_id", "value", F.lit("text").alias("type"))
+    found = locate.value_places(rows, corpus.contracts(spark, d))
+    return found.select("doc_id", "value", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
+@query("LOG-05", with_contracts(f"""{_SOUGHT}, c AS (SELECT doc_id, value, count(*) AS match_count FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, query ORDER BY label NULLS FIRST, value) AS n FROM flat)
+    SELECT r.doc_id, query AS query_id, count(*) OVER (PARTITION BY r.doc_id, query) AS result_count, label, value, coalesce(match_count, 0) AS match_count FROM r LEFT JOIN c USING (doc_id, value)"""))
+def log_05(spark, d):
+    rows = answers.flatten(corpus.answers(spark, d)).withColumnRenamed("query", "query_id")
+    places = locate.value_places(rows.select("doc_id", "value", F.lit("text").alias("type")), corpus.contracts(spark, d))
+    out = audit.searches(rows, places.select("doc_id", "value", "start"))
+    return out.select("doc_id", "query_id", "result_count", F.explode("results").alias("r")).select("doc_id", "query_id", "result_count", "r.*")
 
 
 @query("JOI-09", with_contracts(f"{_ANS}, {_FLAT}, m AS ({_places(r'[0-9]{6}/[0-9]{4}', 0, 0)}) SELECT DISTINCT m.doc_id, m.value, CAST(s AS INTEGER) AS start_pos, CAST(s + 11 AS INTEGER) AS end_pos FROM m JOIN flat f ON f.doc_id = m.doc_id AND f.value = m.value"))
@@ -257,10 +293,10 @@ def ext_20(spark, d):
 
 
 # -- parsing, completing and placing answers ---------------------------------------------------------------------------
-_SINGLE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'prostý text' WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('{"type":"single","value":"', CAST(o_custkey AS STRING), '"}') END AS raw_text FROM orders"""
+_SINGLE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN concat(chr(10), '  {"type":"single","value":"', CAST(o_custkey AS STRING), '"} ', chr(9)) WHEN o_orderkey % 17 = 0 THEN concat('  ', chr(10)) WHEN o_orderkey % 7 = 0 THEN ' prostý text' WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('{"type":"single","value":"', CAST(o_custkey AS STRING), '"}') END AS raw_text FROM orders"""
 
 
-@query("JSON-01", f"SELECT id, 'single' AS type, CASE WHEN json_valid(raw_text) THEN json_extract_string(raw_text, '$.value') ELSE coalesce(nullif(raw_text, ''), 'Nenalezeno') END AS value FROM ({_SINGLE})")
+@query("JSON-01", f"SELECT id, 'single' AS type, CASE WHEN json_valid(raw_text) THEN json_extract_string(raw_text, '$.value') ELSE coalesce(nullif(raw_text, ''), 'Nenalezeno') END AS value FROM (SELECT id, trim(raw_text, {_EDGE}) AS raw_text FROM ({_SINGLE}))")
 def json_01(spark, d):
     return _sql(spark, d, _SINGLE, "orders").select("id", answers.single(F.col("raw_text")).alias("a")).select("id", "a.type", "a.value")
 
@@ -271,18 +307,30 @@ def json_02(spark, d):
     return answers.completed(answers.flatten(bad), _asked(bad)).select("doc_id", "query", "value")
 
 
-@query("JSON-04", with_contracts(rf"{_POSITIONAL} SELECT doc_id, CAST(json_array_length(regexp_extract(raw_text, '\{{.*\}}'), '$.results') AS INTEGER) AS n FROM pos WHERE contains(raw_text, '{{')"))
+@query("JSON-04", with_contracts(f"""{_POSITIONAL}, {_VERIFIED} SELECT doc_id, CAST(i - 1 AS INTEGER) AS item, r[i].label AS label, r[i].value AS value, r[i].start AS start_pos, r[i]."end" AS end_pos, r[i].confidence AS confidence, r[i].type AS type FROM i"""))
 def json_04(spark, d):
-    rows = corpus.answers(spark, d, positional=True).select("doc_id", answers.placed(F.col("raw_text"))["results"].alias("r"))
-    return rows.where("r IS NOT NULL").select("doc_id", F.size("r").alias("n"))
+    rows = corpus.answers(spark, d, positional=True).select("doc_id", F.posexplode(answers.placed(F.col("raw_text"))["results"]).alias("item", "r"))
+    return rows.select("doc_id", "item", "r.label", "r.value", F.col("r.start").alias("start_pos"), F.col("r.end").alias("end_pos"), "r.confidence", "r.type")
+
+
+#: history items with a single answer, several results, none, an answer of another type, or only a value or content of their own
+_HISTORY = """SELECT event_id AS hist_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type END AS category, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('dotaz ', CAST(user_id AS STRING)) END AS query,
+    CASE WHEN event_id % 6 = 0 THEN concat('{"type":"single","value":"', CAST(user_id AS STRING), CASE WHEN event_id % 4 = 0 THEN ' Kč","label":"Cena"}' ELSE ' a b","label":""}' END)
+    WHEN event_id % 6 = 1 THEN concat('{"type":"multiple","results":[{"label":"A","value":"', CAST(user_id AS STRING), '"},{"value":""}]}')
+    WHEN event_id % 6 = 2 THEN CASE WHEN event_id % 4 = 0 THEN '{"type":"multiple","results":[]}' ELSE '{"type":"multiple","value":"x"}' END
+    WHEN event_id % 6 = 3 THEN '{"type":"jiný","value":"x"}' END AS answer,
+    CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 < 3 THEN concat(CAST(user_id AS STRING), ',50 Kč') END AS value, CASE WHEN event_id % 7 > 0 THEN concat('obsah ', event_type) END AS content, CASE WHEN event_id % 8 < 4 THEN 'Popis' END AS label FROM events"""
 
 
-@query("JSON-09", f"""SELECT ord AS hist_id, coalesce(nullif(type, ''), 'Ostatní') AS category, 'Dotaz' AS query, 'Výsledek' AS label, coalesce(value, '') AS value, {_TABLE} AS type,
-    CASE WHEN {_TABLE} = 'number' THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE '' END AS absolute_value FROM ({ROWS_SQL})""")
+@query("JSON-09", f"""WITH h AS ({_HISTORY}), p AS (SELECT *, json_extract_string(answer, '$.type') AS kind FROM h),
+    i AS (SELECT hist_id, category, query, 0 AS item_idx, json_extract_string(answer, '$.label') AS label, json_extract_string(answer, '$.value') AS value FROM p WHERE kind = 'single'
+    UNION ALL SELECT hist_id, category, query, k, json_extract_string(answer, '$.results[' || k || '].label'), json_extract_string(answer, '$.results[' || k || '].value') FROM (SELECT *, unnest(range(json_array_length(answer, '$.results')::BIGINT)) AS k FROM p WHERE kind = 'multiple')
+    UNION ALL SELECT hist_id, category, query, 0, label, CASE WHEN value IS NULL THEN content ELSE value END FROM p WHERE answer IS NULL),
+    r AS (SELECT hist_id, CAST(item_idx AS INTEGER) AS item_idx, coalesce(category, '') AS category, coalesce(nullif(query, ''), 'Dotaz') AS query, coalesce(nullif(label, ''), 'Výsledek') AS label, coalesce(value, '') AS value FROM i)
+    SELECT *, {_TABLE} AS type, CASE WHEN {_TABLE} = 'number' THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE '' END AS absolute_value FROM r""")
 def json_09(spark, d):
-    none = F.lit(None).cast("string")
-    rows = _rows(spark, d).select(F.col("ord").alias("hist_id"), F.col("type").alias("category"), none.alias("query"), F.array(F.struct(none.alias("label"), "value")).alias("items"))
-    return answers.table_rows(rows).drop("item_idx")
+    rows = _sql(spark, d, _HISTORY, "events")
+    return answers.table_rows(rows.withColumn("answer", F.from_json("answer", answers.ANSWER)))
 
 
 @query("JOI-02", with_contracts(f"{_ANS}, {_FLAT} SELECT doc_id, query, CASE WHEN query = 'rodné číslo' THEN 'Osoby' ELSE 'Ostatní' END AS category FROM flat"))

@@ -406,12 +406,16 @@ def hil_02(spark, d):
     return highlight.merged(highlight.occurrences(docs, MARKED), docs).select("doc_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
-@query("HIL-03", "SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, text AS rebuilt FROM documents")
+_ISLANDS = f"""h AS (SELECT doc_id, s, CAST(s + length(value) AS INTEGER) AS e, o FROM ({_HIT})), b AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM h),
+    i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, o ROWS UNBOUNDED PRECEDING) AS island FROM b), m AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, island)"""
+
+
+@query("HIL-03", f"""WITH {_ISLANDS}, g AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS s, s AS e FROM m), t AS (SELECT doc_id, coalesce(max(e), 0) AS s, any_value(length(text)) AS e FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id),
+    x AS (SELECT doc_id, s, e, 'highlight' AS kind FROM m UNION ALL SELECT doc_id, s, e, 'text' FROM g UNION ALL SELECT doc_id, s, e, 'text' FROM t)
+    SELECT doc_id, CAST(s AS INTEGER) AS seg_start, kind, substr(text, s + 1, e - s) AS content FROM x JOIN documents USING (doc_id) WHERE e > s""")
 def hil_03(spark, d):
     docs = _table(spark, d, "documents")
-    pieces = highlight.segments(highlight.merged(highlight.occurrences(docs, MARKED), docs), docs)
-    parts = F.array_sort(F.collect_list(F.struct("seg_start", "content")))
-    return pieces.groupBy("doc_id").agg(F.sum(F.length("content")).alias("covered"), F.array_join(F.transform(parts, lambda p: p["content"]), "").alias("rebuilt"))
+    return highlight.segments(highlight.merged(highlight.occurrences(docs, MARKED), docs), docs)
 
 
 # -- audit log ---------------------------------------------------------------------------------------------------------

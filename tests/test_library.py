@@ -1,5 +1,6 @@
 """Oracle runs of all registered queries, and properties and hand-made cases of the operators."""
 
+import random
 import re
 
 import duckdb
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import textnorm as N
 from factloom.functions import values as V
-from factloom.operators import answers, extract, highlight, locate, requests, results, search
+from factloom.operators import answers, audit, extract, highlight, locate, report, requests, results, search
 from factloom.plans import queries as plans
 from factloom.sources import corpus, files
 
@@ -62,8 +63,8 @@ def test_value_rules(spark):
 
 
 def test_model_answers(spark):
-    raw = ['{"type":"single","value":"x"}', "plain", "", None]
-    assert column(spark, lambda c: answers.single(c)["value"], raw) == ["x", "plain", "Nenalezeno", "Nenalezeno"]
+    raw = ['{"type":"single","value":"x"}', " plain\n", "", None, '\n {"type":"single","value":" x"}\u00a0', " \t"]
+    assert column(spark, lambda c: answers.single(c)["value"], raw) == ["x", "plain", "Nenalezeno", "Nenalezeno", " x", "Nenalezeno"]
     placed = plans.QUERIES["JSON-06"](spark, D)
     text = corpus.contracts(spark, D)
     bad = placed.join(text, "doc_id").where(F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")) != F.col("value"))
@@ -74,9 +75,17 @@ def test_model_answers(spark):
 
 
 def test_table_rows_and_categories(spark):
-    history = spark.createDataFrame([(1, "c", "q", [("l", "5 Kč"), (None, "")]), (2, None, "", None)], "hist_id long, category string, query string, items array<struct<label:string,value:string>>")
+    schema = f"hist_id long, category string, query string, answer {answers.ANSWER}, value string, content string, label string"
+    history = spark.createDataFrame(
+        [
+            (1, "c", "q", ("single", "5 Kč", "l", None), None, None, None), (2, None, "", ("multiple", None, None, [("l", "x"), (None, "")]), None, None, None), (3, "", "q", ("multiple", "v", None, []), "v", "w", None),
+            (4, "", "q", ("multiple", "v", None, None), "v", "w", None), (5, "", "q", (None, "v", None, None), "v", "w", None), (6, "", None, None, "", "w", "own"), (7, "", None, None, None, "w", ""), (8, "", None, None, None, None, None),
+        ], schema)
     rows = sorted(tuple(r) for r in answers.table_rows(history).collect())
-    assert rows == [(1, 0, "c", "q", "l", "5 Kč", "number", "5"), (1, 1, "c", "q", "Výsledek", "", "text", ""), (2, 0, "Ostatní", "Dotaz", "Výsledek", "", "text", "")]
+    assert rows == [
+        (1, 0, "c", "q", "l", "5 Kč", "number", "5"), (2, 0, "", "Dotaz", "l", "x", "text", ""), (2, 1, "", "Dotaz", "Výsledek", "", "text", ""),
+        (6, 0, "", "Dotaz", "own", "", "text", ""), (7, 0, "", "Dotaz", "Výsledek", "w", "text", ""), (8, 0, "", "Dotaz", "Výsledek", "", "text", ""),
+    ]
     cats = spark.createDataFrame([("q", "old", 1), ("q", "new", 2)], "query string, category string, ord int")
     got = answers.with_category(spark.createDataFrame([("q",), ("r",)], "query string"), cats)
     assert sorted(map(tuple, got.collect())) == [("q", "new"), ("r", "Ostatní")]
@@ -104,19 +113,57 @@ def test_intents(spark):
     assert [r.pattern for r in rows if r.query_id == 1] == ["birthNumber", "companyId", "contractNumber", "bankAccount"] and sum(r.query_id == 2 for r in rows) == 12
 
 
-def test_index_map_aligns_from_left_to_right(spark):
-    texts = ["**Tučná** [o](u)\n# Nadpis", "", None, "bez značek", "* a\n* b *c*", "x" * 700 + "**y**" + "z" * 700]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = rows.select("text", N.remove_markdown(F.col("text")).alias("clean"), N.normalized(F.col("text")).alias("normal"), locate.index_map(F.col("text")).alias("m")).collect()
+def test_offset_maps_align_from_left_to_right(spark):
+    rnd = random.Random(3)
+    texts = ["**Tučná** [o](u)\n# Nadpis", "", None, "bez značek", "* a\n* b *c*", "x" * 700 + "**y**" + "z" * 700, "- -x", "1. 1. a", "İİ **i**", "**a\u0301\u0301**", "\U0001f600 *\U0001f600*"]
+    texts += ["".join(rnd.choice(["a", "b", "**", "*", "_", "- ", "\n", "[", "](u)", "1. ", "# ", "`", "é", " "]) for _ in range(rnd.randrange(30))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("offset_map", locate.offset_map(F.col("text")))
+    normal = N.normalized(F.col("text"))
+    places = F.transform(F.sequence(F.lit(0), F.length(F.coalesce(normal, F.lit(""))) + 1), lambda p: locate.original_place(p, F.col("offset_map")))
+    got = rows.select("text", N.remove_markdown(F.col("text")).alias("clean"), normal.alias("normal"), locate.index_map(F.col("offset_map")).alias("m"), "offset_map", places.alias("places")).collect()
     for r in got:
         want, at = [], 0
         for i, c in enumerate(r.text or ""):
             if at < len(r.clean) and r.clean[at] == c:
                 want.append(i)
                 at += 1
-        assert r.m == [want[i] if i < len(want) else i for i in range(len(r.normal or ""))]
-    back = locate.reverse_map(rows.select("doc_id", locate.index_map(F.col("text")).alias("index_map")))
-    assert back.select(F.sum(F.size("normalized"))).first()[0] == sum(len(r.normal or "") for r in got)
+        size = len(r.normal or "")
+        assert r.m == [want[i] if i < len(want) else i for i in range(size)]
+        assert r.places == [r.m[p] if p < size else p for p in range(size + 2)] and len(r.offset_map.runs) <= size
+    back = locate.reverse_map(rows).collect()
+    want = {}
+    for i, r in enumerate(got):
+        for place, o in enumerate(r.m):
+            want.setdefault((texts.index(r.text) if r.text in texts else i, o), []).append(place)
+    mine = {}
+    for r in back:
+        mine.setdefault((texts.index(texts[r.doc_id]), r.original), r.normalized)
+    assert mine == {k: sorted(set(v)) for k, v in want.items()}
+
+
+def test_places_where_any_value_begins(spark):
+    cases = [("aaaa", ["aa"]), ("abcabc", ["abc", "bca", "c"]), ("", ["a"]), ("x", []), ("a\\E(b)a\\E", ["a\\E", "(b)"]), ("žížala", ["ž", "ala"]), ("\U0001f600b\U0001f600", ["b", "\U0001f600"]), (".*", [".", "*"])]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, v array<string>").orderBy("i").select(locate.starts_of(F.col("t"), F.col("v"))).collect()
+    assert [r[0] for r in rows] == [[p for p in range(len(t)) if any(t.startswith(x, p) for x in v)] for t, v in cases]
+
+
+def test_searches_tell_what_they_gave(spark):
+    rows = [(1, "q", 0, "a", "x"), (1, "q", 1, None, "y"), (1, "q", 2, None, "y"), (1, "p", 0, None, None)]
+    given = spark.createDataFrame(rows, "doc_id int, query_id string, item int, label string, value string")
+    places = spark.createDataFrame([(1, "y", 5), (1, "y", 9), (2, "x", 1)], "doc_id int, value string, start int")
+    got = {r.query_id: (r.result_count, [tuple(x) for x in r.results]) for r in audit.searches(given, places).collect()}
+    assert got == {"q": (3, [("a", "x", 0), (None, "y", 2), (None, "y", 2)]), "p": (1, [(None, None, 0)])}
+    assert {r.query_id: (r.result_count, len(r.results)) for r in audit.searches(given, places, shown=2).collect()} == {"q": (3, 2), "p": (1, 1)}
+
+
+def test_statistics_of_nothing(spark):
+    empty = spark.createDataFrame([], "type string, value string, confidence double, start_position int, match_count int")
+    assert tuple(report.statistics(empty).first()) == (0, 0, 0.0, 0.0, None, None, None, 0, None, None)
+
+
+def test_confidences_by_origin(spark):
+    rows = spark.createDataFrame([("api", False, 0.1), ("batch", False, None), ("batch", True, 0.7), ("batch", None, 0.7), (None, True, 0.0), ("local", None, 0.4)], "origin string, failed boolean, confidence double")
+    assert [r.confidence for r in results.with_confidence(rows, "origin", "failed").collect()] == [0.95, 0.95, 0.0, 0.95, 0.9, 0.4]
 
 
 def test_values_are_placed_with_overlaps_and_by_type(spark):
