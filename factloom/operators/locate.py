@@ -9,40 +9,47 @@ from factloom.functions import textnorm as N
 from factloom.functions import values as V
 from factloom.operators.patterns import LOW, MONEY, UP
 
-#: pieces in which a text is compared with its normalised form: stretches without marks, of bounded length, and single marks
-PIECE = r"[^*_~`#\[\]()\n]{1,256}|(?s)."
 _RUNS = "array<struct<normal:int,original:int>>"
+BLOCK = 1000  # characters that are aligned at a time: a fold copies its state at each step, so the runs of a block are kept apart
 
 
-def _taken(state: Column, piece: Column, and_within: bool) -> Column:
-    """The state after a piece of the original: if the normalised text goes on with it, all of it is taken, else its characters one by one."""
-    size = F.length(piece)
-    same = F.array_join(F.slice(state["chars"], state["normal"] + 1, size), "") == piece
+def _taken(state: Column, char: Column, chars: Column) -> Column:
+    """The state after a character of the original: it is taken if it is the next one of the normalised text, and begins a run if the one before was not."""
+    same = F.coalesce(F.get(chars, state["normal"]) == char, F.lit(False))
     begins = F.array(F.struct(state["normal"].alias("normal"), state["original"].alias("original"))).cast(_RUNS)
-    whole = F.struct(
-        (state["normal"] + F.when(same, size).otherwise(0)).alias("normal"), (state["original"] + size).alias("original"), same.alias("within"),
-        F.when(same & ~state["within"], F.concat(state["runs"], begins)).otherwise(state["runs"]).alias("runs"), state["chars"].alias("chars"),
+    return F.struct(
+        F.when(same, state["normal"] + 1).otherwise(state["normal"]).alias("normal"), (state["original"] + 1).alias("original"), same.alias("within"),
+        F.when(same & ~state["within"], F.concat(state["runs"], begins)).otherwise(state["runs"]).alias("runs"),
     )
-    if not and_within:
-        return whole
-    return F.when(same | (size == 1), whole).otherwise(F.aggregate(F.split(piece, ""), state, lambda acc, c: _taken(acc, c, False)))
 
 
-def offset_map(text: Column) -> Column:
-    """How places of the normalised text lie in text: struct of runs, size and until.
+def _block_taken(state: Column, block: Column, chars: Column) -> Column:
+    none = F.array().cast(_RUNS).alias("runs")
+    begin = F.struct(state["normal"].alias("normal"), state["original"].alias("original"), state["within"].alias("within"), none)
+    end = F.aggregate(F.split(block, ""), begin, lambda acc, c: _taken(acc, c, chars))
+    # a fold of one step binds the block's end, so that it is made once
+    return F.aggregate(F.array(end), state, lambda acc, e: F.struct(e["normal"].alias("normal"), e["original"].alias("original"), e["within"].alias("within"), F.concat(acc["runs"], e["runs"]).alias("runs")))
+
+
+def with_offset_map(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with normal (the normalised text) and offset_map: how its places lie in text, a struct of runs, size and until.
 
     runs(normal, original) tell where stretches of the normalised text begin that lie unbroken in text, found from left to right; the first `until` places
     lie in them, later ones, up to size (the length of the normalised text), are the same in both. Null text has no places.
     """
-    text = F.coalesce(text, F.lit(""))
-    clean = N.remove_markdown(text)
-    size, n = F.length(F.lower(N.remove_diacritics(clean))), F.length(clean)
-    # the characters of the normalised text are part of the state, so that they are cut once
-    state = F.struct(F.lit(0).alias("normal"), F.lit(0).alias("original"), F.lit(False).alias("within"), F.array().cast(_RUNS).alias("runs"), F.split(clean, "").alias("chars"))
-    aligned = F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), state, lambda acc, piece: _taken(acc, piece, True), lambda acc: acc["runs"])
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # exploded arrays of one: what is made there is a column for what follows, not made again in each step of a fold
+    rows = docs.withColumn("_clean", F.explode(F.array(N.remove_markdown(whole))))
+    rows = rows.withColumn("_made", F.explode(F.array(F.struct(F.split("_clean", "").alias("chars"), F.lower(N.remove_diacritics(F.col("_clean"))).alias("normal")))))
+    n, size, chars = F.length("_clean"), F.length("_made.normal"), F.col("_made.chars")
+    state = F.struct(F.lit(0).alias("normal"), F.lit(0).alias("original"), F.lit(False).alias("within"), F.array().cast(_RUNS).alias("runs"))
+    blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    aligned = F.aggregate(blocks, state, lambda acc, block: _block_taken(acc, block, chars), lambda acc: acc["runs"])
     unbroken = F.array(F.struct(F.lit(0).alias("normal"), F.lit(0).alias("original"))).cast(_RUNS)
-    runs = F.when(n == 0, F.array().cast(_RUNS)).when(text == clean, unbroken).otherwise(aligned)
-    return F.struct(runs.alias("runs"), size.alias("size"), F.least(size, n).alias("until"))
+    runs = F.when(n == 0, F.array().cast(_RUNS)).when(whole == F.col("_clean"), unbroken).otherwise(aligned)
+    made = F.struct(runs.alias("runs"), size.alias("size"), F.least(size, n).alias("until"))
+    normal = F.when(F.col(text).isNotNull(), F.col("_made.normal"))
+    return rows.withColumn("offset_map", F.explode(F.array(made))).withColumn("normal", normal).drop("_clean", "_made")
 
 
 def _counted(n: Column) -> Column:
@@ -51,7 +58,7 @@ def _counted(n: Column) -> Column:
 
 
 def index_map(mapped: Column) -> Column:
-    """An offset_map() with one number for each place of the normalised text, for those who need it so."""
+    """An offset map with one number for each place of the normalised text, for those who need it so."""
     runs, until = mapped["runs"], mapped["until"]
     ends = F.concat(F.slice(F.transform(runs, lambda r: r["normal"]), 2, F.size(runs)), F.array(until))
     places = F.flatten(F.zip_with(runs, ends, lambda r, end: F.transform(_counted(F.least(end, until) - r["normal"]), lambda i: r["original"] + i)))
@@ -70,7 +77,7 @@ def reverse_map(maps: DataFrame) -> DataFrame:
 
 
 def original_place(place: Column, mapped: Column) -> Column:
-    """A place of the normalised text in the original: bisection on the runs of its offset_map(); places outside stay as they are."""
+    """A place of the normalised text in the original: bisection on the runs of its offset map; places outside stay as they are."""
     runs = mapped["runs"]
     state = F.struct(F.lit(0).alias("low"), F.size(runs).alias("high"), runs.alias("runs"), place.alias("place"))  # the run sought is at low or above, below high
 
@@ -120,11 +127,12 @@ def value_places(values: DataFrame, documents: DataFrame) -> DataFrame:
     needle = F.lower(N.remove_diacritics(V.normalize_value(F.col("value"), F.col("type"))))
     wanted = values.where(F.coalesce("value", F.lit("")) != "").select("doc_id", F.struct("value", "type", needle.alias("needle")).alias("w")).where(F.col("w.needle") != "")
     wanted = wanted.groupBy("doc_id").agg(F.collect_set("w").alias("wanted"))
-    docs = documents.join(wanted, "doc_id").select("doc_id", "text", "wanted", N.normalized(F.col("text")).alias("normal"), F.array_distinct(F.transform("wanted", lambda w: w["needle"])).alias("needles"))
+    docs = documents.join(wanted, "doc_id").select("doc_id", "text", "wanted", F.array_distinct(F.transform("wanted", lambda w: w["needle"])).alias("needles"))
+    docs = with_offset_map(docs)
     # a place, the stretch of the normalised text that begins there, as long as the longest value
     longest = F.array_max(F.transform("needles", F.length))
-    docs = docs.withColumn("at", starts_of(F.col("normal"), F.col("needles"))).where(F.size("at") > 0).withColumn("longest", longest)
-    docs = docs.select("doc_id", "text", "wanted", "at", F.transform("at", lambda p: F.substring(F.col("normal"), p + 1, F.col("longest"))).alias("there"), offset_map(F.col("text")).alias("offset_map"))
+    docs = docs.withColumn("at", F.explode(F.array(starts_of(F.col("normal"), F.col("needles"))))).where(F.size("at") > 0).withColumn("longest", longest)
+    docs = docs.select("doc_id", "text", "wanted", "at", F.transform("at", lambda p: F.substring(F.col("normal"), p + 1, F.col("longest"))).alias("there"), "offset_map")
     hits = F.zip_with("at", "there", lambda p, t: F.transform(F.filter("wanted", lambda w: t.startswith(w["needle"])), lambda w: F.struct(p.alias("at"), w.alias("w"))))
     rows = docs.select("doc_id", "text", "offset_map", F.explode(F.flatten(hits)).alias("h")).select("doc_id", "text", "offset_map", "h.at", "h.w")
     end = F.col("at") + F.length("w.needle")

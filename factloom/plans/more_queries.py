@@ -206,7 +206,7 @@ def doc_03(spark, d):
 
 # -- places ------------------------------------------------------------------------------------------------------------
 def _mapped(spark, d):
-    return corpus.contracts(spark, d).select("doc_id", "text", locate.offset_map(F.col("text")).alias("offset_map"))
+    return locate.with_offset_map(corpus.contracts(spark, d).select("doc_id", "text"))
 
 
 #: the only marks in contracts are those of one bold phrase: places after its first and second mark are two and four further on
@@ -239,7 +239,7 @@ _NUMBERS = rf"""{_MAP}, n AS (SELECT doc_id, b, index_map, lower(strip_accents(r
 
 @query("NRM-06", with_contracts(_NUMBERS))
 def nrm_06(spark, d):
-    normal = _mapped(spark, d).select("doc_id", "offset_map", locate.N.normalized(F.col("text")).alias("text"))
+    normal = _mapped(spark, d).select("doc_id", "offset_map", F.col("normal").alias("text"))
     rows = extract.placed(normal, [("number", 0, "[0-9]+")], "doc_id", "offset_map")
     place = locate.original_range(F.col("start"), F.col("end"), F.col("offset_map"))
     return rows.select("doc_id", "value", place.alias("p")).select("doc_id", "value", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos"))

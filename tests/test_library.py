@@ -115,12 +115,13 @@ def test_intents(spark):
 
 def test_offset_maps_align_from_left_to_right(spark):
     rnd = random.Random(3)
-    texts = ["**Tučná** [o](u)\n# Nadpis", "", None, "bez značek", "* a\n* b *c*", "x" * 700 + "**y**" + "z" * 700, "- -x", "1. 1. a", "İİ **i**", "**a\u0301\u0301**", "\U0001f600 *\U0001f600*"]
+    texts = ["**Tučná** [o](u)\n# Nadpis", "", None, "bez značek", "* a\n* b *c*", "x" * 700 + "**y**" + "z" * 700, "- -x", "1. 1. a", "İİ **i**", "**a\u0301\u0301**", "\U0001f600 *\U0001f600*", "**a** b\n- c " * 200]
     texts += ["".join(rnd.choice(["a", "b", "**", "*", "_", "- ", "\n", "[", "](u)", "1. ", "# ", "`", "é", " "]) for _ in range(rnd.randrange(30))) for _ in range(400)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("offset_map", locate.offset_map(F.col("text")))
-    normal = N.normalized(F.col("text"))
+    rows = locate.with_offset_map(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    normal = F.col("normal")
+    assert rows.where(~normal.eqNullSafe(N.normalized(F.col("text")))).count() == 0
     places = F.transform(F.sequence(F.lit(0), F.length(F.coalesce(normal, F.lit(""))) + 1), lambda p: locate.original_place(p, F.col("offset_map")))
-    got = rows.select("text", N.remove_markdown(F.col("text")).alias("clean"), normal.alias("normal"), locate.index_map(F.col("offset_map")).alias("m"), "offset_map", places.alias("places")).collect()
+    got = rows.select("text", N.remove_markdown(F.col("text")).alias("clean"), "normal", locate.index_map(F.col("offset_map")).alias("m"), "offset_map", places.alias("places")).collect()
     for r in got:
         want, at = [], 0
         for i, c in enumerate(r.text or ""):
