@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -72,16 +72,66 @@ def printable(rows: DataFrame) -> DataFrame:
     return rows.select(*[cut(F.col(c), n).alias(c) for c, n in (("category", 18), ("query", 20), ("label", 15), ("value", 15))])
 
 
-def metadata(rows: DataFrame, fmt: str) -> DataFrame:
-    return rows.agg(F.lit(fmt).alias("format"), F.count("*").alias("records"))
+def summary(rows: DataFrame, order: Column) -> DataFrame:
+    """section, item, value: counts by type, confidences, and the most frequent value types."""
+    kinds = type_counts(rows).select(F.lit("types").alias("section"), F.col("type").alias("item"), F.col("n").cast("double").alias("value"))
+    names = ["avg_confidence", "min_confidence", "max_confidence"]
+    sure = confidence_summary(rows).select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in names])).alias("x"))
+    top = top_value_types(rows, order).select(F.lit("value types"), "value_type", F.col("n").cast("double"))
+    return kinds.unionByName(sure.select(F.lit("confidence").alias("section"), "x.item", "x.value")).union(top)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.select(*[F.col(c).alias(h) for c, h in HEADERS.items()]).write.option("header", True).option("escape", '"').csv(f"{path}/data")
-    metadata(rows, "csv").write.json(f"{path}/metadata")
+def _manifest(spark: SparkSession, path: str, fmt: str, records: int, parts: list[str]) -> None:
+    """Written last: an export without it is not whole and is not read."""
+    made = spark.range(1).select(F.lit(fmt).alias("format"), F.lit(records).cast("long").alias("records"), F.array(*map(F.lit, parts)).alias("parts"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("generated"))
+    made.write.json(f"{path}/manifest")
 
 
-def write_workbook(rows: DataFrame, path: str, order: list) -> None:
-    sheets = {"results": rows, "summary": type_counts(rows), "types": types_with_samples(rows, order), "statistics": statistics(rows)}
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """format, records, parts and generated (the time) of a whole export; fails if there is none."""
+    return spark.read.schema("format string, records long, parts array<string>, generated string").json(f"{path}/manifest")
+
+
+def write_csv(rows: DataFrame, path: str) -> int:
+    """Rows as CSV and a manifest beside them, in one pass: the rows are counted while they are written."""
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("records"))
+    counted.select(*[F.col(c).alias(h) for c, h in HEADERS.items()]).write.option("header", True).option("escape", '"').csv(f"{path}/data")
+    _manifest(rows.sparkSession, path, "csv", seen.get["records"], ["data"])
+    return seen.get["records"]
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A whole CSV export, under the columns' own names; empty texts are null."""
+    manifest(spark, path)
+    back = spark.read.schema(", ".join(f"`{h}` string" for h in HEADERS.values())).option("header", True).option("escape", '"').csv(f"{path}/data")
+    return back.select(*[F.nullif(F.col(h), F.lit("")).alias(c) for c, h in HEADERS.items()])
+
+
+def write_workbook(rows: DataFrame, path: str, order: list[str]) -> int:
+    """Four sheets, each a folder, and a manifest. The rows are made once: the other sheets are made of the written results."""
+    seen, spark = Observation(), rows.sparkSession
+    rows.observe(seen, F.count(F.lit(1)).alias("records")).write.parquet(f"{path}/results")
+    kept = spark.read.schema(rows.schema).parquet(f"{path}/results")
+    sheets = {"summary": summary(kept, F.struct(*order)), "types": types_with_samples(kept, order), "statistics": statistics(kept)}
     for name, df in sheets.items():
         df.write.parquet(f"{path}/{name}")
+    _manifest(spark, path, "workbook", seen.get["records"], ["results", *sheets])
+    return seen.get["records"]
+
+
+def read_workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sheets of a whole workbook, by name."""
+    parts = manifest(spark, path).first().parts
+    return {name: spark.read.parquet(f"{path}/{name}") for name in parts}
+
+
+# -- distinct counts of very large tables ------------------------------------------------------------------------------
+def distinct_sketches(rows: DataFrame, by: Column, columns: list[str], log_size: int = 14) -> DataFrame:
+    """day and a sketch for each column: what a day has of distinct values, in a few KB. Sketches of days are kept; new days are added, old rows are not read again."""
+    return rows.groupBy(by.alias("day")).agg(*[F.hll_sketch_agg(F.nullif(F.col(c).cast("string"), F.lit("")), log_size).alias(c) for c in columns])
+
+
+def merged_sketches(sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """About how many distinct values each column has over all given sketches (standard error 1.04 / sqrt(2 ** log_size), less than 1 %)."""
+    return sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window as W
+
 from factloom.functions.textnorm import or_default
 from factloom.operators import answers as A
+from factloom.sources.files import stored
 
 CATEGORIES = "array<struct<category:string,items:array<string>>>"
 OTHER = "Ostatní"
@@ -28,8 +31,23 @@ def history(rows: DataFrame, mapping: DataFrame, confidence: float = 0.95) -> Da
     return out.withColumn("label", F.nullif("label", F.lit(""))).withColumn("confidence", F.lit(confidence))
 
 
+def positioned(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with position: their place, from 1, in the given order, which should tell all rows apart.
+
+    Spark deals the rows by ranges and sorts each partition, which numbers its own rows; the numbers begin after the rows of the partitions before. Only
+    counts by partition meet in one place, and are broadcast: as many rows as the sort has partitions.
+    """
+    sorted_rows = stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted_rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    out = sorted_rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn("position", F.col("_before") + within + 1).drop("_part", "_at", "_before")
+
+
 def newest_first(rows: DataFrame, ts: str, order: str) -> DataFrame:
-    return rows.orderBy(F.col(ts).desc(), order)
+    """rows with position, the newest first."""
+    return positioned(rows, F.col(ts).desc(), F.col(order))
 
 
 def to_highlight(full_context: Column, values: Column, value: Column) -> Column:
@@ -58,9 +76,9 @@ def only_selected(rows: DataFrame, selected: DataFrame, keys: list[str]) -> Data
 
 
 def sorted_by(rows: DataFrame, column: str, order: str, descending: bool = False) -> DataFrame:
-    """rows by a column, text in the root locale's order; equal keys keep their order."""
+    """rows with position by a column, text in the root locale's order; equal keys keep their order."""
     c = F.collate(column, "UNICODE") if dict(rows.dtypes)[column] == "string" else F.col(column)
-    return rows.orderBy(c.desc() if descending else c.asc(), order)
+    return positioned(rows, c.desc() if descending else c.asc(), F.col(order))
 
 
 def quality(found: DataFrame, truth: DataFrame) -> DataFrame:

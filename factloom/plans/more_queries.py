@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import values as V
-from factloom.operators import answers, audit, extract, locate, report, requests, results
+from factloom.operators import answers, audit, extract, locate, report, requests, results, trigrams
 from factloom.operators import patterns as P
-from factloom.plans.queries import _ANS, _BIRTH, _EXT, _FLAT, _POSITIONAL, _TABLE, _VERIFIED, LOG_SQL, ROWS_SQL, VALUES_SQL, _asked, _log, _places, _rows, _sql, _table, _values, query
-from factloom.sources import corpus, files
+from factloom.plans.queries import _ANS, _BIRTH, _EXPORT, _EXT, _FLAT, _POSITIONAL, _STAT_SQL, _TABLE, _VERIFIED, LOG_SQL, ROWS_SQL, VALUES_SQL, _asked, _log, _places, _rows, _sql, _table, _values, query
+from factloom.sources import corpus, files, streams
 from factloom.sources.corpus import with_contracts
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(13)"
@@ -40,15 +40,69 @@ _CSV = f"SELECT CAST(ord AS STRING) AS category, 'a \"quoted\", part' AS query,
 def snk_01(spark, d):
     path = files.new_path(spark, "csv")
     report.write_csv(_sql(spark, d, _CSV, "events"), path)
-    back = spark.read.option("header", True).option("escape", '"').csv(f"{path}/data")
-    return back.select(*[F.nullif(F.col(h), F.lit("")).alias(c) for c, h in report.HEADERS.items()])
+    return report.read_csv(spark, path)
 
 
-@query("SNK-03", f"SELECT ord, type, value FROM ({ROWS_SQL})")
+@query("SNK-02", f"SELECT 'csv' AS format, count(*) AS records, 'data' AS part, true AS dated FROM ({ROWS_SQL})")
+def snk_02(spark, d):
+    path = files.new_path(spark, "csv")
+    report.write_csv(_sql(spark, d, _CSV, "events"), path)
+    return report.manifest(spark, path).select("format", "records", F.explode("parts").alias("part"), F.col("generated").rlike("^20[0-9-]+T[0-9:.]+").alias("dated"))
+
+
+def _long(sheet: str, item: str, n: str, text: str) -> str:
+    return f"SELECT '{sheet}' AS sheet, {item} AS item, round(CAST({n} AS DOUBLE), 6) AS n, {text} AS text"
+
+
+_AS_ROWS = ("mean_confidence", "sd_confidence", "distinct_values", "distinct_types", "min_start", "max_start", "mean_start", "matches", "mean_matches", "max_matches")
+
+
+@query("SNK-03", f"""WITH rows AS ({ROWS_SQL}), t AS (SELECT *, coalesce(nullif(type, ''), 'unknown') AS kind FROM rows), s AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY ord) AS k FROM t WHERE value <> ''), st AS ({_STAT_SQL}),
+    v AS (SELECT {_EXPORT} AS kind, ord FROM rows), top AS (SELECT kind, count(*) AS n FROM v GROUP BY 1 ORDER BY n DESC, min(ord) LIMIT 5)
+    {_long("results", "CAST(ord AS VARCHAR)", "confidence", "coalesce(type, '~') || '|' || value")} FROM rows UNION ALL {_long("summary", "'types ' || kind", "count(*)", "NULL")} FROM t GROUP BY kind UNION ALL {_long("summary", "'value types ' || kind", "n", "NULL")} FROM top
+    UNION ALL {_long("summary", "'confidence avg_confidence'", "avg(confidence * 100)", "NULL")} FROM rows UNION ALL {_long("summary", "'confidence min_confidence'", "min(confidence * 100)", "NULL")} FROM rows UNION ALL {_long("summary", "'confidence max_confidence'", "max(confidence * 100)", "NULL")} FROM rows
+    UNION ALL {_long("types", "t.kind", "any_value(c)", "any_value(x)")} FROM (SELECT kind, count(*) AS c FROM t GROUP BY 1) t JOIN (SELECT kind, string_agg(value, '; ' ORDER BY k) AS x FROM s WHERE k <= 5 GROUP BY kind) y ON y.kind = t.kind GROUP BY t.kind
+    UNION ALL """ + " UNION ALL ".join(_long("statistics", f"'{c}'", c, "NULL") + " FROM st" for c in _AS_ROWS))
 def snk_03(spark, d):
     path = files.new_path(spark, "workbook")
     report.write_workbook(_rows(spark, d), path, ["ord"])
-    return spark.read.parquet(f"{path}/results").select("ord", "type", "value")
+    sheets = report.read_workbook(spark, path)
+    none = F.lit(None).cast("string")
+    as_rows = lambda sheet, item, n, text: sheets[sheet].select(F.lit(sheet).alias("sheet"), item.alias("item"), F.round(n.cast("double"), 6).alias("n"), text.alias("text"))
+    stats = sheets["statistics"].select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("n")) for c in _AS_ROWS])).alias("x"))
+    out = as_rows("results", F.col("ord").cast("string"), F.col("confidence"), F.concat(F.coalesce("type", F.lit("~")), F.lit("|"), "value"))
+    out = out.unionByName(as_rows("summary", F.concat_ws(" ", "section", "item"), F.col("value"), none)).unionByName(as_rows("types", F.col("type"), F.col("n"), F.col("samples")))
+    return out.unionByName(stats.select(F.lit("statistics").alias("sheet"), "x.item", F.round("x.n", 6).alias("n"), none.alias("text")))
+
+
+@query("AGG-06-sketches", f"SELECT count(DISTINCT nullif(value, '')) AS distinct_values, count(DISTINCT type) AS distinct_types, true AS near FROM ({ROWS_SQL})")
+def agg_06_sketches(spark, d):
+    """Days' sketches are stored, merged and held against the exact counts: near if both are within three standard errors."""
+    rows = _rows(spark, d)
+    days = files.stored(report.distinct_sketches(rows, F.floor(F.col("ord") / 1000), ["value", "type"]), "sketches")
+    about, exact = report.merged_sketches(days, ["value", "type"]).first(), report.statistics(rows).select("distinct_values")
+    counts = rows.agg(F.count_distinct("type").alias("distinct_types")).join(exact)  # one row each
+    near = [F.abs(F.lit(a) - F.col(c)) <= 0.03 * F.col(c) for a, c in ((about["value"], "distinct_values"), (about["type"], "distinct_types"))]
+    return counts.select("distinct_values", "distinct_types", (near[0] & near[1]).alias("near"))
+
+
+@query("FLT-01-indexed", f"SELECT ord, type, value FROM ({ROWS_SQL}) WHERE coalesce(contains(lower(type), '12 kč'), false) OR coalesce(contains(lower(value), '12 kč'), false)")
+def flt_01_indexed(spark, d):
+    path = files.new_path(spark, "indexed")
+    trigrams.write_indexed(_rows(spark, d).repartitionByRange(8, "ord"), path, ["type", "value"])
+    return trigrams.search(spark, path, ["type", "value"], "12 Kč").select("ord", "type", "value")
+
+
+@query("SRC-01-stream", with_contracts(f"m AS ({_places(_EXT[0][1], 0, 0)}) SELECT doc_id, value AS original_value, CAST(s AS INTEGER) AS start_pos FROM m WHERE {_BIRTH}"))
+def src_01_stream(spark, d):
+    """Contracts come as files in two parts; a stream extracts from the first, stops, and goes on with the second."""
+    path, out, at = (files.new_path(spark, name) for name in ("incoming", "extracted", "stream"))
+    given = corpus.contracts(spark, d).select(F.to_json(F.struct("doc_id", F.lit(0).alias("chunk_id"), F.col("text").alias("raw_text"))).alias("value"), (F.col("doc_id") % 2).alias("half"))
+    for half in (0, 1):
+        given.where(F.col("half") == half).select("value").write.mode("append").text(path)
+        found = extract.mentions(streams.model_answers(spark, path).select("doc_id", F.col("raw_text").alias("text")), ["birthNumber"])
+        streams.appended(found.select("doc_id", "original_value", F.col("start").alias("start_pos")), out, at).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query("SNK-05", f"SELECT event_id, level, category, data FROM ({LOG_SQL})")
@@ -179,14 +233,14 @@ def joi_08(spark, d):
     return results.only_selected(rows, rows.where("quantity = 50"), ["hist_id", "item_idx"])
 
 
-@query("SRT-01", f"SELECT ord, type, value FROM ({ROWS_SQL}) ORDER BY type, ord")
+@query("SRT-01", f"SELECT ord, type, value, row_number() OVER (ORDER BY type NULLS FIRST, ord) AS position FROM ({ROWS_SQL})")
 def srt_01(spark, d):
-    return results.sorted_by(_rows(spark, d), "type", "ord").select("ord", "type", "value")
+    return results.sorted_by(_rows(spark, d), "type", "ord").select("ord", "type", "value", "position")
 
 
-@query("FLT-03", f"SELECT event_id, category FROM ({LOG_SQL}) ORDER BY ts DESC, event_id")
+@query("FLT-03", f"SELECT event_id, category, row_number() OVER (ORDER BY ts DESC, event_id) AS position FROM ({LOG_SQL})")
 def flt_03(spark, d):
-    return results.newest_first(_log(spark, d), "ts", "event_id").select("event_id", "category")
+    return results.newest_first(_log(spark, d), "ts", "event_id").select("event_id", "category", "position")
 
 
 @query("LOG-03", f"SELECT id, value, trim(value) AS found, CAST(length(value) AS INTEGER) AS told_length, CAST(length(trim(value)) AS INTEGER) AS found_length FROM ({VALUES_SQL}) WHERE value IS DISTINCT FROM trim(value)")

@@ -379,11 +379,6 @@ def snk_04(spark, d):
     return _table(spark, d, "documents").select("doc_id", report.cut(F.col("text"), 20).alias("cut"))
 
 
-@query("SNK-02", f"SELECT 'csv' AS format, count(*) AS records FROM ({ROWS_SQL})")
-def snk_02(spark, d):
-    return report.metadata(_rows(spark, d), "csv")
-
-
 # -- highlighting ------------------------------------------------------------------------------------------------------
 MARKED = ["the", "then", "tion"]
 _HIT = " UNION ALL ".join(f"""SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * {len(v)} AS INTEGER) AS s, '{v}' AS value, {o} AS o FROM (SELECT doc_id, g, unnest(range(1, len(g))) AS i FROM (SELECT doc_id, string_split(strip_accents(lower(text)), '{v}') AS g FROM documents))""" for o, v in enumerate(MARKED))

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ANSWERS = "doc_id bigint, chunk_id int, raw_text string"
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores: small files are one partition each, too few for work that is dear for each row.
 
@@ -25,7 +28,7 @@ def contract_files(spark: SparkSession, path: str) -> DataFrame:
 
 def model_answers(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, chunk_id, raw_text from JSON lines."""
-    return spark.read.schema("doc_id bigint, chunk_id int, raw_text string").json(path)
+    return spark.read.schema(ANSWERS).json(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,6 +36,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what is used several times is made once, and lost executors cost no more than a stage."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors see.
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import textnorm as N
 from factloom.functions import values as V
-from factloom.operators import answers, audit, extract, highlight, locate, report, requests, results, search
+from factloom.operators import answers, audit, extract, highlight, locate, report, requests, results, search, trigrams
 from factloom.plans import queries as plans
-from factloom.sources import corpus, files
+from factloom.sources import corpus, files, streams
 
 D = "/root/testdata/sf0.001"
 
@@ -191,7 +192,7 @@ def test_files_selection_and_refusals(spark, tmp_path):
     asked = spark.createDataFrame([("q", "d"), (" \n", "d"), ("q", None)], "q string, d string")
     assert [r[0] for r in asked.select(requests.refusal(F.col("q"), F.col("d"))).collect()] == [None, "query", "document"]
     words = spark.createDataFrame([("Žena",), ("zebra",), ("čas",), ("dum",)], "w string").withColumn("o", F.lit(0))
-    assert [r.w for r in results.sorted_by(words, "w", "o").collect()] == ["čas", "dum", "zebra", "Žena"]
+    assert [r.w for r in results.sorted_by(words, "w", "o").orderBy("position").collect()] == ["čas", "dum", "zebra", "Žena"]
 
 
 def test_every_asked_pattern_meets_its_questions(spark):
@@ -249,3 +250,81 @@ def test_spans_of_texts_that_hold_the_mark_or_nothing(spark):
         assert (r.pattern, r.pattern_no, r.match_ord) == ("digits", 0, len(got[r.i]))
         got[r.i].append((r.start, r.end, r.value))
     assert got == {i: [(*m.span(), m.group()) for m in re.finditer("[0-9]+", t or "")] for i, t in enumerate(texts)}
+
+
+def test_positions_under_any_partitions(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["b", "a", None, "č", "c", "Č"])) for i in range(997)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "o int, w string").repartition(parts)
+        got = [(r.position, r.o, r.w) for r in results.sorted_by(df, "w", "o").orderBy("position").collect()]
+        order = {None: 0, "a": 1, "b": 2, "c": 3, "č": 4, "Č": 5}
+        assert got == [(n + 1, *r) for n, r in enumerate(sorted(rows, key=lambda r: (order[r[1]], r[0])))]
+        down = results.newest_first(df, "o", "o").orderBy("position").select("o").collect()
+        assert [r.o for r in down] == list(range(996, -1, -1))
+    assert results.sorted_by(df.limit(0), "w", "o").count() == 0
+
+
+def test_an_export_without_its_manifest_is_not_read(spark, tmp_path):
+    rows = spark.createDataFrame([("c", "q", 'a "b", c', "5", None, "text")], ", ".join(f"{c} string" for c in report.HEADERS))
+    assert report.write_csv(rows, f"{tmp_path}/a") == 1
+    assert [tuple(r) for r in report.read_csv(spark, f"{tmp_path}/a").collect()] == [("c", "q", 'a "b", c', "5", None, "text")]
+    assert report.write_csv(rows.limit(0), f"{tmp_path}/none") == 0 and report.read_csv(spark, f"{tmp_path}/none").count() == 0
+    rows.write.csv(f"{tmp_path}/half/data")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        report.read_csv(spark, f"{tmp_path}/half")
+
+
+def test_rows_are_made_once_for_an_export(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(50).selectExpr("id ord", "'t' type", "cast(id as string) value", "0.5d confidence", "1 start_position", "1 match_count")
+    assert report.write_workbook(rows.mapInArrow(count, rows.schema), f"{tmp_path}/w", ["ord"]) == 50 and made.value == 50
+    assert set(report.read_workbook(spark, f"{tmp_path}/w")) == {"results", "summary", "types", "statistics"}
+
+
+def test_search_reads_only_files_that_may_hold_the_term(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id", "concat('řádek číslo ', id, if(id = 1234, ' ZVLÁŠTNÍ', '')) as t", "cast(null as string) as u").repartitionByRange(16, "id")
+    trigrams.write_indexed(rows, f"{tmp_path}/x", ["t", "u"])
+    for term, most in (("zvláštní", 1), ("ČÍSLO 1234", 4), ("nikde", 0), ("slo", 16), ("ř", None)):
+        files_read = trigrams.files_with(spark, f"{tmp_path}/x", term)
+        assert most is None and files_read is None or len(files_read) <= most
+        want = {r.id for r in report.containing(rows, ["t", "u"], term).collect()}
+        assert {r.id for r in trigrams.search(spark, f"{tmp_path}/x", ["t", "u"], term).collect()} == want
+
+
+def test_a_stream_stopped_and_started_again_gives_each_row_once(spark, tmp_path):
+    texts = [f"Smlouva č. {i}/2024, rodné číslo: 940919/10{i:02}, cena 5 {i:03} CZK, splatnost do {i} dnů." for i in range(40)]
+    out, at, where = f"{tmp_path}/out", f"{tmp_path}/at", f"{tmp_path}/in"
+    for part in (texts[:15], [], texts[15:]):
+        for i, t in enumerate(part):
+            Path(where).mkdir(exist_ok=True)
+            Path(f"{where}/{texts.index(t)}.txt").write_text(t, encoding="utf-8")
+        stream = streams.contract_files(spark, where, files_at_once=4)
+        docs = stream.select(F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), "text")
+        run = streams.appended(extract.mentions(docs).withColumn("kind", V.value_type(F.col("value"))), out, at)
+        run.awaitTermination()
+        assert run.exception() is None
+    whole = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = extract.mentions(whole).withColumn("kind", V.value_type(F.col("value")))
+    plain_rows = lambda df: sorted(map(str, df.select(*sorted(want.columns)).collect()))
+    assert plain_rows(spark.read.parquet(out)) == plain_rows(want) and want.count() > 100
+
+
+def test_model_answers_as_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, '{"results":[{"query":"q","type":"single","value":"x"}]}'), (2, 0, "bad")], files.ANSWERS)
+    rows.write.json(f"{tmp_path}/in")
+    streams.appended(answers.flatten(streams.model_answers(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
+    assert [(r.doc_id, r.query, r.value) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, "q", "x")]
+
+
+def test_sketches_of_days_add_up(spark):
+    rows = spark.range(60_000).selectExpr("id div 10000 as d", "cast(id % 20000 as string) as v", "if(id % 2 = 0, '', 'x') as w")
+    days = report.distinct_sketches(rows.where("d < 3"), F.col("d"), ["v", "w"]).unionByName(report.distinct_sketches(rows.where("d >= 3"), F.col("d"), ["v", "w"]))
+    about = report.merged_sketches(days, ["v", "w"]).first()
+    assert abs(about.v - 20_000) < 600 and about.w == 1 and days.count() == 6
