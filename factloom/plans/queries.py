@@ -389,6 +389,19 @@ def hil_01(spark, d):
     return highlight.occurrences(_table(spark, d, "documents"), MARKED).select("doc_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "value")
 
 
+#: the words of the benchmark items, as a table of values; each is sought in all documents
+_VALUES = "SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS value FROM benchmark"
+
+
+@query("HIL-01-table", f"""WITH v AS (SELECT value FROM ({_VALUES}) WHERE length(value) > 2), t AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents),
+    g AS (SELECT doc_id, value, string_split(t, value) AS g FROM t JOIN v ON contains(t, value)), s AS (SELECT doc_id, value, list_transform(g, lambda x: length(x) + length(value)) AS n, unnest(range(1, len(g))) AS i FROM g)
+    SELECT doc_id, value, CAST(list_sum(n[1:i]) - length(value) AS INTEGER) AS start_pos FROM s""")
+def hil_01_table(spark, d):
+    words = _table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("value")).distinct().where(F.length("value") > 2)
+    found = highlight.occurrences_of(_table(spark, d, "documents"), words.withColumn("value_ord", F.lit(0)))
+    return found.select("doc_id", "value", F.col("start").alias("start_pos"))
+
+
 @query("HIL-04", f"SELECT doc_id, value, count(*) AS n FROM ({_HIT}) GROUP BY doc_id, value")
 def hil_04(spark, d):
     return highlight.occurrences(_table(spark, d, "documents"), MARKED).groupBy("doc_id", "value").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import textnorm as N
 from factloom.functions import values as V
-from factloom.operators import answers, audit, extract, highlight, locate, report, requests, results, search, trigrams
+from factloom.operators import answers, audit, extract, fuzzy, highlight, locate, report, requests, results, search, trigrams
 from factloom.plans import queries as plans
 from factloom.sources import corpus, files, streams
 
@@ -328,3 +328,56 @@ def test_sketches_of_days_add_up(spark):
     days = report.distinct_sketches(rows.where("d < 3"), F.col("d"), ["v", "w"]).unionByName(report.distinct_sketches(rows.where("d >= 3"), F.col("d"), ["v", "w"]))
     about = report.merged_sketches(days, ["v", "w"]).first()
     assert abs(about.v - 20_000) < 600 and about.w == 1 and days.count() == 6
+
+
+def brute_occurrences(text, value):
+    out, at = [], text.find(value)
+    while at >= 0:
+        out.append(at)
+        at = text.find(value, at + len(value))
+    return out
+
+
+def test_values_of_a_table_are_found_as_listed_ones(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abc ab") for _ in range(rnd.randrange(60))) for _ in range(60)] + ["a" * 2000, "", None, "Žluťoučký KŮŇ žlut", "\U0001f600ab\U0001f600ab", "\n\nab\n"]
+    values = ["a", "ab", "aa", "abc", "abab", "ababa", "abcab cab", "aaaaaaa", "kun", "žluť", "\U0001f600ab", "\n", "nikde", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    table = spark.createDataFrame(list(enumerate(values)), "value_ord int, value string")
+    key = lambda df: sorted((r.doc_id, r.value_ord, r.start, r.end, r.value) for r in df.collect())
+    got = key(highlight.occurrences_of(docs, table))
+    plain_fold = lambda t: "".join({"ž": "z", "ť": "t", "ý": "y", "č": "c", "ů": "u", "ň": "n"}.get(c, c) for c in (t or "").lower())
+    want = [(i, o, s, s + len(v), v) for i, t in enumerate(texts) for o, v in enumerate(values) if v for s in brute_occurrences(plain_fold(t), plain_fold(v))]
+    assert got == sorted(want)
+    assert highlight.occurrences_of(docs, table.limit(0)).count() == 0
+
+
+def test_similar_words_by_bounds_are_all_similar_words(spark):
+    rnd = random.Random(2)
+    vocabulary = sorted({"".join(rnd.choice("aaeionrstkvcz19") for _ in range(rnd.randrange(1, 12))) for _ in range(1500)} | {"martha", "marhta", "cena", "cenu", "x" * 400})
+    asked = ["cena", "martha", "rodne", "cislo", "a", "je", "rc", "smlouvy", "procentualni", "aaaa", "1999"]
+    words, tokens = (spark.createDataFrame([(w,) for w in x], f"{n} string") for x, n in ((asked, "word"), (vocabulary, "token")))
+    pairs = fuzzy.candidates(words, tokens).cache()
+    got = {(r.word, r.token): r.score for r in fuzzy.scored(pairs).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    score = lambda a, b: round(0.7 * fuzzy.jaro_winkler(a, b) + 0.3 * (1 - distance(a, b) / max(len(a), len(b))), 6)
+    want = {(a, b): s for a in asked for b in vocabulary if (s := score(a, b)) >= 0.6}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert pairs.count() == pairs.distinct().count() < 0.5 * len(asked) * len(vocabulary)
+
+
+def test_tokens_of_very_many_documents_are_dealt_to_several_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"cena cenik {i} zzz") for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([("Cena",)], "query string")
+    rows = lambda: sorted(map(tuple, fuzzy.nearest_tokens(docs, asked).collect()))
+    want = rows()
+    monkeypatch.setattr(fuzzy, "HOT", 0)
+    assert rows() == want and len(want) == 600
