@@ -29,12 +29,21 @@ def numbered(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("query_set", "chunk_id").agg(F.array_join(lines, "\n").alias("listed"))
 
 
-def requests(documents: DataFrame, lists: DataFrame, template: str = "Dokument:\n{document}\n\nDotazy:\n{queries}") -> DataFrame:
-    """doc_id, chunk_id, prompt for each document(doc_id, text, query_set) and each chunk of the set that it is asked."""
+def request_parts(documents: DataFrame, lists: DataFrame) -> DataFrame:
+    """doc_id, document, chunks: a row for each document(doc_id, text, query_set), its prepared text once, with the array of chunk_id and listed of its set.
+
+    A set's lists are gathered before they meet the documents, so that what is moved and stored doesn't grow with the number of chunks.
+    """
+    sets = lists.groupBy("query_set").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "listed"))).alias("chunks"))
+    return documents.select("doc_id", "query_set", normalized_for_model(F.col("text")).alias("document")).join(sets, "query_set").select("doc_id", "document", "chunks")
+
+
+def rendered(parts: DataFrame, template: str = "Dokument:\n{document}\n\nDotazy:\n{queries}") -> DataFrame:
+    """doc_id, chunk_id, prompt of request_parts(), made where they are used: a narrow step."""
     before, rest = template.split("{document}")
     between, after = rest.split("{queries}")
-    rows = documents.select("doc_id", "query_set", normalized_for_model(F.col("text")).alias("document")).join(lists, "query_set")
-    return rows.select("doc_id", "chunk_id", F.concat(F.lit(before), "document", F.lit(between), "listed", F.lit(after)).alias("prompt"))
+    rows = parts.select("doc_id", "document", F.explode("chunks").alias("c"))
+    return rows.select("doc_id", "c.chunk_id", F.concat(F.lit(before), "document", F.lit(between), "c.listed", F.lit(after)).alias("prompt"))
 
 
 def refusal(query: Column, document: Column) -> Column:

@@ -91,7 +91,23 @@ def win_02(spark, d):
     return _first_ones(spark, d).select("doc_id", "query_id", "pattern", F.col("start").alias("start_pos"), "value", F.round("relevance", 6).alias("relevance"))
 
 
-# -- whole forms of queries that look at a part ------------------------------------------------------------------------
+# -- all mentions, whole texts, all kinds of answers --------------------------------------------------------------------
+@query("EXT-17", with_contracts(f"m AS ({_MENTIONS}) SELECT doc_id, pattern, start_pos, end_pos, {_CONTEXT} AS context FROM m JOIN contracts USING (doc_id)"))
+def ext_17(spark, d):
+    return extract.mentions(corpus.contracts(spark, d)).select("doc_id", "pattern", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "context")
+
+
+@query("EXT-18", with_contracts(f"m AS (SELECT v.*, {_CONTEXT} AS context FROM ({_MENTIONS}) v JOIN contracts USING (doc_id)) SELECT doc_id, pattern, start_pos, end_pos, CASE WHEN radius = 200 THEN 0.9 WHEN {_KEYED} THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM m"))
+def ext_18(spark, d):
+    return extract.mentions(corpus.contracts(spark, d)).select("doc_id", "pattern", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("JOI-01", with_contracts(f"{_INTENT_SQL}, m AS ({_MENTIONS}) SELECT query_id, pattern, count(*) AS n FROM m JOIN intents USING (pattern) GROUP BY ALL"))
+def joi_01(spark, d):
+    counts = extract.mentions(corpus.contracts(spark, d)).groupBy("pattern").agg(F.count("*").alias("n"))  # before they meet the queries
+    return counts.join(search.intents(questions(spark)), "pattern").groupBy("query_id", "pattern").agg(F.sum("n").alias("n"))
+
+
 @query("JOI-01-rows", with_contracts(f"{_INTENT_SQL}, m AS ({_MENTIONS}) SELECT doc_id, query_id, intent_ord, pattern, value, start_pos, end_pos, pattern_no FROM m JOIN intents USING (pattern)"))
 def joi_01_rows(spark, d):
     m = extract.mentions(corpus.contracts(spark, d)).join(search.intents(questions(spark)), "pattern")
@@ -105,6 +121,9 @@ def qry_02_whole(spark, d):
     return docs.select("doc_id", search.widened(F.col("text")).alias("widened"))
 
 
+query("QRY-02", ORACLES["QRY-02-whole"])(qry_02_whole)
+
+
 #: yes/no answers derived from the contracts: whole, without or with an empty field, no JSON, empty, not an object, null
 _RAW = """CASE WHEN doc_id % 7 = 0 THEN concat('{"answer":"Ano","fullContext":"', regexp_extract(text, '[0-9]{6}/[0-9]{4}', 0), '"}') WHEN doc_id % 7 = 1 THEN '{"answer":"Ne"}'
     WHEN doc_id % 7 = 2 THEN '{"answer":"","fullContext":"x"}' WHEN doc_id % 7 = 3 THEN '{"answer":"Ano","fullContext":' WHEN doc_id % 7 = 4 THEN '' WHEN doc_id % 7 = 5 THEN '["Ano"]' END"""
@@ -118,6 +137,9 @@ def json_03_whole(spark, d):
     return rows.select("doc_id", "got.answer", F.col("got.fullContext").alias("full_context"))
 
 
+query("JSON-03", ORACLES["JSON-03-whole"])(json_03_whole)
+
+
 # -- fuzzy words -------------------------------------------------------------------------------------------------------
 _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(query)), '[a-z0-9]+')) AS word FROM " + _Q
 _TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS token FROM contracts"

@@ -159,7 +159,8 @@ def req_03(spark, d):
     SELECT doc_id, chunk_id, 'Dokument:' || chr(10) || document || chr(10) || chr(10) || 'Dotazy:' || chr(10) || listed AS prompt FROM x JOIN ({_LISTED}) ON query_set = doc_id""")
 def req_04(spark, d):
     lists = requests.numbered(requests.chunks(requests.distinct_queries(_lines(spark, d))))
-    return requests.requests(_table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").alias("query_set")), lists)
+    parts = requests.request_parts(_table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").alias("query_set")), lists)
+    return requests.rendered(files.stored(parts, "requests"))
 
 
 @query("REQ-05", f"SELECT conv_id, turn, CASE WHEN trim(c.text, {_EDGE}) = '' OR c.text IS NULL THEN 'query' WHEN trim(d.text, {_EDGE}) = '' OR d.text IS NULL THEN 'document' END AS refused FROM conversations c LEFT JOIN documents d ON doc_id = conv_id")
@@ -399,6 +400,9 @@ def joi_05(spark, d):
     return answers.verified(rows, corpus.contracts(spark, d)).select("doc_id", "value", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
-@query("JOI-10", with_contracts("p AS (SELECT doc_id, instr(text, 'kupní cena') AS a, instr(lower(text), 'kupní cena') AS b FROM contracts) SELECT doc_id, CAST(CASE WHEN a > 0 THEN a - 1 WHEN b > 0 THEN b - 1 END AS INTEGER) AS place FROM p"))
+@query("JOI-10", with_contracts(f"""{_ANS}, {_FLAT}, v AS (SELECT doc_id, value FROM flat UNION ALL SELECT doc_id, ' KUPNÍ cena ' FROM contracts), p AS (SELECT doc_id, value, instr(text, trim(value)) AS a, instr(lower(text), lower(trim(value))) AS b FROM v JOIN contracts USING (doc_id))
+    SELECT doc_id, value, CAST(CASE WHEN a > 0 THEN a - 1 WHEN b > 0 THEN b - 1 END AS INTEGER) AS place FROM p"""))
 def joi_10(spark, d):
-    return corpus.contracts(spark, d).select("doc_id", answers.right_place(F.col("text"), F.lit(" kupní cena ")).alias("place"))
+    docs = corpus.contracts(spark, d)
+    values = answers.flatten(corpus.answers(spark, d)).select("doc_id", "value").unionByName(docs.select("doc_id", F.lit(" KUPNÍ cena ").alias("value")))
+    return values.join(docs, "doc_id").select("doc_id", "value", answers.right_place(F.col("text"), F.col("value")).alias("place"))

@@ -190,18 +190,6 @@ for _i, ((_name, _label, _), _res) in enumerate(zip(P.CLAUSES, _CLAUSES, strict=
     query(f"EXT-{_i + 13}", with_contracts(f"m AS ({_s}) SELECT * FROM m"))(lambda spark, d, n=_name: _mentions(spark, d, n))
 
 
-@query("EXT-17", with_contracts(rf"""m AS ({_places(_EXT[0][1], 0, 0)}) SELECT doc_id, CAST(s AS INTEGER) AS start_pos, trim(substr(text, CAST(greatest(s - 100, 0) AS BIGINT) + 1, CAST(s + length(value) + 100 - greatest(s - 100, 0) AS BIGINT)), ' ' || chr(10)) AS context
-    FROM m JOIN contracts USING (doc_id) WHERE {_BIRTH}"""))
-def ext_17(spark, d):
-    return extract.mentions(corpus.contracts(spark, d), ["birthNumber"]).select("doc_id", F.col("start").alias("start_pos"), "context")
-
-
-@query("EXT-18", with_contracts(rf"""m AS ({_places(_EXT[4][1], 0, 0)}), c AS (SELECT doc_id, CAST(s AS INTEGER) AS start_pos, lower(substr(text, CAST(greatest(s - 100, 0) AS BIGINT) + 1, CAST(s + length(value) + 100 - greatest(s - 100, 0) AS BIGINT))) AS x
-    FROM m JOIN contracts USING (doc_id)) SELECT doc_id, start_pos, round(CASE WHEN contains(x, 'cena') OR contains(x, 'částka') OR contains(x, 'korun') OR contains(x, 'platba') OR contains(x, 'hodnota') THEN 1.0 ELSE 0.95 END::DOUBLE, 6) AS confidence FROM c"""))
-def ext_18(spark, d):
-    return extract.mentions(corpus.contracts(spark, d), ["amount"]).select("doc_id", F.col("start").alias("start_pos"), F.round("confidence", 6).alias("confidence"))
-
-
 # -- queries -----------------------------------------------------------------------------------------------------------
 #: Fixed: questions of the kind that users ask.
 QUESTIONS = ["Najdi rodné číslo prodávajícího", "Jaké je RČ kupujícího", "Ukaž všechna rodná čísla", "Jaká je kupní cena", "Kolik činí záloha", "Najdi všechny částky v Kč", "Jaká je RPSN", "Najdi úrokovou sazbu",
@@ -245,23 +233,11 @@ def src_02(spark, d):
     return search.query_list(rows, "k", "text").select("k.conv_id", "k.turn", "ord", "query", "batch_mode")
 
 
-@query("QRY-02", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(query), '{k}') THEN query || ' (hledat také: {v})'" for k, v in P.WIDER.items()) + " ELSE query END AS widened FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Jméno ' || substr(text, 1, 20) WHEN doc_id % 3 = 1 THEN 'Kupní cena ' || lang ELSE substr(text, 1, 30) END AS query FROM documents)")
-def qry_02(spark, d):
-    q = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Jméno "), F.substring("text", 1, 20))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Kupní cena "), F.col("lang"))).otherwise(F.substring("text", 1, 30))
-    return _table(spark, d, "documents").select("doc_id", search.widened(q).alias("widened"))
-
-
 def _answer(spark, d):
     asked = search.intents(questions(spark))
     return search.answer(extract.mentions(corpus.contracts(spark, d)), asked)
 
 
-@query("JOI-01", with_contracts(f"{_INTENT_SQL}, m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern FROM ({_places(r, 0, 0)}) WHERE {ok}" for n, r, ok, _ in (_EXT[0], _EXT[4], _EXT[8])) + ") SELECT query_id, pattern, count(*) AS n FROM m JOIN intents USING (pattern) GROUP BY ALL"))
-def joi_01(spark, d):
-    m = extract.mentions(corpus.contracts(spark, d), ["birthNumber", "amount", "czechDate"])
-    return m.join(search.intents(questions(spark)), "pattern").groupBy("query_id", "pattern").agg(F.count("*").alias("n"))
-
-
 @query("WIN-03")
 def win_03(spark, d):
     return _answer(spark, d).select("doc_id", "query_id", "rank", "pattern", "label", "value", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.round("confidence", 6).alias("confidence"), F.round("relevance", 6).alias("relevance"))
@@ -311,11 +287,6 @@ def json_06(spark, d):
     return answers.verified(rows, corpus.contracts(spark, d)).withColumnsRenamed({"start": "start_pos", "end": "end_pos"}).withColumn("confidence", F.round("confidence", 9))
 
 
-@query("JSON-03", "SELECT doc_id, text AS answer FROM documents")
-def json_03(spark, d):
-    return _table(spark, d, "documents").select("doc_id", answers.yes_no(F.col("text"))["answer"].alias("answer"))
-
-
 # -- reports -----------------------------------------------------------------------------------------------------------
 ROWS_SQL = """SELECT event_id AS ord, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS type, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 5 = 0 THEN concat(CAST(user_id AS STRING), ' Kč') ELSE CAST(user_id AS STRING) END AS value,
     CAST(event_id % 100 AS DOUBLE) / 100 AS confidence, CAST(event_id % 1000 AS INTEGER) AS start_position, CAST(1 + event_id % 3 AS INTEGER) AS match_count FROM events"""
@@ -444,9 +415,14 @@ def log_02(spark, d):
     return audit.slow(_log(spark, d))
 
 
-@query("LOG-04", f"SELECT id, CASE WHEN {_CHECKS['VAL-04'][1]} THEN 0 ELSE 2 END AS level FROM ({VALUES_SQL})")
+_VALIDATORS = [f"VAL-{i:02}" for i in range(1, 7)]
+
+
+@query("LOG-04", " UNION ALL ".join(f"SELECT id, '{k}' AS kind, CASE WHEN {_CHECKS[k][1]} THEN 0 ELSE 2 END AS level FROM ({VALUES_SQL})" for k in _VALIDATORS))
 def log_04(spark, d):
-    return audit.validations(_values(spark, d).withColumn("ok", V.is_amount(F.col("value"))), "ok").select("id", "level")
+    """Each value against each validator."""
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _CHECKS[k][0](F.col("value")).alias("ok")) for k in _VALIDATORS]))
+    return audit.validations(_values(spark, d).select("id", told.alias("x")).select("id", "x.*"), "ok").select("id", "kind", "level")
 
 
 @query("TOP-01", f"SELECT event_id, category FROM ({LOG_SQL}) ORDER BY ts DESC, event_id LIMIT 1000")

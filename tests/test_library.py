@@ -381,3 +381,13 @@ def test_tokens_of_very_many_documents_are_dealt_to_several_tasks(spark, monkeyp
     want = rows()
     monkeypatch.setattr(fuzzy, "HOT", 0)
     assert rows() == want and len(want) == 600
+
+
+def test_what_is_moved_for_requests_does_not_grow_with_the_chunks(spark):
+    docs = spark.createDataFrame([(i, f" text {i}\t" + "x" * 500, "s") for i in range(20)], "doc_id long, text string, query_set string")
+    for n in (1, 40):
+        lists = spark.createDataFrame([("s", i, f"1. dotaz {i}") for i in range(n)], "query_set string, chunk_id int, listed string")
+        parts = requests.request_parts(docs, lists)
+        assert parts.count() == 20 and sum(len(r.document) for r in parts.collect()) == sum(len(f"text {i} " + "x" * 500) for i in range(20))
+        prompts = {(r.doc_id, r.chunk_id): r.prompt for r in requests.rendered(parts).collect()}
+        assert len(prompts) == 20 * n and prompts[3, n - 1] == "Dokument:\ntext 3 " + "x" * 500 + f"\n\nDotazy:\n1. dotaz {n - 1}"
