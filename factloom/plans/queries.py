@@ -245,7 +245,8 @@ def win_03(spark, d):
 
 @query("WIN-04")
 def win_04(spark, d):
-    return search.summary(_answer(spark, d), corpus.contracts(spark, d), questions(spark)).select("doc_id", "query_id", "n", F.round("confidence", 6).alias("confidence"))
+    found = search.deduplicated(extract.mentions(corpus.contracts(spark, d)), search.intents(questions(spark)))
+    return search.summary(found, corpus.contracts(spark, d), questions(spark)).select("doc_id", "query_id", "n", F.round("confidence", 6).alias("confidence"))
 
 
 # -- model answers -----------------------------------------------------------------------------------------------------

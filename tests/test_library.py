@@ -391,3 +391,18 @@ def test_what_is_moved_for_requests_does_not_grow_with_the_chunks(spark):
         assert parts.count() == 20 and sum(len(r.document) for r in parts.collect()) == sum(len(f"text {i} " + "x" * 500) for i in range(20))
         prompts = {(r.doc_id, r.chunk_id): r.prompt for r in requests.rendered(parts).collect()}
         assert len(prompts) == 20 * n and prompts[3, n - 1] == "Dokument:\ntext 3 " + "x" * 500 + f"\n\nDotazy:\n1. dotaz {n - 1}"
+
+
+def test_completed_results(spark):
+    given = spark.createDataFrame([(1, "a", "l", "x"), (1, "a", None, None), (2, "z", "l", "unasked"), (None, "a", None, "no id")], "doc_id int, query string, label string, value string")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (3, "a")], "doc_id int, query string")
+    got = sorted(map(str, map(tuple, answers.completed(given, asked).collect())))
+    assert got == sorted(map(str, [(1, "a", "l", "x"), (1, "a", None, None), (2, "z", "l", "unasked"), (None, "a", None, "no id"), (1, "b", None, "Nenalezeno"), (3, "a", None, "Nenalezeno")]))
+
+
+def test_summary_of_answers_and_of_all_mentions(spark):
+    docs = corpus.contracts(spark, D).limit(50)
+    asked = search.intents(plans.questions(spark))
+    found = extract.mentions(docs)
+    rows = lambda x: sorted(map(tuple, search.summary(x, docs, plans.questions(spark)).collect()))
+    assert rows(search.answer(found, asked)) == rows(search.deduplicated(found, asked))
