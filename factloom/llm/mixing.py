@@ -12,7 +12,7 @@ is too little, as in a source of few documents and a very long one, one or two t
 
 Random numbers come from hashes of the documents, and blocks from the same hash, so reruns agree whatever the partitions.
 Null texts have size 0; documents of size 0 take no words. A null source is a source like any other and comes last. Identical
-rows may be taken different numbers of times. With no words at all every target is 0. An empty table gives an empty
+rows may be taken different numbers of times. Documents of a source without words are not taken; with no words at all every target is 0. An empty table gives an empty
 result. Other columns only tell rows apart, so that clashing names do not matter.
 """
 
@@ -49,7 +49,7 @@ def targets(sources: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFram
     out = out.withColumn("level", (total - before) / rest).withColumn("held", F.col("level") * F.col("weight") > F.col("most"))
     level = F.max(F.when(~F.col("held"), F.col("level"))).over(W.partitionBy())  # levels fall once none is held
     target = F.when(F.col("held"), F.col("most")).otherwise(F.least("most", level * F.col("weight")))
-    ratio = F.when(F.col("held"), F.lit(cap)).otherwise(F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0)))
+    ratio = F.when(F.col("source_size") == 0, F.lit(0.0)).when(F.col("held"), F.lit(cap)).otherwise(F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0)))
     return out.withColumn("target", target).withColumn("ratio", ratio).drop("weight", "most", "level", "held")
 
 

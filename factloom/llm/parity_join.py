@@ -56,6 +56,7 @@ SIDE = 1024  # of the square blocks
 BLOCK = 4_000_000  # characters in a side of the blocks in which links are counted
 BITS = 256  # the least width of a sketch
 KEPT = 400_000
+LEAST = 16  # of its signatures a text brings along, so that a pair is told at the least one it shares
 FEW = 8  # pairs for each text of a block that are compared at once
 SAMPLE, LISTED = 16, 1 << 20  # one text of so many is looked at for frequent shingles and signatures; bound of the shingles listed
 
@@ -342,6 +343,8 @@ def _across(members: DataFrame, parts: DataFrame, sketches: DataFrame, s: float,
     """Pairs (a, b) of unlike components with a signature in common whose sketches allow the similarity.
 
     nearest: a block with more than FEW of them for each text gives only each text's closest, and its key in the column rest.
+    A pair that has several signatures in common is told at the least of them: each text brings along its LEAST least ones, and where both
+    list a smaller one, the pair is left to that.
     members: key (a signature), bucket (of it, bounded), node. Texts of a key's largest component and the others are cut into blocks of about
     SIDE texts; each pair of blocks is one group, but for pairs of blocks of the largest component.
     """
@@ -352,17 +355,29 @@ def _across(members: DataFrame, parts: DataFrame, sketches: DataFrame, s: float,
     main = F.when(F.col("all") > SIDE, F.col("main.n")).otherwise(F.lit(0))  # few texts are one block
     sums = sums.where("main.n < all").select("key", F.when(main > 0, F.col("main.component")).alias("main"), *[F.ceil(c / SIDE).cast("int").alias(n) for c, n in ((main, "x"), (F.col("all") - main, "y"))])
     mixed = stored(members.select("key", "bucket").distinct().join(sums, "key").drop("key"), "mixed")  # a row for each bucket, so that no key is hot in the next join
-    rows = rows.join(mixed, "bucket").join(sketches, "node")
+    rows = rows.join(mixed, "bucket")
+    listed = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST).alias("least"))  # no more than the text has signatures
+    rows = rows.join(sketches.join(listed, "node"), "node")
     x, y, largest = F.col("x"), F.col("y"), F.coalesce(F.col("component") == F.col("main"), F.lit(False))
     rows = rows.withColumn("cut", F.when(largest, F.pmod(F.xxhash64("node"), x)).otherwise(x + F.pmod(F.xxhash64("node"), y)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(largest, x).otherwise(F.lit(0)), x + y - 1)))
-    rows = rows.select("key", F.least("cut", "other").alias("one"), F.greatest("cut", "other").alias("two"), "cut", "node", "component", "n", "sketch")
+    rows = rows.select("key", F.least("cut", "other").alias("one"), F.greatest("cut", "other").alias("two"), "cut", "node", "component", "n", "sketch", "least")
+
+    def here(least: np.ndarray, one: np.ndarray, two: np.ndarray, key: int) -> np.ndarray:
+        """Which of the pairs (one, two) list no smaller signature in common than key."""
+        out = np.ones(len(one), dtype=bool)
+        for at in range(0, len(one), 50_000):
+            a, b = least[one[at : at + 50_000]][:, :, None], least[two[at : at + 50_000]][:, None, :]
+            out[at : at + 50_000] = ~((a == b) & (a < key)).any(axis=(1, 2))
+        return out
 
     def compare(group: pa.Table) -> tuple[set[tuple[int, int]], bool]:
         """The pairs, and whether more than these are possible."""
         node, comp, n, cut = (group.column(c).to_numpy() for c in ("node", "component", "n", "cut"))
         sketches = group.column("sketch").to_pylist()
         bits = narrowed(sketches, min(map(len, sketches)))  # a bucket holds sizes of neighbouring bands
+        key = group.column("key")[0].as_py()
+        least = np.array([x + [np.iinfo(np.int64).max] * (LEAST - len(x)) for x in group.column("least").to_pylist()], dtype=np.int64)
         left, right = np.flatnonzero(cut == group.column("one")[0].as_py()), np.flatnonzero(cut == group.column("two")[0].as_py())
         closest, every, count = set(), set(), 0
         step = max(1, 2_000_000 // max(1, len(right) * bits.shape[1]))
@@ -372,15 +387,19 @@ def _across(members: DataFrame, parts: DataFrame, sketches: DataFrame, s: float,
             one, two = n[i][:, None], n[right][None, :]
             fits = (comp[i][:, None] != comp[right][None, :]) & (far <= np.floor(scheme.rate * (one + two) + 1e-9)) & (np.minimum(one, two) >= s * np.maximum(one, two) - 1e-9)
             x, y = np.nonzero(fits)
+            told = here(least, i[x], right[y], key)
+            x, y = x[told], y[told]
             count += len(x)
             if nearest and len(x):
                 some = np.flatnonzero(fits.any(axis=1))
                 best = np.where(fits[some], far[some], np.iinfo(np.int64).max).argmin(axis=1)
-                closest |= set(zip(node[i[some]].tolist(), node[right[best]].tolist(), strict=True))
+                told = here(least, i[some], right[best], key)
+                closest |= set(zip(node[i[some[told]]].tolist(), node[right[best[told]]].tolist(), strict=True))
             if not nearest or count <= FEW * group.num_rows:
                 every |= set(zip(node[i[x]].tolist(), node[right[y]].tolist(), strict=True))
         cut_off = nearest and count > FEW * group.num_rows
-        return {(min(p), max(p)) for p in (closest if cut_off else every)}, cut_off
+        pairs = {(min(p), max(p)) for p in (closest if cut_off else every)}
+        return pairs or ({(int(node[0]), int(node[0]))} if cut_off else set()), cut_off  # a text beside itself only tells the key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; a group may go on in the next batch."""
@@ -530,10 +549,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "
     of = F.coalesce("component", "node")
     for nearest in (True, False):
         found = stored(_across(members, components(links), sketches, s, nearest), "possible")
-        more = stored(found.select("a", "b").distinct(), "pairs")
-        if more.isEmpty():
+        more = stored(found.where("a <> b").select("a", "b").distinct(), "pairs")
+        if found.isEmpty():
             break
-        links = stored(links.unionByName(_verified(more, docs, k, s)), "links")
+        if not more.isEmpty():
+            links = stored(links.unionByName(_verified(more, docs, k, s)), "links")
         members = members.join(found.select(F.col("rest").alias("key")).dropna().distinct(), "key", "left_semi")
     parts = components(links)
     if links_too:

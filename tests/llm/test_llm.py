@@ -427,3 +427,10 @@ def test_jaccard_oracle(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
     got = queries.op8_jaccard_join(spark, D).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["op8_jaccard_join"]).fetchall())
+
+
+def test_documents_of_a_source_without_words_are_not_taken(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "", "none"), (3, None, "none"), (4, "d e", "y"), (5, " \n", "none")], "doc_id long, text string, source string")
+    rows = {r.doc_id: (r.size, r.target, r.copies, r.taken) for r in mixing.mix(docs).collect()}
+    assert all(rows[i] == (0, 0.0, 0, 0) for i in (2, 3, 5)) and rows[1][2] + rows[4][2] > 0
+    assert {r.doc_id for r in mixing.mixed(docs).collect()} <= {1, 4}
