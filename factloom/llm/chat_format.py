@@ -9,8 +9,8 @@ that; texts are moved once, those of the conversations that stay.
 Equal conversations are no snapshots of each other: all stay, and first_id (the smallest conv_id among them) tells copies apart.
 They are joined to their class by _spread, so that one conversation logged very often is not dealt to one task.
 
-Turns are ordered by turn (nulls first), then role, then hash; a repeated row (same conv_id, turn, role and text) counts once.
-Null roles and texts are empty. Each different row with a null conv_id is a conversation of its own. An empty table gives an empty
+Turns are ordered by turn (nulls first), then role, then text; a repeated row (same conv_id, turn, role and text) counts once.
+Null roles and texts are empty. Ids and turns that are no numbers count as null. Each different row with a null conv_id is a conversation of its own. An empty table gives an empty
 result. Texts are not escaped. Only the named columns are read.
 """
 
@@ -30,15 +30,29 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
 
 
+def _turns(rows: DataFrame) -> DataFrame:
+    """The different turns as hashes. Only those that share place and role with another one keep their text, for their order."""
+    place = [*KEY, "turn", "role"]
+    ends = [f(h).alias(f"{name}_{h}") for h in ("h1", "h2") for name, f in (("least", F.min), ("most", F.max))]
+    places = stored(rows.groupBy(*place).agg(*ends), "turns")  # drops repeated rows before they are dealt
+    alone = (F.col("least_h1") == F.col("most_h1")) & (F.col("least_h2") == F.col("most_h2"))
+    turns = places.where(alone).select(*place, F.col("least_h1").alias("h1"), F.col("least_h2").alias("h2"), F.lit(None).cast("string").alias("text"))
+    shared = places.where(~alone).select(*[F.col(c).alias(f"of_{c}") for c in place])
+    if shared.isEmpty():
+        return turns
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in place]
+    return turns.unionByName(rows.join(shared, same, "left_semi").select(*turns.columns).distinct())
+
+
 def collapse(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, n_turns, first_id (the smallest id of its equals) and text of each conversation that is not the beginning of another."""
-    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), *[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))])
+    rows = turns.select(F.col(conv_id).try_cast("long").alias("conv_id"), F.col(turn).try_cast("long").alias("turn"), *[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))])
     rows = rows.withColumns({f"h{i}": F.xxhash64(F.lit(i), "role", "text") for i in (1, 2)})
     alone = F.when(F.col("conv_id").isNull(), F.xxhash64(F.col("turn").isNull(), "turn", "h1", "h2")).otherwise(F.lit(0).cast("long"))
     rows = rows.select(F.coalesce("conv_id", F.lit(0)).alias("id"), alone.alias("alone"), "turn", "role", "h1", "h2", "text")
 
-    order = W.partitionBy(*KEY).orderBy("turn", "role", "h1", "h2")
-    placed = rows.drop("text").repartition(*KEY).distinct().withColumn("n", F.row_number().over(order))
+    order = W.partitionBy(*KEY).orderBy("turn", "role", "text")
+    placed = _turns(rows).withColumn("n", F.row_number().over(order))
     rolling = [F.bit_xor(F.xxhash64(F.lit(i), "n", f"h{i}")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) for i in (1, 2)]
     prefixes = placed.select(*KEY, F.struct("n", *[r.alias(f"r{i}") for i, r in enumerate(rolling)]).alias("prefix"), F.lead("n").over(order).isNull().alias("whole"))
     prefixes = stored(prefixes, "prefixes")
@@ -49,7 +63,7 @@ def collapse(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     classes = stored(classes.join(prefixes.where("not whole").select("prefix").distinct(), "prefix", "left_anti"), "classes")
     kept = _spread(whole, classes, "prefix").where("stays").select(*KEY, "first_id")
 
-    said = F.array_sort(F.array_distinct(F.collect_list(F.struct("turn", "role", "h1", "h2", "text"))))
-    chats = rows.join(kept, KEY).groupBy(*KEY).agg(F.first("first_id").alias("first_id"), said.alias("said"))
+    # a set is made in each task before rows are dealt, so that rows repeated very often move once from each
+    chats = rows.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("said")).join(kept, KEY)
     chat = F.array_join(F.transform("said", lambda x: rendered(x["role"], x["text"])), "")
     return chats.select(of_id.alias("conv_id"), F.size("said").alias("n_turns"), "first_id", chat.alias("text"))
