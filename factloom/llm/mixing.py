@@ -10,7 +10,10 @@ until one block for each source is left. There the last few documents are rounde
 reserve of small documents, left out of the flight until then, takes the turns that make up the difference (the landing). Where that
 is too little, as in a source of few documents and a very long one, one or two turns at a time are changed.
 
-Random numbers come from hashes of the documents, and blocks from the same hash, so reruns agree whatever the partitions.
+Equal rows are counted first, and units of at most EQUAL of them fly as one: a unit of m rows has whole turns floor(m * r) and a chance of one more, and
+deals its turns to its rows. So rows repeated very often spread over all blocks, and none holds more units than is meant.
+
+Random numbers come from hashes of the units, and blocks from the same hash, so reruns agree whatever the partitions.
 Null texts have size 0; documents of size 0 take no words. A null source is a source like any other and comes last. Identical
 rows may be taken different numbers of times. Documents of a source without words are not taken; with no words at all every target is 0. An empty table gives an empty
 result. Other columns only tell rows apart, so that clashing names do not matter.
@@ -29,8 +32,9 @@ from pyspark.sql.window import Window as W
 from factloom.llm.common import stored
 
 BLOCK, FAN, RESERVE, LAST = 8192, 2048, 256, 10
+EQUAL = 64  # equal rows that are one unit of the flight
 NEAR = 0.001  # share of its target by which a source may miss it before turns are changed
-SCHEMA = "key long, doc_id string, source string, size long, source_size long, target double, whole int, p double, blocks long, block long"
+SCHEMA = "key long, seed long, equal int, doc_id string, source string, size long, source_size long, target double, whole int, p double, blocks long, block long"
 
 
 def n_words(text: Column) -> Column:
@@ -135,8 +139,8 @@ def settled(size: np.ndarray, z: np.ndarray, short: float) -> np.ndarray:
 
 def _level(docs: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        mixed = pdf["key"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        pdf = pdf.sort_values(["size", "seed", "key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        mixed = pdf["seed"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         size, p, chance = pdf["size"].to_numpy(dtype=float), pdf["p"].to_numpy(dtype=float), (mixed >> np.uint64(11)) / 2.0**53
         open_ = np.flatnonzero((size > 0) & (p > 1e-9) & (p < 1 - 1e-9))
@@ -168,16 +172,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     key, text, doc_id = row_key(docs, text), F.col(text), F.col(doc_id)
     sized = docs.select(key.alias("key"), doc_id.cast("string").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
-    sized = stored(sized, "sizes")  # the texts are read once
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    # the texts are read once; equal rows become units of a bounded number of them, with a seed each
+    equal = sized.groupBy(*sized.columns).count().withColumn("unit", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / EQUAL))))
+    units = equal.select(*sized.columns, F.least(F.lit(EQUAL), F.col("count") - F.col("unit") * EQUAL).cast("int").alias("equal"), F.xxhash64("key", "unit").alias("seed"))
+    sized = stored(units, "sizes")
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("source_size"), F.count("*").alias("n"))
     sources = stored(targets(sources, weights, cap), "targets").withColumnRenamed("source", "of")
     most = sources.agg(F.max("n")).first()[0] or 0
-    whole, ratio = F.floor("ratio").cast("int"), F.col("ratio")
+    turns = F.col("ratio") * F.col("equal")
+    whole = F.floor(turns).cast("int")
     level = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
-        "key", "doc_id", "source", "size", "source_size", "target", whole.alias("whole"), (ratio - whole).alias("p"),
+        "key", "seed", "equal", "doc_id", "source", "size", "source_size", "target", whole.alias("whole"), (turns - whole).alias("p"),
         F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"),
     )
-    level = level.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    level = level.withColumn("block", F.pmod(F.xxhash64("seed"), F.col("blocks")))
     done, blocks = [], -(-most // BLOCK)
     while True:
         level = stored(_level(level), "flight")
@@ -190,7 +198,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    copies = F.col("whole") + F.round("p").cast("int")
+    turns, equal = F.col("whole") + F.round("p").cast("int"), F.col("equal")
+    out = out.withColumn("i", F.explode(F.sequence(F.lit(1), equal)))  # back to rows: the unit's turns, as evenly as whole numbers allow
+    copies = F.floor(turns / equal).cast("int") + (F.col("i") <= turns % equal).cast("int")
     return out.select("key", F.col("doc_id").try_cast("long").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
