@@ -24,6 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from factloom.llm.common import stored
 
 WORD = re.compile(r"\w+")
 #: Shares of the lexicon that the subsets keep: all of it once, then tiers of falling rates.
@@ -106,56 +109,70 @@ def fingerprints(docs: DataFrame, terms: np.ndarray, text: str = "text") -> Data
     return docs.withColumn("fingerprint", fingerprint(F.col(text)))
 
 
+def _beside(printer: Printer, text: str, own: str, after: str, after_print: str) -> tuple:
+    """n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of a text, given the next one and both fingerprints."""
+    n = len(text)
+    edited = text[: n - n // 2] + after[: n // 2]
+    again = printer.print(edited)
+    return n, hashlib.sha256(edited.encode()).hexdigest(), own, again, likeness(own, again), likeness(own, after_print)
+
+
+RESULT = {"doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def _batch(rows: list[tuple], columns: dict[str, str]) -> pa.RecordBatch:
+    values = list(zip(*rows, strict=True)) or [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, type=KINDS[k]) for v, k in zip(values, columns.values(), strict=True)], names=list(columns))
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
 def edited_and_next(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document by id.
 
-    The edited text's last floor(n / 2) code points are replaced by as many (or all) first ones of the next document. After the
-    last comes the first; null ids come last. Documents are dealt by ranges of ids into as many parts as the session shuffles into, and
-    more where these would hold above PART characters; each part has a task of its own; a
-    part is streamed in order, and the first document of each part is sent to the part before it as well, so texts move once.
+    The edited text's last floor(n / 2) code points are replaced by as many (or all) first ones of the next document. After the last comes the
+    first; null ids come last, equal ids in the order of a hash of their texts. Ids that are no numbers count as null.
+
+    Documents are dealt by ranges of (id, hash, place in the input), so that neither null nor repeated ids share a part, into as many parts as the
+    session shuffles into, and more where these would hold above PART characters. Each part is streamed in order: texts move once. Only the last document
+    of a part lacks the next one; it is joined, by the part's number, to the first one of the part after it.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).try_cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART))
-    rows = rows.withColumn("o", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    bounds = sorted(set(rows.approxQuantile("o", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []))
-    part = sum([(F.col("o") > int(b)).cast("int") for b in bounds], F.lit(0)) if len(bounds) <= 32 else F.size(F.filter(F.lit([int(b) for b in bounds]), lambda b: b < F.col("o")))
-    rows = rows.withColumn("part", part)
-    firsts = sorted((r["part"], r["o"]) for r in rows.groupBy("part").agg(F.min("o").alias("o")).collect())  # at most one row for each part
-    before = [(o, firsts[i - 1][0]) for i, (_, o) in enumerate(firsts)] or [(0, 0)]
-    before = F.broadcast(spark.createDataFrame(before, "o long, before int"))
-    both = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("after")), F.struct(F.col("before").alias("part"), F.lit(1).alias("after")))
-    rows = rows.join(before, "o", "left").withColumn("to", F.explode(F.when(F.col("before").isNull(), F.slice(both, 1, 1)).otherwise(both)))
-    # hash partitioning of small numbers gives some tasks several parts: each part takes a number that is dealt to a task of its own
-    own = {r["task"]: r["id"] for r in spark.range(40 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("task")).agg(F.min("id").alias("id")).collect()}
-    dealt = F.get(F.lit([own.get(i, i) for i in range(parts)]).cast("array<long>"), F.col("part"))
-    rows = rows.select("to.part", "to.after", "o", "doc_id", "text").withColumn("dealt", dealt).repartition(parts, "dealt").drop("dealt").sortWithinPartitions("part", "after", "o", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc(), F.col("i").asc()]
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
     sent = spark.sparkContext.broadcast(terms)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    inner = RESULT | {"part": "int", "edge": "string", "text": "string"}  # edge: null for a result, else which end of its part the document is
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        printer = Printer(sent.value)
-        part = held = None
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        printer, held = Printer(sent.value), None
+        edge = lambda which: (held[1], None, None, held[3], None, None, None, held[0], which, held[2])
         for batch in batches:
             out = []
-            for where, after, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "after", "doc_id", "text")), strict=True):
-                if where != part:
-                    part, held = where, None
-                elif held is None:
-                    continue  # a further copy of the document after this part
-                if after and held is None:
-                    continue
-                own = (doc, text, printer.print(text))
-                if held is not None:
-                    doc_, text_, print_ = held
-                    n = len(text_)
-                    edited = text_[: n - n // 2] + text[: n // 2]
-                    again = printer.print(edited)
-                    out.append((doc_, n, hashlib.sha256(edited.encode()).hexdigest(), print_, again, likeness(print_, again), likeness(print_, own[2])))
-                held = None if after else own
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
-
-    return rows.select("part", "after", "doc_id", "text").mapInArrow(run, schema)
+            for part, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):
+                before, held = held, (part, doc, text, printer.print(text))
+                out.append((before[1], *_beside(printer, *before[2:], *held[2:]), part, None, None) if before else edge("first"))
+            yield _batch(out, inner)
+        if held:
+            yield _batch([edge("last")], inner)
+
+    made = stored(rows.mapInArrow(within, _ddl(inner)), "prints")
+    first, last = (made.where(F.col("edge") == which).select("part", "doc_id", "text", "fingerprint") for which in ("first", "last"))
+    # one number for each part that holds documents, without texts: fewer rows than tasks
+    place = F.row_number().over(W.orderBy("part")) - 1
+    numbers = first.select("part", place.alias("place"), F.count("*").over(W.partitionBy()).alias("n"))
+    after = first.join(numbers, "part").select(F.pmod(F.col("place") - 1, F.col("n")).alias("place"), F.col("text").alias("after"), F.col("fingerprint").alias("after_print"))
+    ends = last.join(numbers, "part").join(after, "place").select("doc_id", "text", "fingerprint", "after", "after_print")
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        printer = Printer(sent.value)
+        for batch in batches:
+            yield _batch([(doc, *_beside(printer, *rest)) for doc, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True)], RESULT)
+
+    return made.where("edge IS NULL").select(*RESULT).unionByName(ends.mapInArrow(between, _ddl(RESULT)))
