@@ -3,8 +3,8 @@
 Every word k-gram of every text is hashed and joined to the positions of the same k-gram in the license templates
 (a fixed list of phrases, so that side is broadcast). A hit's diagonal is its place in the text less its place in the
 template; hits are counted on each diagonal. A diagonal that holds all k-grams of a template is a whole occurrence.
-For the longer templates neighbouring diagonals are merged, so that a few inserted or missing words do not matter, and
-the covered share of the template's k-grams is the span's score. Such a span counts only if it holds, in place and without a gap, all
+For the longer templates neighbouring diagonals are merged where one begins after the end of the one before, both in the text and in the
+template, so that a few inserted or missing words do not matter but words in another order do, and the covered share of the template's k-grams is the span's score. Such a span counts only if it holds, in place and without a gap, all
 words of the template that name the license and its version (or, in a text that has no name, its distinctive words); the
 boilerplate that licenses share is not enough.
 
@@ -91,9 +91,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE,
         F.first("grams").alias("grams"), F.bit_or("bit").alias("held"), F.min("at").alias("low"), F.max("at").alias("high"),
         (F.count(F.when(F.col("naming") > 0, 1)) == F.max("naming")).alias("named"), (F.max("naming") > 0).alias("names"),
     )
-    order = W.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > near, F.lit(True))
-    merged = diagonals.withColumn("run", F.sum(F.when(F.col("is_base") | apart, 1).otherwise(0)).over(order))
+    order = W.partitionBy("row", "template").orderBy("low", "diagonal")
+    before = lambda c: F.lag(c).over(order)
+    diagonal, low, high = F.col("diagonal"), F.col("low"), F.col("high")
+    # a run goes on only while places rise in the text and in the template too, so it holds no more diagonals than the template has k-grams
+    goes_on = (F.abs(diagonal - before(diagonal)) <= near) & (low > before(high)) & (low - diagonal > before(high - diagonal))
+    merged = diagonals.withColumn("run", F.sum(F.when(F.col("is_base") | ~F.coalesce(goes_on, F.lit(False)), 1).otherwise(0)).over(order))
     found = merged.groupBy("row", "template", "run").agg(
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("label").alias("label"), F.first("is_base").alias("is_base"),
         F.min("diagonal").alias("start"), F.min("low").alias("low"), (F.max("high") + K - 1).alias("high"),

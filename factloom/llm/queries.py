@@ -55,8 +55,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return fingerprints.edited_and_next(docs, fingerprints.lexicon(docs))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.edited_and_next(docs, fingerprints.lexicon(dealt(docs)))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,16 @@ _RULES = sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in _RULES]
 _SUFFIXES = ", ".join(f"'{s}'" for s in url_filters.SUFFIXES)
 
+def _licenses() -> str:
+    """VALUES of all templates: number, label, whether a base one, words, first k-gram that names the license, how many do."""
+    rows = []
+    for i, (label, phrase, name) in enumerate([*((a, b, b) for a, b in license_scan.BASE), *license_scan.MORE]):
+        words, named = phrase.split(), name.split()
+        at = next(p for p in range(len(words)) if words[p : p + len(named)] == named)
+        rows.append(f"({i}, '{label}', {str(i < len(license_scan.BASE)).upper()}, {words}, {at}, {len(named) - license_scan.K + 1})")
+    return "(VALUES " + ", ".join(rows) + ") t(template, label, is_base, words, name_at, name_n)"
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """
@@ -121,7 +131,21 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",
-    # turns that share a place and a role are ordered by text here, by hash there
+    "op5_license_scan": rf"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT r, i - 1 AS place, w[i:i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        t AS (SELECT * FROM {_licenses()}),
+        tg AS (SELECT template, label, is_base, len(words) - 2 AS grams, name_n, i - 1 AS tpos, i - 1 BETWEEN name_at AND name_at + name_n - 1 AS names, words[i:i + 2] AS gram FROM (SELECT *, unnest(range(1, len(words) - 1)) AS i FROM t)),
+        d AS (SELECT r, template, any_value(label) AS label, any_value(is_base) AS is_base, any_value(grams) AS grams, place - tpos AS diagonal, min(place) AS low, max(place) AS high,
+              count(*) AS held, count(*) FILTER (names) = any_value(name_n) AS named FROM g JOIN tg USING (gram) GROUP BY r, template, place - tpos),
+        m AS (SELECT *, lag(diagonal) OVER o AS d0, lag(high) OVER o AS h0 FROM d WINDOW o AS (PARTITION BY r, template ORDER BY low, diagonal)),
+        n AS (SELECT *, sum(CASE WHEN NOT is_base AND abs(diagonal - d0) <= 3 AND low > h0 AND low - diagonal > h0 - d0 THEN 0 ELSE 1 END) OVER (PARTITION BY r, template ORDER BY low, diagonal ROWS UNBOUNDED PRECEDING) AS run FROM m),
+        f AS (SELECT r, any_value(label) AS label, any_value(is_base) AS is_base, min(low) AS start, CAST(sum(held) AS DOUBLE) / any_value(grams) AS share, bool_or(named) AS named FROM n GROUP BY r, template, run),
+        k AS (SELECT *, is_base AND share = 1 AS whole, (is_base AND share = 1) OR (NOT is_base AND share >= 0.6 AND named) AS good FROM f),
+        s AS (SELECT r, count(*) FILTER (whole) AS n_base, min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word,
+              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good) AS labels, max(share) FILTER (good) AS score FROM k GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM w LEFT JOIN s USING (r)""",
     "op6_chat_format": """
         WITH t AS (SELECT DISTINCT conv_id, turn, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS x FROM conversations),
         c AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, list(x ORDER BY turn NULLS FIRST, x.role, x.text) AS said FROM t WHERE conv_id IS NOT NULL GROUP BY 1

@@ -434,3 +434,97 @@ def test_documents_of_a_source_without_words_are_not_taken(spark):
     rows = {r.doc_id: (r.size, r.target, r.copies, r.taken) for r in mixing.mix(docs).collect()}
     assert all(rows[i] == (0, 0.0, 0, 0) for i in (2, 3, 5)) and rows[1][2] + rows[4][2] > 0
     assert {r.doc_id for r in mixing.mixed(docs).collect()} <= {1, 4}
+
+
+def plain_prints(df, low=0.001, high=0.1):
+    """Fingerprints by their definition: terms of the band, sorted hashes of those that a subset keeps, hashed."""
+    import math
+
+    texts = [r.text or "" for r in df.select("text").collect()]
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    often = {}
+    for t in texts:
+        for w in words(t):
+            often[w] = often.get(w, 0) + 1
+    band = {fingerprints._hash(w) for w, n in often.items() if max(2, low * len(texts)) <= n <= high * len(texts)}
+    mask = 2**64 - 1
+
+    def kept(term, j, rate):
+        x = ((term ^ ((j + 1) * 0x9E3779B97F4A7C15 & mask)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 31)) * 0x94D049BB133111EB) & mask
+        return (x >> 11) < math.floor(rate * 2**53)
+
+    def one(text):
+        own = sorted({fingerprints._hash(w) for w in words(text)} & band)
+        if not own:
+            return hashlib.blake2b((" ".join(sorted(words(text))) or text).encode(), digest_size=4).hexdigest() * len(fingerprints.RATES)
+        slots = [[t for t in own if kept(t, j, rate)] for j, rate in enumerate(fingerprints.RATES)]
+        return "".join(hashlib.blake2b(b"".join(t.to_bytes(8, "little") for t in s), digest_size=4).hexdigest() if s else "0" * 8 for s in slots)
+
+    return one
+
+
+def test_fingerprints_against_their_definition(spark, docs):
+    one = plain_prints(docs)
+    rows = {r.doc_id: r for r in fingerprints.edited_and_next(docs, fingerprints.lexicon(docs)).collect()}
+    texts = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    same = lambda a, b: (lambda told: sum(x == y for x, y in told) / len(told))([(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8) if a[i : i + 8] != "0" * 8 or b[i : i + 8] != "0" * 8])
+    for (i, t), (_, u) in zip(texts, texts[1:] + texts[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (one(t), one(edited))
+        assert rows[i].near_edited == same(one(t), one(edited)) and rows[i].near_next == same(one(t), one(u))
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = [(None, f"lost {i % 3}") for i in range(400)] + [(5, f"again and again {i % 2}") for i in range(400)] + [(i, f"text number {i}") for i in range(10, 30)]
+    df = spark.createDataFrame([(str(i) if i is not None else "x", t) for i, t in rows], "doc_id string, text string").repartition(5)  # ids that are no numbers are null
+    got = fingerprints.edited_and_next(df, fingerprints.lexicon(df)).collect()
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()) for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.edited_sha256)) for r in got)
+    one = df.limit(1)
+    assert [r.near_next for r in fingerprints.edited_and_next(one, fingerprints.lexicon(one)).collect()] == [1.0]
+
+
+def test_turns_of_one_place_and_role_are_in_the_order_of_their_texts(spark):
+    rows = [(1, 0, "user", t) for t in "dbace"] + [(2, 0, "user", t) for t in "ab"] + [("x", 0, "user", "no number"), (1, 1, "assistant", "end")] + [(1, 0, "user", "c")] * 300
+    df = spark.createDataFrame([(str(i), *r) for i, *r in rows], "conv_id string, turn long, role string, text string").repartition(4)
+    got = {r.conv_id: re.findall(r"\n([^<\n]+)<", r.text) for r in chat_format.collapse(df).collect()}
+    assert got == {1: [*"abcde", "end"], None: ["no number"]}  # 2 begins 1
+
+
+def test_license_oracle(spark, docs):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    con.execute("CREATE TABLE given (doc_id BIGINT, text VARCHAR)")
+    rnd, phrases = random.Random(8), [p for _, p, _ in license_scan.MORE] + [p for _, p in license_scan.BASE]
+    texts = [None, "", "licensed under the this work is gnu general public license version 3", "all rights reserved " * 90 + "no part of this publication"]
+    for _ in range(400):  # phrases with words put in, left out or moved
+        words = " ".join(rnd.choice(phrases) for _ in range(rnd.randrange(1, 4))).split()
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.randrange(2)] = rnd.choice([["new"], [], words[:3], words[at : at + 4][::-1]])
+            words = words or ["none"]
+        texts.append(" ".join(words))
+    con.executemany("INSERT INTO given VALUES (?, ?)", list(enumerate(texts)))
+    sql, columns = queries.ORACLES["op5_license_scan"], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert sorted(map(str, map(tuple, queries.op5_license_scan(spark, D).collect()))) == sorted(map(str, con.execute(sql).fetchall()))
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(*columns).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, con.execute(sql.replace("FROM documents", "FROM given")).fetchall()))
+    told = {r.doc_id: r.labels for r in rows}
+    assert told[2] == "" and len({r.labels for r in rows}) > 10
+
+
+def test_mixing_of_rows_repeated_very_often(spark, monkeypatch):
+    sizes = []
+    level = mixing._level
+    monkeypatch.setattr(mixing, "_level", lambda df: (sizes.append(df.groupBy("source", "block").count().agg(F.max("count")).first()[0]), level(df))[1])
+    rows = [(7, "five words are in here", "a")] * 20_000 + [(i, "word " * (1 + i % 40), "ab"[i % 2]) for i in range(100, 1100)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6), weights=(1, 3)).collect()
+    assert len(out) == len(rows) and max(sizes) < 2000 and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in out)
+    taken, target = {}, {r.source: r.target for r in out}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.002 * target[s] + 50 for s in target)
+    assert {r.source_size for r in out if r.source == "a"} == {100_000 + sum(1 + i % 40 for i in range(100, 1100, 2))}
