@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting takes a bounded sample of labelled rows (max_rows, by the order of a hash of the id), keeps as terms the words
-and word beginnings that are most over-represented among toxic labels (max_terms; signed z of least_z or more, none of the clean side), and holds a bounded bank of
-examples (max_examples). Word beginnings let an inflected form share a term with the forms seen. All three bounds are parameters; none depends on the table.
+Fitting takes a bounded sample of labelled rows (max_rows, by the order of a hash of the id; of these, max_examples are the
+examples that texts are compared with, half of each label if there are so many). These are the only bounds. Terms are all words of the sample and
+their beginnings, of both labels, however rare or frequent; beginnings let an inflected form share a term with the forms seen. A term weighs
+(1 + log tf) * idf * contrast, where contrast is the absolute z value of the difference between its shares of the two labels: a long
+text is then near to examples of its own kind rather than of its own topic.
 
 Scoring runs over every whole text. Words are whole, however long. The index holds each term's postings in blocks of examples with the block's largest
-weight. A text's upper bound for a block is the sum of its weights times these; blocks are scored exactly in falling
+weight. A text's upper bound for a block is the sum of its weights times these (or, if less, the length of what it shares with the block); blocks are scored exactly in falling
 order of bound until the bound is below the current k-th cosine, so the k nearest are exact (equal cosines: the earlier
 example). Votes weigh by 1 / (distance + 0.05) and by how many labelled rows an example stands for. Votes are mapped to
-probabilities by isotonic regression on a third of the sample that neither the terms nor the bank come from. A text without any of the terms gets the share
-of toxic rows among such rows of that third. Equal texts count once in fitting.
+probabilities by isotonic regression on a third of the sample that neither the terms nor the examples come from. A text that shares no
+term with the examples gets the share of toxic rows. Equal texts count once in fitting.
 
 Null and empty texts have no terms and get that share too. Repeated rows get equal scores; ties in labels of one id
-count as toxic. Without labelled rows every score is 0. An empty table gives an empty result. Labels, language, source and id are
+count as toxic. Without labelled rows every score is 0. An empty table gives an empty result. An id that is no number is null in evidence. Labels, language, source and id are
 never inputs of a score. All columns of docs are kept (columns named score, predicted or evidence are replaced). Scoring shuffles nothing;
-fitting joins a broadcast sample of at most max_rows ids.
+fitting joins a broadcast sample of at most max_rows ids, and brings its terms and the examples' vectors to the driver.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are terms too.
 STARTS = (4, 5)
 BLOCK, KEPT, CHARS = 64, 300_000, 4_000_000
+HELD = 1.05  # 1 plus what is added to distances
 
 
 def terms_of(word: str) -> list[str]:
@@ -46,101 +49,114 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of the ranges [first, end), one range after the other, and how many each has."""
+    n = end - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 @dataclass
 class Model:
     terms: dict[str, int]  # term -> place
-    idf: np.ndarray
+    value: np.ndarray  # idf * contrast
     base: float  # probability of a text without terms
     weight: tuple[float, float] = (1.0, 1.0)  # labelled rows that an example of label 0, 1 stands for
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    ids: list[int | None] = field(default_factory=list)
     label: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # term -> examples, weights
-    cuts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), dtype=np.int64))  # term x block: first posting
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term x block: largest weight
+    # the index: a term's entries, one for each block that holds it; an entry's postings
+    entries: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # term -> first entry
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # entry -> block
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))  # entry -> largest weight
+    postings: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # entry -> first posting
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # posting -> example
+    held: np.ndarray = field(default_factory=lambda: np.zeros(0))  # posting -> weight
     votes: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))  # isotonic map from votes ...
     scores: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))  # ... to probabilities
     k: int = 15
+    size: int = BLOCK  # examples of a block
 
     def __post_init__(self):
         self.known: dict[str, tuple[int, ...]] = {}
-        self.seen: dict = {}
-
-    def found(self, text: str) -> dict[int, int]:
-        """Places of the model's terms in the text, with counts."""
-        words, known = WORD.findall(text.lower()), self.known
-        for w in {w for w in words if w not in known}:
-            known[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
-        out: Counter = Counter()
-        for places in filter(None, map(known.__getitem__, words)):
-            out.update(places)
+
+    def found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the model's terms in the text, rising, and how often each is there."""
+        known, out = self.known, []
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            if (places := known.get(word)) is None:
+                places = known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+            out += [(t, n) for t in places]
         if len(known) > KEPT:
             known.clear()
-        return out
-
-    def vector(self, found: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        at = sorted(found)
-        w = (1 + np.log(np.array([found[t] for t in at], dtype=float))) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
-
-    def index(self, rows: list[tuple[int, int, dict[int, int]]]) -> None:
-        """rows: id, label, counts of terms."""
-        self.ids, self.label = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
-        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
-        for i, (_, _, found) in enumerate(rows):
-            for t, x in zip(*self.vector(found), strict=True):
-                lists[t][0].append(i)
-                lists[t][1].append(float(x))
-        blocks = max(1, -(-len(rows) // BLOCK))
-        self.postings = [(np.array(a, dtype=np.int64), np.array(b)) for a, b in lists]
-        self.cuts = np.zeros((len(lists), blocks + 1), dtype=np.int64)
-        self.most = np.zeros((len(lists), blocks))
-        for t, (at, w) in enumerate(self.postings):
-            self.cuts[t] = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            np.maximum.at(self.most[t], at // BLOCK, w)
-
-    def nearest(self, at: list[int], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not out:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        pairs = np.array(out, dtype=np.int64)
+        at, inverse = np.unique(pairs[:, 0], return_inverse=True)
+        return at, np.bincount(inverse, weights=pairs[:, 1])
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.value[at]
+        length = np.sqrt((w * w).sum())
+        return w / length if length > 0 else w
+
+    def index(self, rows: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> None:
+        """rows: id, label, places of terms and their counts. Examples lie in the order of their heaviest terms, so that blocks hold like ones."""
+        found = [(*r[:3], self.vector(r[2], r[3])) for r in rows]
+        found.sort(key=lambda r: (int(r[2][r[3].argmax()]) if len(r[2]) else -1, r[1], r[0] is None, r[0] or 0))
+        self.ids, self.label = [r[0] for r in found], np.array([r[1] for r in found], dtype=np.int64)
+        at = np.concatenate([r[2] for r in found])
+        example = np.repeat(np.arange(len(found)), [len(r[2]) for r in found])
+        order = np.lexsort((example, at))
+        at, self.example, self.held = at[order], example[order], np.concatenate([r[3] for r in found])[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (np.diff(at) != 0) | (np.diff(self.example // self.size) != 0)
+        first = np.flatnonzero(new)
+        self.postings = np.append(first, len(at))
+        self.block = self.example[first] // self.size
+        self.most = np.maximum.reduceat(self.held, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(at[first], np.arange(len(self.terms) + 1))
+
+    def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest positive cosines, and these."""
-        bound = w @ self.most[at]
-        best_at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) >= self.k and bound[block] + 1e-9 < best[-1]:
+        entry, n = _spread(self.entries[at], self.entries[at + 1])
+        w, block = np.repeat(w, n), self.block[entry]
+        blocks = -(-len(self.ids) // self.size)
+        bound = np.minimum(np.bincount(block, w * self.most[entry], blocks), np.sqrt(np.bincount(block, w * w, blocks)))
+        order = np.argsort(block, kind="stable")
+        entry, w, cuts = entry[order], w[order], np.searchsorted(block[order], np.arange(blocks + 1))
+        best_at, best, todo, step = np.zeros(0, dtype=np.int64), np.zeros(0), np.argsort(-bound, kind="stable"), 1
+        while len(todo):
+            least = best[-1] - 1e-9 if len(best) >= self.k else 0.0
+            now, todo = todo[:step], todo[step:]
+            now = now[(bound[now] > 0) & (bound[now] >= least)]
+            if not len(now):
                 break
-            cosine = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                a, b = self.cuts[t, block], self.cuts[t, block + 1]
-                if a < b:
-                    cosine[self.postings[t][0][a:b] - block * BLOCK] += x * self.postings[t][1][a:b]
+            mine, _ = _spread(cuts[now], cuts[now + 1])
+            post, n = _spread(self.postings[entry[mine]], self.postings[entry[mine] + 1])
+            cosine = np.bincount(self.example[post], np.repeat(w[mine], n) * self.held[post])
             here = np.flatnonzero(cosine > 0)
-            best_at, best = np.append(best_at, here + block * BLOCK), np.append(best, cosine[here])
-            order = np.lexsort((best_at, -np.round(best, 12)))[: self.k]
-            best_at, best = best_at[order], best[order]
+            best_at, best = np.append(best_at, here), np.append(best, cosine[here])
+            rank = np.lexsort((best_at, -np.round(best, 12)))[: self.k]
+            best_at, best, step = best_at[rank], best[rank], step * 2
         return best_at, best
 
-    def vote(self, found: dict[int, int]) -> tuple[float, tuple[np.ndarray, np.ndarray]] | None:
-        if not found or not len(self.ids):
+    def vote(self, at: np.ndarray, n: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]] | None:
+        if not len(at) or not len(self.ids):
             return None
-        at, cosine = self.nearest(*self.vector(found))
-        if not len(at):
+        near, cosine = self.nearest(at, self.vector(at, n))
+        if not len(near):
             return None
-        w = np.where(self.label[at] == 1, self.weight[1], self.weight[0]) / (1.05 - np.minimum(cosine, 1))
-        return float((w * self.label[at]).sum() / w.sum()), (at, cosine)
+        w = np.where(self.label[near] == 1, self.weight[1], self.weight[0]) / (HELD - np.minimum(cosine, 1))
+        return float((w * self.label[near]).sum() / w.sum()), (near, cosine)
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+    def score(self, text: str) -> tuple[float, list[tuple[int | None, int, float]]]:
         """Probability of label 1 and the nearest examples (id, label, cosine)."""
-        found = self.found(text)
-        key = tuple(sorted(found.items()))
-        if key not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            if (voted := self.vote(found)) is None:
-                self.seen[key] = (self.base, [])
-            else:
-                at, cosine = voted[1]
-                self.seen[key] = (float(np.interp(voted[0], self.votes, self.scores)), list(zip(self.ids[at].tolist(), self.label[at].tolist(), cosine.tolist(), strict=True)))
-        return self.seen[key]
+        if (voted := self.vote(*self.found(text))) is None:
+            return self.base, []
+        at, cosine = voted[1]
+        return float(np.interp(voted[0], self.votes, self.scores)), list(zip([self.ids[i] for i in at], self.label[at].tolist(), cosine.tolist(), strict=True))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "seen")}
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -159,7 +175,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for p in pools for v in (p[2], p[3])]), np.array([p[0] for p in pools for _ in (0, 1)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows=24_000, max_terms=4096, max_examples=4096, least_z=4.5, k=15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows=9_000, max_examples=2048, k=15, block=BLOCK) -> Model:
     """labels: (doc_id, label) of the rows that may be learnt from."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded by max_rows, so it may be broadcast
@@ -181,36 +197,36 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", lab
             part = terms[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[t] for t in part], type=pa.int64()) for c in sums)], names=["term", "neg", "pos"])
 
-    stats = learnt.select("y", "text").mapInArrow(count, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    both = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
-    z = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / n_pos + 1 / n_neg))
-    kept = stats.where(F.col("pos") + F.col("neg") >= 3).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.col("z").desc(), "term").limit(max_terms).collect()
-    kept.sort(key=lambda r: r["term"])
-    model = Model({r["term"]: i for i, r in enumerate(kept)}, np.array([np.log((n_pos + n_neg + 1) / (r["pos"] + r["neg"] + 1)) + 1 for r in kept]), 0.0, k=k)
+    # the terms of at most max_rows texts
+    stats = learnt.select("y", "text").mapInArrow(count, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow().sort_by("term")
+    neg, pos = (stats.column(c).to_numpy().astype(float) for c in ("neg", "pos"))
+    both = (pos + neg) / (n_pos + n_neg)
+    contrast = np.abs(pos / n_pos - neg / n_neg) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_pos + 1 / n_neg))
+    idf = np.log((n_pos + n_neg + 1) / (pos + neg + 1)) + 1
+    model = Model({t: i for i, t in enumerate(stats.column("term").to_pylist())}, idf * contrast, (n_pos + 1) / (n_pos + n_neg + 2), k=k, size=block)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(model.found(t).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("tune"), pa.array([[t for t, _ in f] for f in found], type=pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], type=pa.list_(pa.int32()))], names=["id", "y", "tune", "at", "n"])
-
-    # at most max_rows short rows; their votes and the index are made on the driver
-    vectors_of = rows.select(F.col("id").cast("long").alias("id"), "y", "tune", "text").mapInArrow(vectors, "id long, y int, tune boolean, at array<int>, n array<int>")
-    got = sorted((r["id"], r["y"], tuple(zip(r["at"], r["n"], strict=True)), r["tune"]) for r in vectors_of.collect())
-    bare = [y for _, y, f, tune in got if tune and not f]
-    model.base = (sum(bare) + n_pos / (n_pos + n_neg)) / (len(bare) + 1)
-    mixed = sorted((r[:3] for r in got if r[2] and not r[3]), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r))
-    tune = [r[:3] for r in got if r[2] and r[3]]
-    bank, stands = [], [1.0, 1.0]
-    for y in (0, 1):
-        own = [r for r in mixed if r[1] == y]
-        unlike = list({r[2]: r for r in reversed(own)}.values())[::-1][: max_examples // 2]
-        bank += unlike
-        stands[y] = len(own) / max(1, len(unlike))
-    model.weight = (stands[0], stands[1])
-    model.index([(i, y, dict(f)) for i, y, f in sorted(bank)])
-    voted = [(v[0], y) for _, y, f in tune if (v := model.vote(dict(f)))]
-    if voted:
-        x, y = np.array([v for v, _ in voted]), np.array([float(y) for _, y in voted])
+            found = [sent.value.found(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array([f[i].astype(np.int32) for f in found], type=pa.list_(pa.int32())) for i in (0, 1))], names=["id", "y", "at", "n"])
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(v[0] if (v := sent.value.vote(*sent.value.found(t))) else None) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(got, type=pa.float64())], names=["y", "vote"])
+
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(model)
+    place = F.xxhash64("same")  # an order of its own: same tells which rows tune
+    parts = [learnt.where(F.col("y") == y).orderBy(place, "same").limit(max_examples // 2) for y in (0, 1)]
+    bank = parts[0].unionByName(parts[1]).select(F.col("id").try_cast("long").alias("id"), "y", "text").mapInArrow(vectors, "id long, y int, at array<int>, n array<int>").toArrow()
+    columns = [bank.column(c).to_pylist() for c in ("id", "y")] + [[x.values.to_numpy().astype(np.int64) for x in bank.column(c)] for c in ("at", "n")]
+    model.index(list(zip(*columns, strict=True)))
+    model.weight = tuple(n / max(1, int((model.label == y).sum())) for y, n in ((0, n_neg), (1, n_pos)))
+    sent = context.broadcast(model)
+    voted = rows.where("tune").select("y", "text").mapInArrow(votes, "y int, vote double").where("vote IS NOT NULL").toArrow()
+    if voted.num_rows:
+        x, y = voted.column("vote").to_numpy(), voted.column("y").to_numpy().astype(float)
         # one row of each label at the ends keeps the map defined on all votes
         model.votes, model.scores = isotonic(np.append(x, [0.0, 1.0]), np.append(y, [0.0, 1.0]), np.ones(len(x) + 2))
     return model
@@ -222,7 +238,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.drop(*names)
     example = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(example))])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_terms and max_examples
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_rows and max_examples
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
