@@ -7,9 +7,9 @@ their beginnings, of both labels, however rare or frequent; beginnings let an in
 text is then near to examples of its own kind rather than of its own topic.
 
 Scoring runs over every whole text. Words are whole, however long. The index holds each term's postings in blocks of examples with the block's largest
-weight. A text's upper bound for a block is the sum of its weights times these (or, if less, the length of what it shares with the block); blocks are scored exactly in falling
-order of bound until the bound is below the current k-th cosine, so the k nearest are exact (equal cosines: the earlier
-example). Votes weigh by 1 / (distance + 0.05) and by how many labelled rows an example stands for. Votes are mapped to
+weight. A text's upper bound for a block is the sum of its weights times these (or, if less, the length of what it shares with the block); the four blocks of the
+highest bounds are scored exactly, then all others whose bounds reach the k-th cosine so far, so the k nearest are exact (equal cosines: the earlier
+example; examples lie so that blocks hold like ones). Votes weigh by 1 / (distance + 0.05) and by how many labelled rows an example stands for. Votes are mapped to
 probabilities by isotonic regression on a third of the sample that neither the terms nor the examples come from. A text that shares no
 term with the examples gets the share of toxic rows. Equal texts count once in fitting.
 
@@ -39,6 +39,7 @@ WORD = re.compile(r"\w+")
 STARTS = (4, 5)
 BLOCK, KEPT, CHARS = 64, 300_000, 4_000_000
 HELD = 1.05  # 1 plus what is added to distances
+FIRST = 4  # blocks that are scored before others are compared with the k-th cosine
 
 
 def terms_of(word: str) -> list[str]:
@@ -79,19 +80,16 @@ class Model:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the model's terms in the text, rising, and how often each is there."""
-        known, out = self.known, []
+        """Places of the model's terms in the text, and how often each is there."""
+        known, out = self.known, {}
         for word, n in Counter(WORD.findall(text.lower())).items():
             if (places := known.get(word)) is None:
                 places = known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            out += [(t, n) for t in places]
+            for t in places:
+                out[t] = out.get(t, 0) + n
         if len(known) > KEPT:
             known.clear()
-        if not out:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        pairs = np.array(out, dtype=np.int64)
-        at, inverse = np.unique(pairs[:, 0], return_inverse=True)
-        return at, np.bincount(inverse, weights=pairs[:, 1])
+        return np.fromiter(out.keys(), np.int64, len(out)), np.fromiter(out.values(), float, len(out))
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = (1 + np.log(n)) * self.value[at]
@@ -99,9 +97,30 @@ class Model:
         return w / length if length > 0 else w
 
     def index(self, rows: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> None:
-        """rows: id, label, places of terms and their counts. Examples lie in the order of their heaviest terms, so that blocks hold like ones."""
-        found = [(*r[:3], self.vector(r[2], r[3])) for r in rows]
-        found.sort(key=lambda r: (int(r[2][r[3].argmax()]) if len(r[2]) else -1, r[1], r[0] is None, r[0] or 0))
+        """rows: id, label, places of terms, their weights. Examples lie so that blocks hold like ones, which keeps bounds low."""
+        self._place(rows)
+        like = np.zeros((len(rows), len(rows)))
+        for i, (_, _, at, w) in enumerate(rows):
+            like[i] = self.cosines(at, w)
+        order, parts = [], [np.arange(len(rows))]
+        while parts:
+            own = parts.pop()
+            if len(own) <= self.size:
+                order += own.tolist()
+                continue
+            a = own[like[own].T[own].sum(axis=1).argmin()]  # the one least like the others, and the one least like it
+            b = own[like[a, own].argmin()]
+            own = own[np.argsort(like[b, own] - like[a, own], kind="stable")]
+            half = -(-len(own) // 2 // self.size) * self.size
+            parts += [own[half:], own[:half]]
+        self._place([rows[i] for i in order])
+
+    def cosines(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """With all examples, without pruning."""
+        post, n = _spread(self.postings[self.entries[at]], self.postings[self.entries[at + 1]])
+        return np.bincount(self.example[post], np.repeat(w, n) * self.held[post], len(self.ids))
+
+    def _place(self, found: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> None:
         self.ids, self.label = [r[0] for r in found], np.array([r[1] for r in found], dtype=np.int64)
         at = np.concatenate([r[2] for r in found])
         example = np.repeat(np.arange(len(found)), [len(r[2]) for r in found])
@@ -121,22 +140,19 @@ class Model:
         w, block = np.repeat(w, n), self.block[entry]
         blocks = -(-len(self.ids) // self.size)
         bound = np.minimum(np.bincount(block, w * self.most[entry], blocks), np.sqrt(np.bincount(block, w * w, blocks)))
-        order = np.argsort(block, kind="stable")
-        entry, w, cuts = entry[order], w[order], np.searchsorted(block[order], np.arange(blocks + 1))
-        best_at, best, todo, step = np.zeros(0, dtype=np.int64), np.zeros(0), np.argsort(-bound, kind="stable"), 1
-        while len(todo):
-            least = best[-1] - 1e-9 if len(best) >= self.k else 0.0
-            now, todo = todo[:step], todo[step:]
-            now = now[(bound[now] > 0) & (bound[now] >= least)]
-            if not len(now):
+        order, best_at, best = np.argsort(-bound, kind="stable"), np.zeros(0, dtype=np.int64), np.zeros(0)
+        for now in (order[:FIRST], order[FIRST:]):
+            open_ = np.zeros(blocks, dtype=bool)
+            open_[now] = (bound[now] > 0) & (bound[now] >= (best[-1] - 1e-9 if len(best) == self.k else 0.0))
+            mine = np.flatnonzero(open_[block])
+            if not len(mine):
                 break
-            mine, _ = _spread(cuts[now], cuts[now + 1])
             post, n = _spread(self.postings[entry[mine]], self.postings[entry[mine] + 1])
             cosine = np.bincount(self.example[post], np.repeat(w[mine], n) * self.held[post])
-            here = np.flatnonzero(cosine > 0)
+            here = np.flatnonzero(cosine > max(0.0, best[-1] - 1e-9 if len(best) == self.k else 0.0))
             best_at, best = np.append(best_at, here), np.append(best, cosine[here])
             rank = np.lexsort((best_at, -np.round(best, 12)))[: self.k]
-            best_at, best, step = best_at[rank], best[rank], step * 2
+            best_at, best = best_at[rank], best[rank]
         return best_at, best
 
     def vote(self, at: np.ndarray, n: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]] | None:
@@ -221,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", lab
     parts = [learnt.where(F.col("y") == y).orderBy(place, "same").limit(max_examples // 2) for y in (0, 1)]
     bank = parts[0].unionByName(parts[1]).select(F.col("id").try_cast("long").alias("id"), "y", "text").mapInArrow(vectors, "id long, y int, at array<int>, n array<int>").toArrow()
     columns = [bank.column(c).to_pylist() for c in ("id", "y")] + [[x.values.to_numpy().astype(np.int64) for x in bank.column(c)] for c in ("at", "n")]
-    model.index(list(zip(*columns, strict=True)))
+    model.index(sorted(((i, y, at, model.vector(at, n)) for i, y, at, n in zip(*columns, strict=True)), key=lambda r: (r[1], r[0] is None, r[0] or 0)))
     model.weight = tuple(n / max(1, int((model.label == y).sum())) for y, n in ((0, n_neg), (1, n_pos)))
     sent = context.broadcast(model)
     voted = rows.where("tune").select("y", "text").mapInArrow(votes, "y int, vote double").where("vote IS NOT NULL").toArrow()
