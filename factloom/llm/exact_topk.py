@@ -1,10 +1,11 @@
 """Exact top-k by integer inner product: a ball tree in each shard, searched by branch and bound.
 
 Rows are dealt by hash into shards of bounded size; each shard becomes a ball tree, packed into one row. Queries are
-packed into blocks of bounded size. Each (query block, shard) pair is one unit of work. Nodes are taken best first by their upper
+packed into blocks of bounded size. A cell of a few shards beside a group of a few query blocks is one unit of work; both are dealt to it by a
+shuffle, a shard once for each group and a block once for each cell, and nothing is broadcast. Nodes are taken best first by their upper
 bound q.c + |q| r, and a search ends when the best bound left is below the query's current k-th score. That score is
 shared: a first pass over one pilot shard gives every query a k-th score, with which the searches of the other shards begin, and
-each tree that a task searches raises it for the task's next ones.
+each tree of a cell raises it for the cell's next ones.
 Bounds carry a slack for rounding and equal scores are never cut, so the result is exact.
 
 Components become floor(scale * x), x taken as double. Vectors that are null or hold null, NaN or infinite components take
@@ -28,6 +29,8 @@ from pyspark.sql.window import Window as W
 from factloom.llm.common import stored
 
 SHARD, QUERIES, LEAF = 4096, 1024, 48
+#: shards and query blocks that one task holds at most
+CELL = 32
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -38,7 +41,14 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(blob)) as z:
-        return {k: z[k] for k in z.files}
+        out = {k: z[k] for k in z.files}
+    return out | {k: out[k].astype(np.float64) for k in ("points", "vectors") if k in out}
+
+
+def _narrow(points: np.ndarray) -> np.ndarray:
+    """Whole numbers as the smallest integers that hold them; _unpack() gives doubles again."""
+    top = np.abs(points).max(initial=0)
+    return points.astype(np.int16 if top < 2**15 else np.int32) if top < 2**31 else points
 
 
 def _matrix(vectors, scale: float) -> np.ndarray:
@@ -77,7 +87,7 @@ class BallTree:
         return node
 
     def packed(self, ids: np.ndarray, points: np.ndarray) -> bytes:
-        return _pack(ids=ids[self.order], points=points[self.order], centre=np.array(self.centre), radius=np.array(self.radius), first=np.array(self.first), end=np.array(self.end), child=np.array(self.child))
+        return _pack(ids=ids[self.order], points=_narrow(points[self.order]), centre=np.array(self.centre), radius=np.array(self.radius), first=np.array(self.first), end=np.array(self.end), child=np.array(self.child))
 
 
 def search(tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
@@ -138,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         points = _matrix(pdf["v"].to_list(), scale)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "asked": [_pack(ids=pdf["vec_id"].to_numpy(), vectors=points)]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "asked": [_pack(ids=pdf["vec_id"].to_numpy(), vectors=_narrow(points))]})
 
     dealt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
     trees = stored(rows.withColumn("shard", dealt).groupBy("shard").applyInPandas(plant, "shard int, tree binary"), "trees")
@@ -146,37 +156,43 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     queries = stored(rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("block", dealt).groupBy("block").applyInPandas(pack, "block int, asked binary"), "queries")
     found = "block int, query_id long, vec_id long, score long"
 
-    def pilot(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pairs:
-            for block, tree, asked in zip(pdf["block"], pdf["tree"], pdf["asked"], strict=True):
-                q = _unpack(asked)
-                hits = list(search(_unpack(tree), q["ids"], q["vectors"], np.full(len(q["ids"]), -np.inf), k))
-                yield pd.DataFrame([(block, *h) for h in hits], columns=["block", "query_id", "vec_id", "score"])
-
-    def rest(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[int]] = {}  # the best scores that this task's trees have given each query so far
-        for pdf in pairs:
-            for block, tree, asked, known in zip(pdf["block"], pdf["tree"], pdf["asked"], pdf["known"], strict=True):
-                q = _unpack(asked)
-                kth = {r["query_id"]: r["kth"] for r in (known if known is not None else [])}
-                now = [held.get(int(i), []) for i in q["ids"]]
-                least = np.array([max(kth.get(int(i), -np.inf), h[-1] if len(h) == k else -np.inf) for i, h in zip(q["ids"], now, strict=True)], dtype=float)
-                hits = list(search(_unpack(tree), q["ids"], q["vectors"], least, k))
-                for query_id, _, score in hits:
-                    held[query_id] = sorted([*held.get(query_id, []), score], reverse=True)[:k]
-                yield pd.DataFrame([(block, *h) for h in hits], columns=["block", "query_id", "vec_id", "score"])
-
-    def paired(trees: DataFrame, queries: DataFrame, first: int) -> DataFrame:
-        """Each query block beside each tree; dealt by both, so that no task holds more than a few pairs."""
-        left = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = queries.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(max(first, shards - 1) if first else 0))))
-        return left.join(right, ["shard", "block"])
-
-    seen = stored(paired(trees.where("shard = 0"), queries, 0).mapInPandas(pilot, found), "pilot")
+    def cell(trees: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """The k best of each query among the rows of these trees, less what cannot be among its k best of all."""
+        blocks = []
+        for _, row in asked.iterrows():
+            known = {} if row["ids"] is None else dict(zip(row["ids"], row["kths"], strict=True))
+            q = _unpack(row["asked"])
+            blocks.append((row["block"], q, np.array([known.get(i, -np.inf) for i in q["ids"].tolist()], dtype=float), {}))
+        for blob in trees["tree"]:
+            tree = _unpack(blob)
+            for _, q, least, held in blocks:
+                for query_id, other, score in search(tree, q["ids"], q["vectors"], least, k):
+                    held.setdefault(query_id, []).append((-score, other))
+                for i, query_id in enumerate(q["ids"].tolist()):
+                    if query_id in held:
+                        best = held[query_id] = sorted(held[query_id])[:k]
+                        if len(best) == k:
+                            least[i] = max(least[i], -best[-1][0])
+        hits = [(block, query_id, other, -score) for block, _, _, held in blocks for query_id, best in held.items() for score, other in best]
+        return pd.DataFrame(hits, columns=["block", "query_id", "vec_id", "score"])
+
+    def searched(trees: DataFrame, queries: DataFrame, by_cell: int, by_group: int) -> DataFrame:
+        """Each query block beside each tree, by_cell trees and by_group blocks in one unit of work."""
+        cells, groups = -(-shards // by_cell), -(-blocks // by_group)
+        left = trees.select("tree", F.floor(F.col("shard") / by_cell).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+        right = queries.select("*", F.floor(F.col("block") / by_group).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+        return left.groupBy("cell", "group").cogroup(right.groupBy("cell", "group")).applyInPandas(cell, found)
+
+    none = F.lit(None).cast("array<long>")
+    first = queries.select("block", "asked", none.alias("ids"), none.alias("kths"))
+    seen = stored(searched(trees.where("shard = 0"), first, shards, 1), "pilot")
     if shards > 1:
         kth = seen.groupBy("block", "query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
         known = kth.groupBy("block").agg(F.collect_list(F.struct("query_id", "kth")).alias("known"))  # a block's queries at most
-        queries = queries.join(known, "block", "left")
-        seen = seen.unionByName(paired(trees.where("shard > 0"), queries, 1).mapInPandas(rest, found))
+        queries = queries.join(known.hint("merge"), "block", "left").select("block", "asked", F.col("known.query_id").alias("ids"), F.col("known.kth").alias("kths"))
+        by_group = min(CELL, blocks)
+        units = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+        by_cell = max(1, min(CELL, shards * -(-blocks // by_group) // units))
+        seen = seen.unionByName(searched(trees.where("shard > 0"), queries, by_cell, by_group))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return seen.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

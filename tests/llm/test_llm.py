@@ -234,6 +234,18 @@ def test_topk(spark):
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_topk_broadcasts_nothing(spark):
+    """Pairs of shards and query blocks grow with the square of the table, so no side of them may be sent to the driver."""
+    rows = [(i, [float(i % 7), float(i % 11), float(-i)]) for i in range(600)]
+    saved, exact_topk.SHARD = exact_topk.SHARD, 64
+    try:
+        out = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0)
+        assert out.count() == 600
+    finally:
+        exact_topk.SHARD = saved
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_of_repeated_rows(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), *[(i, [float(i), 0.0]) for i in range(1, 14)]]
     got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
