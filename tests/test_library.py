@@ -406,3 +406,17 @@ def test_summary_of_answers_and_of_all_mentions(spark):
     found = extract.mentions(docs)
     rows = lambda x: sorted(map(tuple, search.summary(x, docs, plans.questions(spark)).collect()))
     assert rows(search.answer(found, asked)) == rows(search.deduplicated(found, asked))
+
+
+def test_contracts_are_dealt_evenly(spark):
+    """One row group is read by one of the many tasks of its file; the dear work on its rows must not stay there."""
+    key = "spark.sql.files.maxPartitionBytes"
+    saved = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        rows = [len(p) for p in corpus.contracts(spark, "/root/testdata/sf0.01").select("doc_id").rdd.glom().collect()]
+    finally:
+        spark.conf.set(key, saved)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(rows) == 15000 and max(rows) <= 1.2 * 15000 / spark.sparkContext.defaultParallelism
