@@ -420,3 +420,21 @@ def test_contracts_are_dealt_evenly(spark):
         spark.conf.set(key, saved)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sum(rows) == 15000 and max(rows) <= 1.2 * 15000 / spark.sparkContext.defaultParallelism
+
+
+def test_hits_of_few_values_are_not_moved(spark, monkeypatch):
+    """Values across the borders of parts, overlapping themselves, longer than a part, and short ones; the same places by either way."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abč\n") for _ in range(900)) for _ in range(6)] + ["", None, "a" * 700, "xy" * 400]
+    values = ["a", "ab", "bca"[:2], "aaaa", "abab", texts[0][200:320], texts[1][100:500], "a" * 300, "xy" * 150, "čab", "b\na"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(values)), "value_ord int, value string")
+    out = highlight.occurrences_of(docs, table)
+    got = sorted(tuple(r) for r in out.collect())
+    moved = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x and "start#" in x.split("hashpartitioning")[1]]
+    assert not moved
+    monkeypatch.setattr(highlight, "FEW", 0)
+    assert got == sorted(tuple(r) for r in highlight.occurrences_of(docs, table).collect())
+    fold = lambda x: x.lower().replace("č", "c")
+    want = [(i, m.start(), m.start() + len(v), v, o) for i, t in enumerate(texts) if t for o, v in enumerate(values) for m in re.finditer(re.escape(fold(v)), fold(t))]
+    assert got == sorted(want)
