@@ -56,6 +56,8 @@ def _alike(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 #: rare letters first, so that postings are short; any order gives the same pairs
 LETTERS = "qwxf0123456789gjbcyuzhdkmvprtlnsioae"
 HOT = 10_000
+#: pairs that are told to all tasks; more are joined by a shuffle
+LISTED = 100_000
 
 
 def highest(common: float, m: int, n: int, beginning: int = 4) -> float:
@@ -116,18 +118,36 @@ def scored(pairs: DataFrame, least: float = 0.6) -> DataFrame:
 def nearest_tokens(docs: DataFrame, queries: DataFrame, least: float = 0.6, top: int = 10) -> DataFrame:
     """doc_id, word, token, score, rank: for each document and query word its most similar tokens (ties: by token).
 
-    Pairs are made of the distinct tokens of the collection; documents are joined to them. A token of very many documents is dealt to several tasks: tokens of
-    a ten-thousandth of all rows or more, of which there are ten thousand at most, are told to both sides.
+    Pairs are made of the distinct tokens of the collection that share a character with some word, as all pairs do. If the pairs are few, they are told to all
+    tasks and only hits are moved, as the numbers of their pairs, or nothing where documents lie by doc_id; the texts are cut twice, but no tokens are stored. If not, see _dealt().
     """
     words = queries.select(F.explode(F.regexp_extract_all(fold(F.col("query")), F.lit(TOKEN), F.lit(0))).alias("word")).distinct()
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(TOKEN), F.lit(0)))).alias("token"))
-    tokens = stored(tokens, "tokens")
+    letters = "".join(sorted(r[0] for r in words.select(F.explode(F.split("word", ""))).distinct().collect()))  # at most 36
+    others = "".join(sorted(set(LETTERS) - set(letters)))
+    holding = f"(?<!{TOKEN[:-1]})" + (f"[{others}]*+" if others else "") + f"[{letters}]{TOKEN[:-1]}*+" if letters else TOKEN
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(holding), F.lit(0)))).alias("token"))
     known = stored(tokens.groupBy("token").agg(F.count("*").alias("n")), "vocabulary")
+    pairs = stored(scored(candidates(words, known.select("token"), least), least), "pairs")
+    if pairs.limit(LISTED + 1).count() > LISTED:
+        found = _dealt(tokens, known, pairs)
+        best = W.partitionBy("doc_id", "word").orderBy(F.col("score").desc(), "token")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("doc_id", "word", "token", "score", "rank")
+    place = F.struct("word", (-F.col("score")).alias("falling"), "token")
+    numbers = F.dense_rank().over(W.orderBy("word")).alias("word_no"), F.row_number().over(W.orderBy(place)).alias("pair_no")  # of a bounded list
+    pairs = stored(pairs.select("word", "token", "score", *numbers), "numbered")
+    hits = tokens.join(F.broadcast(pairs.select("token", "word_no", "pair_no")), "token").select("doc_id", "word_no", "pair_no")
+    hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("doc_id", "word_no").orderBy("pair_no"))).where(F.col("rank") <= top)
+    return hits.join(F.broadcast(pairs.drop("word_no")), "pair_no").select("doc_id", "word", "token", "score", "rank")
+
+
+def _dealt(tokens: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, word, token, score: tokens joined to pairs by a shuffle.
+
+    A token of very many documents is dealt to several tasks: tokens of a ten-thousandth of all rows or more, of which there are ten thousand at most, are
+    told to both sides.
+    """
     total = known.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(known.where(F.col("n") * HOT >= total).select("token", F.ceil(F.col("n") * HOT / max(1, total)).cast("int").alias("parts")))
-    pairs = stored(scored(candidates(words, known.select("token"), least), least), "pairs")
     dealt = pairs.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     tokens = tokens.join(hot, "token", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    best = W.partitionBy("doc_id", "word").orderBy(F.col("score").desc(), "token")
-    found = tokens.join(dealt, ["token", "part"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return found.select("doc_id", "word", "token", "score", "rank")
+    return tokens.join(dealt, ["token", "part"]).select("doc_id", "word", "token", "score")

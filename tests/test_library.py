@@ -383,6 +383,30 @@ def test_tokens_of_very_many_documents_are_dealt_to_several_tasks(spark, monkeyp
     assert rows() == want and len(want) == 600
 
 
+def test_tokens_are_neither_stored_nor_moved_where_pairs_are_few(spark, monkeypatch):
+    names, kept = [], fuzzy.stored
+    monkeypatch.setattr(fuzzy, "stored", lambda df, name: names.append(name) or kept(df, name))
+    texts = ["cena cenik 12 zzz", "Cenu, a cenu! č1ena 7" + "0" * 100_000, "777 888", "", None, "ce1na cenacena", "9cena_cen"]
+    docs = spark.createDataFrame(list(enumerate(texts * 30)), "doc_id long, text string").repartition(5, "doc_id")
+    asked = spark.createDataFrame([("Cena",), ("cenný ceník",)], "query string")
+    rows = lambda: fuzzy.nearest_tokens(docs, asked, top=2)
+    few = rows()
+    assert "tokens" not in names
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1  # that of the documents given
+    got = sorted(map(tuple, few.collect()))
+    assert {r[0] % 7 for r in got} == {0, 1, 5, 6} and max(r[4] for r in got) == 2
+    monkeypatch.setattr(fuzzy, "LISTED", 0)
+    assert sorted(map(tuple, rows().collect())) == got
+
+
+def test_contracts_lie_by_document(spark):
+    docs = corpus.contracts(spark, D)
+    met = docs.join(corpus.answers(spark, D), "doc_id").groupBy("doc_id").count()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 2  # both of numbers only, before there are texts
+
+
 def test_what_is_moved_for_requests_does_not_grow_with_the_chunks(spark):
     docs = spark.createDataFrame([(i, f" text {i}\t" + "x" * 500, "s") for i in range(20)], "doc_id long, text string, query_set string")
     for n in (1, 40):
