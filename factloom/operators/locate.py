@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import textnorm as N
 from factloom.functions import values as V
-from factloom.operators.patterns import LOW, MONEY, UP
+from factloom.operators.patterns import CAPS, MONEY, SMALL
 
 _RUNS = "array<struct<normal:int,original:int>>"
 BLOCK = 1000  # characters that are aligned at a time: a fold copies its state at each step, so the runs of a block are kept apart
@@ -150,7 +150,7 @@ _AMOUNT = rf"(?iu){MONEY}{_CURRENCY}?"
 #: kinds of values in an answer, in order of preference
 KINDS = [
     ("birthNumber", r"[0-9]{6}/[0-9]{3,4}"),
-    ("name", rf"{UP}{LOW}+{N.SP}+{UP}{LOW}+"),
+    ("name", rf"{CAPS}{SMALL}+{N.SP}+{CAPS}{SMALL}+"),
     ("amount", _AMOUNT),
     ("percentage", rf"[0-9]{{1,3}}(?:[.,][0-9]{{1,2}})?{N.SP}*%"),
     ("account", r"[0-9]{2,10}/[0-9]{4}"),

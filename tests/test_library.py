@@ -407,6 +407,37 @@ def test_contracts_lie_by_document(spark):
     assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 2  # both of numbers only, before there are texts
 
 
+def test_mentions_of_documents_that_lie_by_id_are_not_moved(spark):
+    asked = spark.createDataFrame([(1, "Jaká je kupní cena"), (2, "kdo je kupující"), (3, "xyz")], "query_id int, query string")
+    found, wanted = extract.mentions(corpus.contracts(spark, D)), search.intents(asked)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    lie, moved = search.answer(found, wanted, lie=True), search.answer(found, wanted)
+    plans_of = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (lie, moved)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert plans_of == [1, 2]  # the first deals the orders
+    assert sorted(map(repr, lie.collect())) == sorted(map(repr, moved.collect())) and lie.count() > 0
+
+
+def test_classes_hold_what_their_plain_forms_hold(spark):
+    plain = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+    chars = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    P = extract.P
+    for one, other in ((N.SP, plain), (P.CAPS, P.UP), (P.SMALL, P.LOW), (P.LOWER_RUN, f"[{P.LOW}{plain}]")):
+        for flags in ("", "(?iu)"):
+            assert chars.where(F.col("c").rlike(flags + one) != F.col("c").rlike(flags + other)).count() == 0
+    assert chars.where(F.col("c").rlike(N.SP)).count() == 25
+
+
+def test_marks_by_themselves_are_removed(spark):
+    text = "e\u0301\u036f\u0300a ž\u0344Ž\u0340 \u0370 ǰ ſ İ"
+    import unicodedata
+
+    want = "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f")
+    got = spark.createDataFrame([(text,)], "t string").select(N.remove_diacritics(F.col("t"))).first()[0]
+    assert got == want
+
+
 def test_what_is_moved_for_requests_does_not_grow_with_the_chunks(spark):
     docs = spark.createDataFrame([(i, f" text {i}\t" + "x" * 500, "s") for i in range(20)], "doc_id long, text string, query_set string")
     for n in (1, 40):
