@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.report import containing
 
+ROWS = 500_000  # of a file, about: more rows make more files, not larger ones
 BITS = 1 << 20  # of a file's bitmap, in rows of 32,768: a sparse one has few rows
 
 
@@ -25,11 +26,16 @@ def write_indexed(rows: DataFrame, path: str, columns: list[str]) -> None:
     spark = rows.sparkSession
     rows.write.parquet(f"{path}/rows")
     back = spark.read.schema(rows.schema).parquet(f"{path}/rows").select(F.col("_metadata.file_path").alias("file"), F.concat(*[F.coalesce(_trigrams(F.col(c).cast("string")), F.array().cast("array<string>")) for c in columns]).alias("grams"))
-    grams = back.select("file", F.explode(F.array_distinct("grams")).alias("gram")).select("file", _bit(F.col("gram")).alias("bit"))
+    grams = back.select("file", F.explode(F.array_distinct("grams")).alias("gram")).select("file", _bit(F.col("gram")).alias("bit")).distinct()  # bits of a file are bounded; bitmaps are made by sorting what they are made of
     maps = grams.groupBy("file", F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
     maps.write.parquet(f"{path}/trigrams")
 
 
+def dealt(rows: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """rows in ranges of the key, about ROWS in each."""
+    return rows.repartitionByRange(max(least, -(-rows.count() // ROWS)), key)
+
+
 def files_with(spark: SparkSession, path: str, term: str) -> list[str] | None:
     """The files that may hold the term (as many names as there are such files); None if it is too short to tell."""
     if len(term) < 3:

@@ -438,6 +438,14 @@ def test_marks_by_themselves_are_removed(spark):
     assert got == want
 
 
+def test_indexed_files_grow_in_number_with_the_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(trigrams, "ROWS", 50)
+    rows = spark.range(1000).select(F.col("id").alias("ord"), F.concat(F.lit("hodnota "), F.col("id")).alias("value"))
+    trigrams.write_indexed(trigrams.dealt(rows, "ord"), str(tmp_path / "i"), ["value"])
+    assert len(list((tmp_path / "i" / "rows").glob("*.parquet"))) == 20
+    assert sorted(r.ord for r in trigrams.search(spark, str(tmp_path / "i"), ["value"], "A 77").collect()) == [77, *range(770, 780)]
+
+
 def test_what_is_moved_for_requests_does_not_grow_with_the_chunks(spark):
     docs = spark.createDataFrame([(i, f" text {i}\t" + "x" * 500, "s") for i in range(20)], "doc_id long, text string, query_set string")
     for n in (1, 40):
