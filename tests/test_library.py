@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -501,3 +502,17 @@ def test_hits_of_few_values_are_not_moved(spark, monkeypatch):
     fold = lambda x: x.lower().replace("č", "c")
     want = [(i, m.start(), m.start() + len(v), v, o) for i, t in enumerate(texts) if t for o, v in enumerate(values) for m in re.finditer(re.escape(fold(v)), fold(t))]
     assert got == sorted(want)
+
+
+def test_only_patterns_that_occur_cut_the_text(spark):
+    rows = spark.createDataFrame([(1, "a 12"), (2, f"{extract.MARK}b 3 c 44")], "i int, text string")
+    found = extract.placed(rows, [("digits", 0, "[0-9]+"), ("letters", 1, "[bc]")], "i")
+    assert sorted(map(tuple, found.collect())) == [(1, "digits", 0, 0, 2, 4, "12"), (2, "digits", 0, 0, 3, 4, "3"), (2, "digits", 0, 1, 7, 9, "44"), (2, "letters", 1, 0, 1, 2, "b"), (2, "letters", 1, 1, 5, 6, "c")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {extract.MARK}, -1)") == 1  # the marked text is cut once, in the row of its pattern, not for each pattern sought
+
+
+def test_borders_and_numbers_are_told_apart_by_case_rules_of_ascii(spark):
+    rows = spark.createDataFrame([(1, "ſsmlouva č. 5, 1 kčſ, Ičo 12345678, Kontrakt č. 7")], "doc_id int, text string")
+    got = {(r.pattern, r.original_value) for r in extract.checked(rows).withColumnRenamed("value", "original_value").collect()}
+    assert {("contractNumber", "smlouva č. 5"), ("amount", "1 kč"), ("companyId", "Ičo 12345678"), ("contractNumber", "Kontrakt č. 7")} <= got
