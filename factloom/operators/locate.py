@@ -11,6 +11,7 @@ from factloom.operators.patterns import CAPS, MONEY, SMALL
 
 _RUNS = "array<struct<normal:int,original:int>>"
 BLOCK = 1000  # characters that are aligned at a time: a fold copies its state at each step, so the runs of a block are kept apart
+PIECE = 25  # characters that are taken at once where they are the next ones of the normalised text
 
 
 def _taken(state: Column, char: Column, chars: Column) -> Column:
@@ -23,10 +24,23 @@ def _taken(state: Column, char: Column, chars: Column) -> Column:
     )
 
 
+def _piece_taken(state: Column, piece: Column, chars: Column) -> Column:
+    """The state after a piece of the original: at once if it is what comes next in the normalised text, else character by character."""
+    begins = F.array(F.struct(state["normal"].alias("normal"), state["original"].alias("original"))).cast(_RUNS)
+
+    def taken(letters: Column) -> Column:
+        n = F.size(letters)
+        runs = F.when(state["within"], state["runs"]).otherwise(F.concat(state["runs"], begins))
+        whole = F.struct((state["normal"] + n).alias("normal"), (state["original"] + n).alias("original"), F.lit(True).alias("within"), runs.alias("runs"))
+        return F.when(F.slice(chars, state["normal"] + 1, n) == letters, whole).otherwise(F.aggregate(letters, state, lambda acc, c: _taken(acc, c, chars)))
+
+    return N.once(F.split(piece, ""), taken)
+
+
 def _block_taken(state: Column, block: Column, chars: Column) -> Column:
     none = F.array().cast(_RUNS).alias("runs")
     begin = F.struct(state["normal"].alias("normal"), state["original"].alias("original"), state["within"].alias("within"), none)
-    end = F.aggregate(F.split(block, ""), begin, lambda acc, c: _taken(acc, c, chars))
+    end = F.aggregate(F.regexp_extract_all(block, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), begin, lambda acc, piece: _piece_taken(acc, piece, chars))
     # a fold of one step binds the block's end, so that it is made once
     return F.aggregate(F.array(end), state, lambda acc, e: F.struct(e["normal"].alias("normal"), e["original"].alias("original"), e["within"].alias("within"), F.concat(acc["runs"], e["runs"]).alias("runs")))
 
@@ -40,7 +54,7 @@ def with_offset_map(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     # exploded arrays of one: what is made there is a column for what follows, not made again in each step of a fold
     rows = docs.withColumn("_clean", F.explode(F.array(N.remove_markdown(whole))))
-    rows = rows.withColumn("_made", F.explode(F.array(F.struct(F.split("_clean", "").alias("chars"), F.lower(N.remove_diacritics(F.col("_clean"))).alias("normal")))))
+    rows = rows.withColumn("_made", F.explode(F.array(F.struct(F.when(F.col("_clean") != whole, F.split("_clean", "")).alias("chars"), F.lower(N.remove_diacritics(F.col("_clean"))).alias("normal")))))
     n, size, chars = F.length("_clean"), F.length("_made.normal"), F.col("_made.chars")
     state = F.struct(F.lit(0).alias("normal"), F.lit(0).alias("original"), F.lit(False).alias("within"), F.array().cast(_RUNS).alias("runs"))
     blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
@@ -69,11 +83,12 @@ def reverse_map(maps: DataFrame) -> DataFrame:
     """doc_id, original, normalized: for each original place its normalised ones, ascending; maps(doc_id, offset_map). No shuffle: places belong to one document."""
     rows = maps.select("doc_id", F.col("offset_map.until").alias("until"), F.col("offset_map.size").alias("size"), index_map(F.col("offset_map")).alias("places"))
     rows = rows.withColumn("aligned", F.slice("places", F.lit(1), F.col("until")))
-    late = lambda o: (o >= F.col("until")) & (o < F.col("size"))  # noqa: E731  # places that are also their own
-    pair = lambda o, normal: F.struct(o.alias("original"), normal.alias("normalized"))
-    found = F.transform("aligned", lambda o, i: pair(o, F.when(late(o), F.array(i, o)).otherwise(F.array(i))))
-    rest = F.filter(F.transform(_counted(F.col("size") - F.col("until")), lambda i: F.col("until") + i), lambda o: ~F.array_contains("aligned", o))
-    return rows.select("doc_id", F.explode(F.concat(found, F.transform(rest, lambda o: pair(o, F.array(o))))).alias("p")).select("doc_id", "p.*")
+    ahead = F.transform(_counted(F.col("size") - F.col("until")), lambda i: F.col("until") + i)  # places beyond the runs
+    rest = F.when(F.col("size") > F.col("until"), F.filter(ahead, lambda o: ~F.array_contains("aligned", o))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "until", "size", F.posexplode(F.concat("aligned", rest)).alias("i", "original"))
+    aligned, late = F.col("i") < F.col("until"), (F.col("original") >= F.col("until")) & (F.col("original") < F.col("size"))  # late: places that are also their own
+    normalized = F.when(aligned & late, F.array("i", "original")).when(aligned, F.array("i")).otherwise(F.array("original"))
+    return rows.select("doc_id", "original", normalized.alias("normalized"))
 
 
 def original_place(place: Column, mapped: Column) -> Column:
@@ -88,7 +103,7 @@ def original_place(place: Column, mapped: Column) -> Column:
         return F.struct(F.when(go & above, middle).otherwise(acc["low"]).alias("low"), F.when(go & ~above, middle).otherwise(acc["high"]).alias("high"), acc["runs"].alias("runs"), acc["place"].alias("place"))
 
     steps = F.sequence(F.lit(1), F.length(F.bin(F.size(runs))))
-    run = F.aggregate(steps, state, halved, lambda acc: F.get(acc["runs"], acc["low"]))
+    run = F.when(F.size(runs) == 1, F.get(runs, F.lit(0))).otherwise(F.aggregate(steps, state, halved, lambda acc: F.get(acc["runs"], acc["low"])))
     return F.when((place >= 0) & (place < mapped["until"]), run["original"] + place - run["normal"]).otherwise(place)
 
 

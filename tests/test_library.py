@@ -516,3 +516,15 @@ def test_borders_and_numbers_are_told_apart_by_case_rules_of_ascii(spark):
     rows = spark.createDataFrame([(1, "ſsmlouva č. 5, 1 kčſ, Ičo 12345678, Kontrakt č. 7")], "doc_id int, text string")
     got = {(r.pattern, r.original_value) for r in extract.checked(rows).withColumnRenamed("value", "original_value").collect()}
     assert {("contractNumber", "smlouva č. 5"), ("amount", "1 kč"), ("companyId", "Ičo 12345678"), ("contractNumber", "Kontrakt č. 7")} <= got
+
+
+def test_offset_maps_of_plain_stretches_are_not_made_by_character(spark):
+    text = "**a** " + "slovo další " * 20_000 + "*b*"
+    rows = locate.with_offset_map(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    began = time.time()
+    runs = rows.select("offset_map.runs").first()[0]
+    assert [tuple(r) for r in runs] == [(0, 2), (1, 5), (240_002, 240_007)] and time.time() - began < 5
+
+
+def test_markdown_is_left_alone_without_its_signs(spark):
+    assert column(spark, N.remove_markdown, ["1. a", "\n\n+ b", "[x](y) [z]", "a_b", "~~q~~ `r`", None]) == ["a", "b", "x [z]", "a_b", "q r", None]
