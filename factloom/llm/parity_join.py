@@ -55,7 +55,7 @@ RATIO = 1.5  # of size bands
 SIDE = 1024  # of the square blocks
 BLOCK = 4_000_000  # characters in a side of the blocks in which links are counted
 BITS = 256  # the least width of a sketch
-KEPT = 400_000
+KEPT = 100_000  # words whose hashes a task keeps: about 25 MB
 LEAST = 16  # of its signatures a text brings along, so that a pair is told at the least one it shares
 FEW = 8  # pairs for each text of a block that are compared at once
 SAMPLE, LISTED = 16, 1 << 20  # one text of so many is looked at for frequent shingles and signatures; bound of the shingles listed
@@ -204,7 +204,7 @@ def distances(one: list[bytes], two: list[bytes]) -> np.ndarray:
 
 
 def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Nodes and shingle hashes of the distinct texts of a partition, about 300,000 hashes at a time."""
+    """Nodes and shingle hashes of the distinct texts of a partition, about 150,000 hashes at a time."""
     hasher, seen = Hasher(k), set()
     nodes, hashes, total = [], [], 0
     for batch in batches:
@@ -215,7 +215,7 @@ def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[int]
             nodes.append(node)
             hashes.append(hasher(text.as_py()))
             total += len(hashes[-1])
-            if total > 300_000:
+            if total > 150_000:
                 yield nodes, hashes
                 nodes, hashes, total = [], [], 0
     if nodes:

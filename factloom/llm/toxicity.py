@@ -37,7 +37,7 @@ from factloom.llm.common import stored
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are terms too.
 STARTS = (4, 5)
-BLOCK, KEPT, CHARS = 64, 300_000, 4_000_000
+BLOCK, KEPT, CHARS = 64, 100_000, 4_000_000
 HELD = 1.05  # 1 plus what is added to distances
 FIRST = 4  # blocks that are scored before others are compared with the k-th cosine
 

@@ -567,3 +567,14 @@ def test_mixing_of_rows_repeated_very_often(spark, monkeypatch):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - target[s]) <= 0.002 * target[s] + 50 for s in target)
     assert {r.source_size for r in out if r.source == "a"} == {100_000 + sum(1 + i % 40 for i in range(100, 1100, 2))}
+
+
+def test_a_task_keeps_the_hashes_of_a_bounded_number_of_words():
+    from factloom.llm import parity_join
+
+    hasher = parity_join.Hasher(3)
+    kept = []
+    for i in range(250):
+        hasher(" ".join(f"w{i}x{j}" for j in range(1000)))
+        kept.append(len(hasher.known))
+    assert max(kept) <= 101_000 and (hasher("a b c") == parity_join.Hasher(3)("a b c")).all()
