@@ -161,7 +161,9 @@ def value_places(values: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 _CURRENCY = V.CURRENCY
-_AMOUNT = rf"(?iu){MONEY}{_CURRENCY}?"
+#: only the currency is matched without regard to case: a class that is, is slow in Java, and digits and spaces have none
+_AMOUNT = rf"{MONEY}(?iu:{_CURRENCY})?"
+_NO_CURRENCY = rf"{N.SP}*+(?iu:{_CURRENCY}){N.SP}*+$"
 #: kinds of values in an answer, in order of preference
 KINDS = [
     ("birthNumber", r"[0-9]{6}/[0-9]{3,4}"),
@@ -187,11 +189,13 @@ def individual_values(answers: DataFrame, documents: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text", "low", F.posexplode(F.concat(*found)).alias("ord", "x")).select("doc_id", "text", "low", "ord", "x.*")
     amount = F.col("kind") == "amount"
     v = F.when(amount, N.js_trim(F.regexp_replace("v", f"{N.SP}+", " "))).otherwise(F.col("v"))
-    bare = F.when(amount, N.js_trim(F.regexp_replace("v", rf"(?iu){N.SP}*{_CURRENCY}{N.SP}*$", "")))
-    rows = rows.withColumn("v", v).withColumn("at", F.instr("low", F.lower("v"))).withColumn("bare_at", F.coalesce(F.instr("low", F.lower(bare)), F.lit(0)))
-    there = F.regexp_extract(F.substring("text", F.col("bare_at"), F.length("text")), rf"(?iu)^{MONEY}{_CURRENCY}?", 0)
+    bare = F.when(amount, N.js_trim(F.regexp_replace("v", _NO_CURRENCY, "")))
+    rows = rows.withColumn("v", v).withColumn("at", F.instr("low", F.lower("v")))
+    rows = rows.withColumn("bare_at", F.when(F.col("at") > 0, 0).otherwise(F.coalesce(F.instr("low", F.lower(bare)), F.lit(0))))  # sought only where it is needed
+    there = F.regexp_extract(F.substring("text", F.col("bare_at"), F.length("text")), rf"^{_AMOUNT}", 0)
     size = F.when(F.col("at") > 0, F.length("v")).when(F.col("bare_at") > 0, F.length(there))
     start = F.when(F.col("at") > 0, F.col("at")).otherwise(F.col("bare_at")) - 1
-    rows = rows.select("doc_id", "text", "ord", "kind", start.alias("start"), size.alias("size")).where("start >= 0 and size > 0")
+    # an exploded array of one: a filter on plain columns would be moved below them, with all that they are made of
+    rows = rows.select("doc_id", "text", "ord", "kind", F.explode(F.array(F.struct(start.alias("start"), size.alias("size")))).alias("p")).select("doc_id", "text", "ord", "kind", "p.*").where("start >= 0 and size > 0")
     rows = rows.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), F.struct("ord", "kind", F.substring("text", F.col("start") + 1, F.col("size")).alias("text")).alias("x"))
     return rows.groupBy("doc_id", "start", "end").agg(F.min("x").alias("x")).select("doc_id", "start", "end", "x.kind", "x.text")

@@ -528,3 +528,13 @@ def test_offset_maps_of_plain_stretches_are_not_made_by_character(spark):
 
 def test_markdown_is_left_alone_without_its_signs(spark):
     assert column(spark, N.remove_markdown, ["1. a", "\n\n+ b", "[x](y) [z]", "a_b", "~~q~~ `r`", None]) == ["a", "b", "x [z]", "a_b", "q r", None]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_individual_values_are_made_once(spark):
+    said = spark.createDataFrame([(1, "7 850 000 Kč")], "doc_id long, answer string")
+    docs = spark.createDataFrame([(1, "cena 7 850 000 Kč")], "doc_id long, text string")
+    assert _plan(locate.individual_values(said, docs)).count("regexp_replace") == 2  # spaces and the currency
