@@ -534,6 +534,36 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_segments_cost_their_text_once(spark):
+    """The same pieces in one long text take about as long as in many short ones."""
+    spans, text = [(i * 20 + 3, i * 20 + 9) for i in range(20_000)], "čtyři slova a šedesát " * 18_200
+    text = text[:400_000]
+
+    def took(docs, per_doc):
+        docs = spark.createDataFrame(docs, "doc_id long, text string")
+        merged = spark.createDataFrame(per_doc, "doc_id long, start int, end int")
+        began = time.perf_counter()
+        rows = [(r.doc_id, r.seg_start, r.content) for r in highlight.segments(merged, docs).collect()]
+        return time.perf_counter() - began, rows
+
+    short, _ = took([(i, text[i * 4000 : i * 4000 + 4000]) for i in range(100)], [(x // 4000, x % 4000, y - x + x % 4000) for x, y in spans])
+    long, rows = took([(0, text)], [(0, x, y) for x, y in spans])
+    ends = [0, *[x for span in spans for x in span], len(text)]
+    assert sorted(rows) == [(0, a, text[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    assert long < 6 * short + 1
+
+
+def test_segments_at_borders_of_blocks(spark):
+    """Pieces that begin or end at a block's border, span several blocks, or reach beyond their text."""
+    text = "".join(chr(0x1F600 + i % 50) if i % 3 == 0 else chr(97 + i % 26) for i in range(1100))
+    cuts = [(0, 256), (256, 257), (300, 900), (1023, 1024), (1024, 1100)]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "abc")], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, a, b) for a, b in cuts] + [(4, 1, 9)], "doc_id long, start int, end int")
+    got = sorted((r.doc_id, r.seg_start, r.kind, r.content) for r in highlight.segments(spans, docs).collect())
+    gaps = [(257, 300), (900, 1023)]
+    assert got == sorted([(1, a, "highlight", text[a:b]) for a, b in cuts] + [(1, a, "text", text[a:b]) for a, b in gaps] + [(4, 0, "text", "a"), (4, 1, "highlight", "bc")])
+
+
 def test_individual_values_are_made_once(spark):
     said = spark.createDataFrame([(1, "7 850 000 Kč")], "doc_id long, answer string")
     docs = spark.createDataFrame([(1, "cena 7 850 000 Kč")], "doc_id long, text string")
