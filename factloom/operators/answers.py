@@ -46,6 +46,8 @@ def confidence(c: Column, default: float) -> Column:
 
 def flatten(answers: DataFrame) -> DataFrame:
     """doc_id, chunk_id, query, label, value: a row for each item of a multiple result and for each single one."""
+    # an exploded array of one: an answer that is made by an expression is made once, not again in the filter
+    answers = answers.select("doc_id", "chunk_id", F.explode(F.array("raw_text")).alias("raw_text"))
     rows = answers.where(_json(F.col("raw_text"))).select("doc_id", "chunk_id", F.explode(F.from_json("raw_text", BATCH)["results"]).alias("r"))
     one = F.array(F.struct(F.lit(None).cast("string").alias("label"), or_default(F.col("r.value"), MISSING).alias("value")))
     items = F.when((F.col("r.type") == "multiple") & F.col("r.values").isNotNull(), F.col("r.values")).otherwise(one)

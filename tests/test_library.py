@@ -568,3 +568,8 @@ def test_individual_values_are_made_once(spark):
     said = spark.createDataFrame([(1, "7 850 000 Kč")], "doc_id long, answer string")
     docs = spark.createDataFrame([(1, "cena 7 850 000 Kč")], "doc_id long, text string")
     assert _plan(locate.individual_values(said, docs)).count("regexp_replace") == 2  # spaces and the currency
+
+
+def test_flattened_answers_are_made_once(spark):
+    made = spark.range(1).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_id"), F.regexp_replace(F.col("id").cast("string"), "0", '{"results":[]}').alias("raw_text"))
+    assert _plan(answers.flatten(made)).count("regexp_replace") == 1
