@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from factloom.cluster import small_batches
 from factloom.llm.common import stored
 from factloom.llm.graph import components
 
@@ -514,6 +515,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, s: float = 0.8, doc_id: str = "
 
     n_links: how many other documents are similar enough, copies of equal texts each counted.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("node", F.xxhash64("text"))
     sizes = stored(_sized(docs, k), "sizes")

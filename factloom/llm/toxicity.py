@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.cluster import small_batches
 from factloom.llm.common import stored
 
 WORD = re.compile(r"\w+")
@@ -193,6 +194,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows=9_000, max_examples=2048, k=15, block=BLOCK) -> Model:
     """labels: (doc_id, label) of the rows that may be learnt from."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded by max_rows, so it may be broadcast
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
@@ -250,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", lab
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, predicted and evidence (the nearest labelled examples)."""
+    small_batches(docs.sparkSession)
     names = ["score", "predicted", "evidence"]
     docs = docs.drop(*names)
     example = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import cluster
 from factloom.functions import textnorm as N
 from factloom.functions import values as V
 from factloom.operators import answers, audit, extract, fuzzy, highlight, locate, report, requests, results, search, trigrams
@@ -573,3 +574,23 @@ def test_individual_values_are_made_once(spark):
 def test_flattened_answers_are_made_once(spark):
     made = spark.range(1).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_id"), F.regexp_replace(F.col("id").cast("string"), "0", '{"results":[]}').alias("raw_text"))
     assert _plan(answers.flatten(made)).count("regexp_replace") == 1
+
+
+def test_small_batches_leave_the_sessions_own_size(spark):
+    own = spark.newSession()
+    cluster.small_batches(own)
+    assert own.conf.get(cluster.BATCH_BYTES) == "4m"
+    own.conf.set(cluster.BATCH_BYTES, "9m")
+    cluster.small_batches(own)
+    assert own.conf.get(cluster.BATCH_BYTES) == "9m"
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    """Texts of 12 MB in one partition reach a worker in several batches, once near_duplicates has seen their session."""
+    from factloom.llm import parity_join
+
+    own = spark.newSession()
+    docs = own.range(0, 1200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("slovo "), 1700).alias("text"))
+    parity_join.near_duplicates(docs.limit(2))
+    sizes = [r.n for r in docs.mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert sum(sizes) == 1200 and max(sizes) < 600
