@@ -31,17 +31,28 @@ def validations(rows: DataFrame, valid: str) -> DataFrame:
     return rows.withColumn("level", F.when(F.col(valid), DEBUG).otherwise(WARN))
 
 
-def searches(answers: DataFrame, places: DataFrame, shown: int = 1000) -> DataFrame:
-    """doc_id, query_id, result_count and results, an array of (label, value, match_count), for each search: what it gave and in how many places.
+def search_results(answers: DataFrame, places: DataFrame) -> DataFrame:
+    """The answers with match_count, in how many places their value stands, and result_count, how many results their search has: a row for each result, however many.
 
-    answers: doc_id, query_id, item (order), label, value; places: doc_id, value, start. A value without a place has match_count 0. The array
-    holds the first `shown` results of a search, by item; result_count counts all. Places are counted before they meet the answers.
+    answers: doc_id, query_id, label, value; places: doc_id, value, start. A value without a place has match_count 0. Places are counted before they meet the answers.
     """
     counts = places.groupBy("doc_id", "value").agg(F.count("*").alias("match_count"))
     rows = answers.join(counts, ["doc_id", "value"], "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
-    nth = F.row_number().over(W.partitionBy("doc_id", "query_id").orderBy("item", "label", "value"))
-    some = F.when(F.col("_n") <= shown, F.struct("_n", F.struct("label", "value", "match_count").alias("r")))
-    out = rows.withColumn("_n", nth).groupBy("doc_id", "query_id").agg(F.count("*").alias("result_count"), F.array_sort(F.collect_list(some)).alias("results"))
+    return rows.withColumn("result_count", F.count("*").over(W.partitionBy("doc_id", "query_id")))
+
+
+def searches(answers: DataFrame, places: DataFrame, shown: int | None = None) -> DataFrame:
+    """doc_id, query_id, result_count and results, an array of (label, value, match_count), for each search: what it gave and in how many places.
+
+    The array holds all results of a search by item (a column of the answers), or its first `shown`, for whoever asks for no more; result_count counts all. Where
+    one search may have more results than fit in an array, take search_results().
+    """
+    rows = search_results(answers, places)
+    if shown is not None:
+        nth = F.row_number().over(W.partitionBy("doc_id", "query_id").orderBy("item", "label", "value"))
+        rows = rows.withColumn("_kept", nth <= shown)
+    one = F.struct("item", F.struct("label", "value", "match_count").alias("r"))
+    out = rows.groupBy("doc_id", "query_id").agg(F.count("*").alias("result_count"), F.array_sort(F.collect_list(one if shown is None else F.when(F.col("_kept"), one))).alias("results"))
     return out.withColumn("results", F.transform("results", lambda x: x["r"]))
 
 

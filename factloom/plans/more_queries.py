@@ -320,8 +320,7 @@ def joi_09_all(spark, d):
 def log_05(spark, d):
     rows = answers.flatten(corpus.answers(spark, d)).withColumnRenamed("query", "query_id")
     places = locate.value_places(rows.select("doc_id", "value", F.lit("text").alias("type")), corpus.contracts(spark, d))
-    out = audit.searches(rows, places.select("doc_id", "value", "start"))
-    return out.select("doc_id", "query_id", "result_count", F.explode("results").alias("r")).select("doc_id", "query_id", "result_count", "r.*")
+    return audit.search_results(rows, places.select("doc_id", "value", "start")).select("doc_id", "query_id", "result_count", "label", "value", "match_count")
 
 
 @query("JOI-09", with_contracts(f"{_ANS}, {_FLAT}, m AS ({_places(r'[0-9]{6}/[0-9]{4}', 0, 0)}) SELECT DISTINCT m.doc_id, m.value, CAST(s AS INTEGER) AS start_pos, CAST(s + 11 AS INTEGER) AS end_pos FROM m JOIN flat f ON f.doc_id = m.doc_id AND f.value = m.value"))

@@ -160,6 +160,15 @@ def test_searches_tell_what_they_gave(spark):
     assert {r.query_id: (r.result_count, len(r.results)) for r in audit.searches(given, places, shown=2).collect()} == {"q": (3, 2), "p": (1, 1)}
 
 
+def test_no_result_of_a_search_is_left_out(spark):
+    given = spark.range(2500).selectExpr("1 AS doc_id", "'q' AS query_id", "CAST(id AS INT) AS item", "'a' AS label", "CONCAT('v', id) AS value")
+    places = spark.createDataFrame([(1, "v2400", 5), (1, "v2400", 9)], "doc_id int, value string, start int")
+    told = audit.searches(given, places).collect()
+    assert [(r.result_count, len(r.results), r.results[2400].match_count) for r in told] == [(2500, 2500, 2)]
+    rows = audit.search_results(given, places).collect()
+    assert len(rows) == 2500 and {r.result_count for r in rows} == {2500} and {r.value for r in rows if r.match_count} == {"v2400"}
+
+
 def test_statistics_of_nothing(spark):
     empty = spark.createDataFrame([], "type string, value string, confidence double, start_position int, match_count int")
     assert tuple(report.statistics(empty).first()) == (0, 0, 0.0, 0.0, None, None, None, 0, None, None)
