@@ -116,3 +116,22 @@ def test_markdown_equals_its_plain_rules(spark):
     texts = ["".join(rnd.choice(["[", "]", "(", ")", "[a]", "(b)", "\n", "\n", " ", "- ", "* ", "+", "1. ", "12.", "# ", "x", "**", "_", "`", "~~"]) for _ in range(rnd.randrange(25))) for _ in range(4000)]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(N.remove_markdown(F.col("t"))).collect()]
     assert got == [brute_markdown(t) for t in texts]
+
+
+def test_a_text_is_searched_for_what_it_may_hold(spark):
+    assert set(OURS.values()) - set(P.NEEDS) == {OURS["fullName"], OURS["phoneNumber"]}
+    letters = sorted({c for need in P.NEEDS.values() for x in need for c in x if c.isalpha()})
+    chars = spark.range(1, 0x10000).where("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    missed = chars.where(F.expr(" OR ".join(f"(c RLIKE '(?iu)^{x}$' AND lower(c) != '{x}')" for x in letters)))
+    assert {r.c for r in missed.collect()} == set(P.ODD_FORMS)
+    odd = ["SPİS. zn. 5/2", "\u017fplatnost 1.1.2024", "DO 14 DNŮ", "Kupní  CENA a ČINÍ b 5 KČ", "pozemek parcelní číslo 5/6 \x01", "ıČ 12345679", "do \u212a 7 dní"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    got = {(r.doc_id, r.pattern, r.value) for r in extract.mentions(rows).collect()}
+    assert got >= {(0, "contractNumber", "5/2"), (1, "paymentTerms", "1.1.2024"), (2, "paymentTerms", "14"), (3, "purchasePrice", "5 KČ"), (4, "propertyDescription", "5/6"), (5, "companyId", "12345679"), (6, "paymentTerms", "7")}
+
+
+def test_contexts_of_folded_texts(spark):
+    texts = ["Účet 12/0800, ČÁSTKA " + "é" * 150 + " 7 Kč", "e\u0301 Účet 12/0800 Ž", "İČO ΟΔΟΣ 12/0800 ΣΑΣ", "12/0800\x01 \u2000"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = extract.mentions(rows, folded=True).select("folded_context", N.fold(F.col("context")).alias("plain")).collect()
+    assert len(got) >= 5 and all(r.folded_context == r.plain for r in got)
