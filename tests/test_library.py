@@ -169,6 +169,24 @@ def test_no_result_of_a_search_is_left_out(spark):
     assert len(rows) == 2500 and {r.result_count for r in rows} == {2500} and {r.value for r in rows if r.match_count} == {"v2400"}
 
 
+def test_mentions_of_one_place_are_sorted_before_they_meet_the_queries(spark):
+    cols = "doc_id int, pattern string, type string, value string, start int, end int, context string, pattern_no int, match_ord int"
+    given = [(1, p, p, v, s, s + len(v), "kde", n, m) for p, v, s, n, m in [("a", "x", 0, 0, 0), ("b", "x", 0, 0, 0), ("c", "x", 0, 1, 0), ("c", "x", 0, 0, 3), ("b", "y", 0, 0, 1), ("a", "x", 0, 0, 0), ("c", "x", 5, 0, 1)]]
+    asks = {1: ["a", "b", "c"], 2: ["c", "a"], 3: ["b"], 4: ["c", "b", "c"]}
+    asked = spark.createDataFrame([(q, str(q), "kde", ["kde"], [p], i, p) for q, ps in asks.items() for i, p in enumerate(ps)], "query_id int, query string, folded string, words array<string>, wanted array<string>, intent_ord int, pattern string")
+    first = {}
+    for d, p, _, v, s, e, _, n, m in given:
+        for q, ps in asks.items():
+            for i, x in enumerate(ps):
+                if x == p:
+                    first[q, s, e, v] = min(first.get((q, s, e, v), (99,)), (i, n, m, p))
+    rows = search.deduplicated(spark.createDataFrame(given, cols), asked)
+    got = [((r.query_id, r.start, r.end, r.value), (r.intent_ord, r.pattern_no, r.match_ord, r.pattern)) for r in rows.collect()]
+    assert len(got) == len(first) and dict(got) == first
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join") < plan.index("doc_id", plan.index("Window [collect_list"))
+
+
 def test_statistics_of_nothing(spark):
     empty = spark.createDataFrame([], "type string, value string, confidence double, start_position int, match_count int")
     assert tuple(report.statistics(empty).first()) == (0, 0, 0.0, 0.0, None, None, None, 0, None, None)
